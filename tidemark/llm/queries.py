@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import embedding_dup, near_dup, packing, quality_classifier, quality_rules, secret_scan, url_filter, warc
+from tidemark.llm import embedding_dup, near_dup, packing, pii, quality_classifier, quality_rules, secret_scan, sentencepiece_fst, url_filter, warc
 
 #: The url entries (host, path, action).
 URL_ENTRIES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -54,9 +54,19 @@ def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_fst.encode(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_warc, op3_quality_rules, op4_minhash_near_dedup, op5_url_filters, op6_secret_scans, op7_embedding_near_dedup, op9_packing)}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = pii.detect(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]  # noqa: B023  used at once
+    return got.select("doc_id", *counts, F.sha2(secret_scan.joined(F.col("base")), 256).alias("base_sha256"), secret_scan.joined(F.col("spans")).alias("spans"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_warc, op3_quality_rules, op4_minhash_near_dedup, op5_url_filters, op6_secret_scans, op7_embedding_near_dedup, op8_sentencepiece, op9_packing, op10_pii)}
 ORACLE: dict[str, str] = {}
