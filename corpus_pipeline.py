@@ -7,24 +7,43 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import quality_rules, secret_scan
+from tidemark.llm import near_dup, packing, quality_classifier, quality_rules, secret_scan
 from tidemark.llm.common import shared_dir
 from tidemark.shipping import ship
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier predicts to be good."""
+    return quality_classifier.keep_good(docs, ship(spark).read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     return quality_rules.filter_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates: that of the smallest doc_id."""
+    ship(spark)
+    return near_dup.drop_near_duplicates(docs)
+
+
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets masked."""
     return secret_scan.redact(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("quality_rules", rules), ("secret_scan", secrets)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in training sequences, with their ids."""
+    import public_tokenizers
+
+    ship(spark)
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True)
+
+
+STAGES: list[tuple[str, Stage]] = [("quality_classifier", classify), ("quality_rules", rules), ("near_duplicates", deduplicate), ("secret_scan", secrets), ("packing", pack)]
 #: Trained models, sketches and a tokenizer decide here, which SQL can't express.
 ORACLE_SQL: str | None = None
 
@@ -34,6 +53,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}/{name}"
-        stage(ship(spark), docs, sf_dir).write.parquet(path)
+        stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-    return STAGES[-1][1](ship(spark), docs, sf_dir)
+    return STAGES[-1][1](spark, docs, sf_dir)
