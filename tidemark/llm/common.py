@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,3 +57,38 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if not after.where("was <> comp").limit(1).count():
             return after.select("id", "comp")
         labels = after.select("id", "comp")
+
+
+def blocked(rows: DataFrame, key: list[str], block: int) -> DataFrame:
+    """`rows` (key columns, id, ...) for comparing within each key: a key of more than `block` rows is split into blocks, and each
+    row goes to every pair of blocks (lo, hi) that its own is part of. side: 0 within a block, else 1 or 2, by block.
+    Rows lie together and sorted by key, lo and hi."""
+    blocks = F.ceil(F.col("__size") / block).cast("int")
+    sizes = rows.groupBy(*key).agg(F.count("*").alias("__size"))
+    got = rows.join(sizes, key).withColumn("__own", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("__with", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    side = F.when(F.col("__own") == F.col("__with"), 0).when(F.col("__own") < F.col("__with"), 1).otherwise(2)
+    got = got.withColumns({"lo": F.least("__own", "__with"), "hi": F.greatest("__own", "__with"), "side": side}).drop("__size", "__own", "__with")
+    return got.repartition(*key, "lo", "hi").sortWithinPartitions(*key, "lo", "hi")
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], group: list[str], rows: int = 8192) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """Sorted rows in tables of some thousand rows that cut no group apart, each with where its groups start and end."""
+
+    def placed(table: pa.Table) -> np.ndarray:
+        g = np.stack([table.column(c).to_numpy() for c in group], axis=1)
+        return np.flatnonzero(np.r_[True, (g[1:] != g[:-1]).any(axis=1)])
+
+    kept: list[pa.RecordBatch] = []
+    for b in batches:
+        kept.append(b)
+        if sum(x.num_rows for x in kept) < rows:
+            continue
+        table = pa.Table.from_batches(kept).combine_chunks()
+        starts = placed(table)
+        if starts[-1]:  # the last group may go on
+            yield table.slice(0, starts[-1]), starts[:-1], starts[1:]
+        kept = table.slice(starts[-1]).to_batches()
+    if sum(x.num_rows for x in kept):
+        table = pa.Table.from_batches(kept).combine_chunks()
+        starts = placed(table)
+        yield table, starts, np.r_[starts[1:], table.num_rows]

@@ -7,11 +7,11 @@ their weights. A shingle's points stop once they come later than every register'
 ROWS registers are hashed; texts that share a band are candidates. At a similarity of 0.8 a pair shares no band with a
 chance of about 2e-6. A link is a candidate pair whose sets of shingles have a Jaccard similarity of SIMILARITY or more, exactly.
 
-Classes are the components of links. Exact copies are one text from the start. In a band's bucket the members are not paired
-with one another: in each round the bucket's first members lead, and the others that are not of their class yet are
-compared with them. Buckets whose members are all of one class are done; in the others the leaders leave and the next
-members lead, more of them each round, until no two members of different classes are uncompared. So no bucket
-is capped, and none is held in one task.
+Classes are the components of links. Exact copies are one text from the start. The members of a band's bucket are not paired
+with one another: first each is compared with the bucket's first member, exactly. Buckets whose members are then all of one
+class are done. In the others, members of different classes are compared inside tasks, two blocks of BLOCK members at a time,
+by their SKETCH smallest shingles (all shingles, for most texts); only pairs that these show to be similar leave the task, to
+be verified exactly. So no bucket is capped, none is held in one task, and pairs that are no links aren't emitted.
 
 Defined cases: null, empty and wordless texts link with nothing, copies of them included. A row with a null doc_id links
 with nothing and its class is null. Rows that share a doc_id are versions of one document and so of one class; it links if
@@ -25,16 +25,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, small, staged
+from tidemark.llm.common import blocked, components, small, staged, whole_groups
 
 SHINGLE, ROWS, BANDS = 5, 4, 25
 REGISTERS = ROWS * BANDS
 #: SIMILARITY as a fraction of integers, so that comparing is exact.
 NUMERATOR, DENOMINATOR = 4, 5
 CACHE_WORDS = 500_000
+#: Of a text's shingles, hashed to 32 bits, the smallest SKETCH make a sketch. SLACK: how much lower the similarity may look by
+#: sketches of more (for texts that they hold whole, and for the others, where it is 4 standard deviations).
+SKETCH, BLOCK, SLACK = 512, 512, (0.005, 0.08)
 _U = np.uint64
 
 
@@ -136,6 +139,76 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(made, "doc_id bigint, shingles array<bigint>")
 
 
+def sketch(found: np.ndarray) -> np.ndarray:
+    """The SKETCH smallest of a text's shingles, scrambled to 32 bits, sorted."""
+    x = np.unique((mix(found) >> _U(32)).astype(np.uint32))
+    return x[:SKETCH]
+
+
+def short_sets(docs: DataFrame) -> DataFrame:
+    """id and sketch (4 bytes each) of each row of `docs`."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _parts(batches, 512, 2_000_000):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sketch(shingles(t.as_py())[0]).tobytes() for t in b.column(1)], pa.binary())], names=["id", "sketch"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(made, "id bigint, sketch binary")
+
+
+def similar(left: list[np.ndarray], right: list[np.ndarray], step: int = 8192) -> np.ndarray:
+    """Whether each pair of sketches may belong to texts similar enough: both are compared as far as both reach."""
+    flat = [np.concatenate(x) for x in (left, right)]
+    row = [np.repeat(np.arange(len(x)), [len(v) for v in x]) for x in (left, right)]
+    ones, counts = np.unique(np.concatenate([np.unique(flat[0]), np.unique(flat[1])]) if left is not right else flat[0], return_counts=True)
+    common = ones[counts > 1]  # what only one text has is in no intersection
+    both = np.zeros((len(left), len(right)), dtype=np.float32)
+    for at in range(0, len(common), step):
+        part, dense = common[at : at + step], []
+        for f, r, n in zip(flat, row, both.shape, strict=True):
+            k = np.minimum(np.searchsorted(part, f), len(part) - 1)
+            hit = part[k] == f
+            x = np.zeros((n, len(part)), dtype=np.float32)
+            x[r[hit], k[hit]] = 1
+            dense.append(x)
+        both += dense[0] @ dense[1].T
+    if left is right:
+        np.fill_diagonal(both, 0)
+    ends = np.uint64(2**32)
+    reach = [np.array([ends if len(v) < SKETCH else np.uint64(v[-1]) for v in x]) for x in (left, right)]
+    within = lambda x, y: np.stack([np.searchsorted(v.astype(np.uint64), y, side="right") for v in x])
+    union = within(left, reach[1]) + within(right, reach[0]).T - both
+    slack = np.where((reach[0] == ends)[:, None] & (reach[1] == ends), *SLACK)
+    return both >= (NUMERATOR / DENOMINATOR - slack) * union
+
+
+def unsettled(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of `members` (band, id, comp) that share a band, are of different classes and look similar."""
+    ids = small(staged(members.select(F.col("id").alias("doc_id")).distinct(), "ids"))
+    short = staged(short_sets(docs.join(ids, "doc_id", "left_semi")), "short")
+    group = ["band", "lo", "hi"]
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts, ends in whole_groups(batches, group):
+            ids, comp, side = (table.column(c).to_numpy() for c in ("id", "comp", "side"))
+            sketches = [np.frombuffer(x, dtype=np.uint32) for x in table.column("sketch").to_pylist()]
+            ones, twos = [], []
+            for s, e in zip(starts, ends, strict=True):
+                left, right = (np.arange(s, e),) * 2 if not side[s:e].any() else (s + np.flatnonzero(side[s:e] == 1), s + np.flatnonzero(side[s:e] == 2))
+                if not len(left) or not len(right) or comp[s:e].min() == comp[s:e].max():
+                    continue
+                ours = [sketches[k] for k in left]
+                i, j = np.nonzero(similar(ours, ours if left is right else [sketches[k] for k in right]) & (comp[left][:, None] != comp[right]))
+                a, b = ids[left[i]], ids[right[j]]
+                ones.append(np.minimum(a, b)[a != b])
+                twos.append(np.maximum(a, b)[a != b])
+            if ones:
+                pairs = np.unique(np.stack([np.concatenate(ones), np.concatenate(twos)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+    rows = blocked(members.join(short, "id"), ["band"], BLOCK).select(*group, "id", "comp", "side", "sketch")
+    return rows.mapInArrow(compared, "a bigint, b bigint").distinct()
+
+
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of `pairs` (a, b) whose texts' shingle sets are similar enough. Only texts that are in a pair are read in full."""
     ids = small(staged(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids"))
@@ -149,31 +222,20 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id): the smallest doc_id of its class, for each doc_id that is linked with another or has a copy."""
     made = staged(sketches(docs), "sketches")
-    firsts = made.groupBy("copy").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"))
-    firsts = staged(firsts, "copies")
+    firsts = staged(made.groupBy("copy").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), "copies")
     copies = made.join(firsts.where("n > 1"), "copy").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a <> b")
     one = made.join(firsts.select("copy", F.col("id").alias("doc_id")), ["copy", "doc_id"], "left_semi")
     members = one.select(F.col("doc_id").alias("id"), F.explode("bands").alias("band")).distinct()
-    shared = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    members = staged(members.join(shared, "band").withColumn("comp", F.col("id")), "buckets")
-    links, leaders = None, 1
-    while True:
-        # The first members of each bucket lead; the others go to those leaders that are of another class.
-        place = F.row_number().over(Window.partitionBy("band").orderBy("id"))
-        heads = staged(members.withColumn("place", place).where(F.col("place") <= leaders).select("band", F.col("id").alias("a"), F.col("comp").alias("c")), "leaders")
-        pairs = heads.join(members, "band").where("a < id and c <> comp").select("a", F.col("id").alias("b")).distinct()
-        pairs = staged(pairs, "pairs")
-        if not pairs.limit(1).count():
-            break
-        new = staged(verified(pairs, docs), "links")
-        links = new if links is None else links.union(new)
-        comp = small(components(links))
-        rest = members.select("band", "id").join(heads.select("band", F.col("a").alias("id")), ["band", "id"], "left_anti")
-        rest = rest.join(comp, "id", "left").select("band", "id", F.coalesce("comp", "id").alias("comp"))
-        open_ = rest.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
-        members = staged(rest.join(open_, "band"), "buckets")
-        leaders *= 4
-    edges = copies if links is None else copies.union(links)
+    shared = members.groupBy("band").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1").select("band", "head")
+    members = staged(members.join(shared, "band"), "buckets")
+    pairs = staged(members.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    links = staged(verified(pairs, docs), "links")
+    comp = small(components(links))
+    rest = members.where("id <> head").join(comp, "id", "left").select("band", "id", F.coalesce("comp", "id").alias("comp"))
+    open_ = rest.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
+    rest = staged(rest.join(open_, "band"), "buckets")
+    more = staged(verified(staged(unsettled(rest, docs), "pairs"), docs), "links")
+    edges = copies.union(links).union(more)
     return components(edges).select(F.col("id").alias("doc_id"), F.col("comp").alias("class_id"))
 
 
