@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-CACHE_CHUNKS, CACHE_LENGTH = 400_000, 32
+CACHE_CHUNKS, CACHE_PAIRS, CACHE_LENGTH = 200_000, 500_000, 32
 UNIGRAM, MERGES = 1, 2
 _loaded: dict[str, Transducer] = {}
 
@@ -128,14 +128,19 @@ class Transducer:
         return [p for p in part if p]
 
     def _pair(self, a: str, b: str) -> bool:
-        """Whether b may follow a: the weight of that arc is 0."""
-        got = self.pairs.get((a, b))
+        """Whether b may follow a: the weight of that arc is 0. Asked once of each pair, as far as there is room."""
+        key = self._number(a) << 22 | self._number(b)
+        got = self.pairs.get(key)
         if got is None:
-            if len(self.pairs) >= 2_000_000:
+            if len(self.pairs) >= CACHE_PAIRS:
                 self.pairs.clear()
-            got = self.pairs[a, b] = self.merged(a + b) == [a, b]
+            got = self.pairs[key] = self.merged(a + b) == [a, b]
         return got
 
+    def _number(self, label: str) -> int:
+        i = self.pieces.get(label)
+        return i if i is not None else len(self.score) + ord(label)
+
     def _alone(self, a: str) -> bool:
         got = self.own.get(a)
         if got is None:
@@ -166,7 +171,7 @@ class Transducer:
         """All finite arcs weigh 0, so a path to the end along such arcs is a shortest one. States (position, last label) are
         visited once each, those of longer labels first."""
         n, out, at, dead = len(chunk), [], 0, set()
-        pieces, own, pairs, reach = self.pieces, self.own, self.pairs, self.reach
+        pieces, own, reach = self.pieces, self.own, self.reach
         sizes = [min(n, reach.get(chunk[:3], 3))]  # for each label on the path and the next: the longest size left to try
         while at < n:
             size = min(sizes[-1], n - at)
@@ -175,8 +180,7 @@ class Transducer:
                 if (size == 1 or arc in pieces and (own[arc] if arc in own else self._alone(arc))) and (at + size, arc) not in dead:
                     if not out:
                         break
-                    pair = (out[-1], arc)
-                    if pairs[pair] if pair in pairs else self._pair(*pair):
+                    if self._pair(out[-1], arc):
                         break
                 size -= 1
             if size:
