@@ -9,8 +9,14 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+#: Rows in an Arrow batch, where the session leaves it at Spark's default: rows may hold texts of 100 kB and more.
+BATCH, DEFAULT_BATCH = "500", "10000"
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Make `tidemark` importable in the Python workers of this session; done once for each Spark context."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == DEFAULT_BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
     sc = spark.sparkContext
     if getattr(sc, "_tidemark_shipped", False):
         return spark
