@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CAPACITY, END, BLOCK_BYTES, CHEAPEST = 2048, 1, 8_000_000, 8
+CAPACITY, END, BLOCK_BYTES, CHEAPEST = 2048, 1, 2_000_000, 8
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
 #: Fixed value: the pattern that splits a text before byte-level merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -127,15 +127,17 @@ def pack(lengths: list[int], capacity: int = CAPACITY) -> list[tuple[int, int, i
 
 
 def tokenised(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id, n (tokens with the end mark) and ids (4 bytes each) for each row of `docs`."""
+    """doc_id, n (tokens with the end mark) and ids (4 bytes each, or 2 for vocabularies that fit) for each row of `docs`."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, end = ByteTokens.load(tokenizer), np.array([END], dtype="<u4").tobytes()
+        tokens = ByteTokens.load(tokenizer)
+        kind = np.dtype("<u2" if tokens.model.get_vocab_size() <= 1 << 16 else "<u4")
+        end = np.array([END], dtype=kind).tobytes()
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                ids = [tokens.encode(t.as_py() or "").astype("<u4").tobytes() + end for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n", "ids"])
+                ids = [tokens.encode(t.as_py() or "").astype(kind).tobytes() + end for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // kind.itemsize for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, "doc_id bigint, n bigint, ids binary")
 
@@ -147,12 +149,17 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, bl
     rows = tokenised(docs, tokenizer).withColumn("block", F.pmod(F.xxhash64("doc_id", "n"), F.lit(blocks)))
 
     def packed(key: tuple, table: pa.Table) -> pa.Table:
-        doc, n, ids = table.column("doc_id").to_pylist(), table.column("n").to_pylist(), table.column("ids").to_pylist()
-        order = sorted(range(len(n)), key=lambda i: (-n[i], doc[i] is None, doc[i] or 0, zlib.crc32(ids[i])))
+        doc, n = table.column("doc_id").to_pylist(), table.column("n").to_pylist()
+        held = table.column("ids").combine_chunks()
+        ends = np.frombuffer(held.buffers()[1], dtype=np.int64 if pa.types.is_large_binary(held.type) else np.int32)[held.offset : held.offset + len(held) + 1].tolist()
+        raw = memoryview(held.buffers()[2])  # ids of one document after another, not copied
+        width = (ends[1] - ends[0]) // n[0]
+        order = sorted(range(len(n)), key=lambda i: (-n[i], doc[i] is None, doc[i] or 0, zlib.crc32(raw[ends[i] : ends[i + 1]])))
         out = []
         for k, start, length, sequence, offset in pack([n[i] for i in order], capacity):
             i = order[k]
-            piece = ids[i][4 * start : 4 * (start + length)]
+            at = ends[i] + width * start
+            piece = np.frombuffer(raw[at : at + width * length], dtype=f"<u{width}").astype("<u4").tobytes()
             out.append((doc[i], start, length, zlib.crc32(piece), n[i], (key[0].as_py() << 24) + sequence, offset, *([piece] if with_ids else [])))
         names = [*(x.split()[0] for x in PIECES.split(", ")), *(["ids"] if with_ids else [])]
         return pa.table(dict(zip(names, [pa.array(c, pa.binary() if x == "ids" else pa.int64()) for x, c in zip(names, zip(*out, strict=True), strict=True)], strict=True)))
