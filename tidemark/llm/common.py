@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +32,12 @@ def staged(df: DataFrame, label: str = "t") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """`df`, computed once and held in the executors' memory, on their disks where that is short. What a lost executor held is computed
+    again from what it was made of. For frames near the input: plans that nest several grow too long. `spark.catalog.clearCache()` lets go of it when results that build on it are done with."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     """`df` with a broadcast hint if its counted rows are few, as it is if not (then Spark shuffles both sides)."""
     n = df.count() if rows is None else rows

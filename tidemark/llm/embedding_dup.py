@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, small, staged
+from tidemark.llm.common import components, kept, small, staged
 
 WIDTH, RECALL, BLOCK = 2.0, 0.9999, 1024
 THRESHOLD = 0.95
@@ -125,7 +125,7 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
                     ids = np.repeat(np.array(some.column(0)), tables)
                     yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(h))), pa.array(h.ravel() + np.int64(size))], names=["id", "table", "key"])
 
-    found = staged(vectors.select("id", "embedding").mapInArrow(hashed, "id bigint, table int, key bigint"), "keys")
+    found = kept(vectors.select("id", "embedding").mapInArrow(hashed, "id bigint, table int, key bigint"))
     sizes = found.groupBy("table", "key").agg(F.count("*").alias("size")).where("size > 1")
     rows = found.join(sizes, ["table", "key"])
     # Blocks of a large bucket: each row goes to every pair of blocks that its own is part of.

@@ -28,13 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import blocked, components, small, staged, whole_groups
+from tidemark.llm.common import blocked, components, kept, small, staged, whole_groups
 
 SHINGLE, ROWS, BANDS = 5, 4, 25
 REGISTERS = ROWS * BANDS
 #: SIMILARITY as a fraction of integers, so that comparing is exact.
 NUMERATOR, DENOMINATOR = 4, 5
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 #: Of a text's shingles, hashed to 32 bits, the smallest SKETCH make a sketch. SLACK: how much lower the similarity may look by
 #: sketches of more (for texts that they hold whole, and for the others, where it is 4 standard deviations).
 SKETCH, BLOCK, SLACK = 512, 512, (0.005, 0.08)
@@ -118,7 +118,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, copy (MD5 of the text, for exact copies) and bands of each row of `docs` that has words."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _parts(batches, 512, 2_000_000):
+        for b in _parts(batches, 256, 500_000):
             keys = bands(registers([shingles(t.as_py()) for t in b.column(2)])).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], names=["doc_id", "copy", "bands"])
@@ -131,7 +131,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     """doc_id and the sorted set of shingles of each row of `docs`."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _parts(batches, 512, 2_000_000):
+        for b in _parts(batches, 256, 500_000):
             sets = [shingles(t.as_py())[0].view(np.int64) for t in b.column(1)]
             ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], names=["doc_id", "shingles"])
@@ -149,7 +149,7 @@ def short_sets(docs: DataFrame) -> DataFrame:
     """id and sketch (4 bytes each) of each row of `docs`."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _parts(batches, 512, 2_000_000):
+        for b in _parts(batches, 256, 500_000):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sketch(shingles(t.as_py())[0]).tobytes() for t in b.column(1)], pa.binary())], names=["id", "sketch"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(made, "id bigint, sketch binary")
@@ -184,7 +184,7 @@ def similar(left: list[np.ndarray], right: list[np.ndarray], step: int = 8192) -
 def unsettled(members: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs (a, b) of `members` (band, id, comp) that share a band, are of different classes and look similar."""
     ids = small(staged(members.select(F.col("id").alias("doc_id")).distinct(), "ids"))
-    short = staged(short_sets(docs.join(ids, "doc_id", "left_semi")), "short")
+    short = short_sets(docs.join(ids, "doc_id", "left_semi"))
     group = ["band", "lo", "hi"]
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +212,7 @@ def unsettled(members: DataFrame, docs: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of `pairs` (a, b) whose texts' shingle sets are similar enough. Only texts that are in a pair are read in full."""
     ids = small(staged(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids"))
-    sets = staged(shingle_sets(docs.join(ids, "doc_id", "left_semi")), "sets")
+    sets = kept(shingle_sets(docs.join(ids, "doc_id", "left_semi")))
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     close = pairs.join(left, "a").join(right, "b").where(F.least(F.size("x"), F.size("y")) * DENOMINATOR >= F.greatest(F.size("x"), F.size("y")) * NUMERATOR)
@@ -221,7 +221,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id): the smallest doc_id of its class, for each doc_id that is linked with another or has a copy."""
-    made = staged(sketches(docs), "sketches")
+    made = kept(sketches(docs))
     firsts = staged(made.groupBy("copy").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), "copies")
     copies = made.join(firsts.where("n > 1"), "copy").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a <> b")
     one = made.join(firsts.select("copy", F.col("id").alias("doc_id")), ["copy", "doc_id"], "left_semi")

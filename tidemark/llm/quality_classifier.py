@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tidemark.llm.common import staged
+from tidemark.llm.common import kept
 
 SAMPLE_ROWS = 8_192
 THRESHOLD = 0.3
@@ -175,7 +175,7 @@ def fit(stats: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted for each row of `docs`."""
-    stats = staged(text_statistics(docs), "statistics")
+    stats = kept(text_statistics(docs))
     got = stats.select("doc_id", held_out().alias("held_out"), fit(stats, labels).column().alias("score"))
     return got.withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0))
 
@@ -184,7 +184,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs` with a predicted label of 1. Statistics ride along with each row, so the texts aren't shuffled."""
     known = labels.where("quality is not null").select("doc_id").distinct()
     sample = known.where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
-    stats = staged(text_statistics(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id", "left_semi")), "statistics")
+    stats = kept(text_statistics(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id", "left_semi")))
     column = fit(stats, labels).column()
 
     names = docs.columns
