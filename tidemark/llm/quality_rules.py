@@ -10,7 +10,7 @@ rule.
 Defined cases: a null or empty text has no words, all counts are 0 and it fails the base. A null language is the
 stratum ''. A stratum with too few labels proves nothing and only the base applies there. Labels of one doc_id that
 contradict each other count as not good. Repeated rows and ties are judged row by row, alike. Columns of the input
-other than those named are left alone: `word_stats` adds its columns to the end, and raises if one is there already.
+other than those named are left alone, whatever their names; `word_stats` puts its columns in place of any that are called alike.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import let, small, staged
+from tidemark.llm.common import kept, let, small, staged
 
 WORD = r"[^\x20\x09-\x0D]+"
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -50,9 +50,7 @@ def _repeated(words: Column) -> Column:
 
 
 def word_stats(docs: DataFrame, text: str = "text") -> DataFrame:
-    """`docs` with the columns STATS (long) of the whole text."""
-    if clash := set(STATS) & set(docs.columns):
-        raise ValueError(f"columns that word_stats adds are there already: {sorted(clash)}")
+    """`docs` with the columns STATS (long) of the whole text at its end, in place of columns of these names."""
     t = F.coalesce(F.col(text), F.lit(""))
     lines = lambda: F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     stats = let(
@@ -62,7 +60,7 @@ def word_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     dup = let(lines(), lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
     sym = F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("long")
     got = docs.withColumns({"__s": stats, "n_symbols": sym, "n_dup_lines": dup})
-    return got.select(*docs.columns, F.col("__s.n_words"), F.col("__s.word_chars"), "n_symbols", "n_dup_lines", F.col("__s.n_repeat_words"))
+    return got.select(*[c for c in docs.columns if c not in STATS], F.col("__s.n_words"), F.col("__s.word_chars"), "n_symbols", "n_dup_lines", F.col("__s.n_repeat_words"))
 
 
 def base_failed() -> Column:
@@ -105,13 +103,13 @@ def verdicts(stats: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> Dat
     bad = over[0]
     for x in over[1:]:
         bad = bad | x
-    got = stats.withColumn("__stratum", F.coalesce(F.col(stratum), F.lit(""))).join(cuts, F.col("__stratum") == F.col("stratum"), "left")
+    got = stats.withColumn("__stratum", F.coalesce(F.col(stratum), F.lit(""))).join(cuts.withColumnRenamed("stratum", "__of"), F.col("__stratum") == F.col("__of"), "left")
     return got.select(*stats.columns, base_failed().alias("base_failed"), (~base_failed() & ~bad).alias("kept"))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, STATS, base_failed and kept, a row for each row of `docs`."""
-    stats = staged(word_stats(docs.select("doc_id", "lang", "text")).drop("text"), "stats")
+    stats = kept(word_stats(docs.select("doc_id", "lang", "text")).drop("text"))
     return verdicts(stats, calibrate(stats, labels)).select("doc_id", *STATS, "base_failed", "kept")
 
 
@@ -120,4 +118,8 @@ def filter_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     ids = small(labels.select("doc_id").where("doc_id is not null").distinct())
     labelled = word_stats(docs.select("doc_id", "lang", "text").join(ids, "doc_id", "left_semi")).drop("text")
     cutoffs = calibrate(labelled, labels)
-    return verdicts(word_stats(docs), cutoffs).where("kept").select(*docs.columns)
+    names = docs.columns
+    place = {c: f"c{i}" for i, c in enumerate(names)}
+    plain = docs.toDF(*place.values())  # names that no column of ours has
+    kept_rows = verdicts(word_stats(plain, place["text"]), cutoffs, place["lang"]).where("kept")
+    return kept_rows.select(*[F.col(place[c]).alias(c) for c in names])

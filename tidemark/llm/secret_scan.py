@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import let, shared_dir, small, staged
+from tidemark.llm.common import kept, let, shared_dir, small, staged
 
 RULE_VERSION = "2"
 #: Kind, pattern, the group whose length counts, and the length it needs. The first three are the base.
@@ -79,7 +79,7 @@ def scan(docs: DataFrame, ledger: str | None = None) -> DataFrame:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
     ledger = ledger or f"{shared_dir(spark)}/tidemark/ledger-{uuid.uuid4().hex}"
-    paths = staged(docs.select("doc_id", blob().alias("blob")), "paths")
+    paths = kept(docs.select("doc_id", blob().alias("blob")))
     unseen = paths.groupBy("blob").agg(F.min("doc_id").alias("holder"))
     if known is not None:
         unseen = unseen.join(known.select("blob"), "blob", "left_anti")
@@ -110,10 +110,10 @@ def redacted(text: Column, s: Column, mark: str = "[SECRET]") -> Column:
 
 def redact(docs: DataFrame, ledger: str | None = None) -> DataFrame:
     """`docs` with secrets masked and n_chars brought up to date; every row stays. Only texts with findings are joined."""
-    hits = scan(docs, ledger).where(F.size("spans") > 0).select("blob", "spans").dropDuplicates(["blob"])
+    hits = scan(docs, ledger).where(F.size("spans") > 0).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans")).dropDuplicates(["__blob"])
     hits = small(staged(hits, "hits"))
-    got = docs.withColumn("__b", blob()).join(hits, F.col("__b") == hits.blob, "left")
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col("spans")))
-    got = got.withColumn("__t", text)
-    cols = {"text": F.col("__t"), "n_chars": F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("__t")).cast("long")}
+    got = docs.withColumn("__b", blob()).join(hits, F.col("__b") == F.col("__blob"), "left")
+    none = F.col("__spans").isNull()
+    got = got.withColumn("__t", F.when(none, F.col("text")).otherwise(redacted(F.col("text"), F.col("__spans"))))
+    cols = {"text": F.col("__t"), "n_chars": F.when(none, F.col("n_chars")).otherwise(F.length("__t")).cast("long")}
     return got.select(*[cols[c].alias(c) if c in cols else F.col(c) for c in docs.columns])
