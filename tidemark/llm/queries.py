@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import embedding_dup, near_dup, packing, pii, quality_classifier, quality_rules, secret_scan, sentencepiece_fst, url_filter, warc
+from tidemark.llm import embedding_dup, near_dup, oracles, packing, pii, quality_classifier, quality_rules, secret_scan, sentencepiece_fst, url_filter, warc
 
 #: The url entries (host, path, action).
 URL_ENTRIES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -69,4 +69,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_warc, op3_quality_rules, op4_minhash_near_dedup, op5_url_filters, op6_secret_scans, op7_embedding_near_dedup, op8_sentencepiece, op9_packing, op10_pii)}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_warc": oracles.WARC, "op3_quality_rules": oracles.QUALITY_RULES, "op4_minhash_near_dedup": oracles.NEAR_DUP,
+    "op5_url_filters": oracles.URLS, "op6_secret_scans": oracles.SECRETS, "op7_embedding_near_dedup": oracles.EMBEDDINGS,
+}
