@@ -233,7 +233,8 @@ class Transducer:
 
 
 def encode(docs: DataFrame, model: str) -> DataFrame:
-    """doc_id, ids, n_ids, ids_crc32 (of 4-byte little-endian ids) and round_trip (whether decoding gives the text back)."""
+    """doc_id, ids, n_ids, ids_crc32 (of 4-byte little-endian ids) and round_trip (whether decoding gives the text back; decoded
+    where a chunk is new, as chunks decode independently)."""
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = Transducer.load(model)
