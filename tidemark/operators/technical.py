@@ -10,6 +10,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidemark.functions.expr import E, ewm_rows, framed, over
 
@@ -64,7 +65,7 @@ def ewm_mean(df: DataFrame, col: str, out: str, alpha: float, least: int, key: s
     longest = longest if longest is not None else df.groupBy(key).count().agg(F.max("count")).first()[0] or 0
     if longest <= ewm_rows(alpha):
         return _closed(df, col, out, alpha, least, key, ts)
-    schema = df.withColumn(out, F.lit(0.0)).schema
+    schema = StructType([*(StructField(f.name, f.dataType) for f in df.schema), StructField(out, DoubleType())])
 
     def means(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(ts)
