@@ -80,6 +80,12 @@ def test_beta_of_a_multiple(spark):
     assert got.beta_60d.iloc[-1] == pytest.approx(2) and got.corr_60d.iloc[-1] == pytest.approx(1) and got.beta_60d.notna().sum() == 40
 
 
+def test_constant_prices_have_no_beta_and_raise_nothing(spark):
+    got = by_time(T.rolling_beta(bars(spark, [5.0] * 80), bars(spark, [7.0] * 80).select("ts", "close")))
+    assert got.beta_60d.isna().all() and got.corr_60d.isna().all()
+    assert by_time(T.technical_features(bars(spark, [5.0] * 80))).bollinger_position.isna().all()
+
+
 def ts(s):
     return pd.Timestamp(s).to_pydatetime()
 

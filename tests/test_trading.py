@@ -247,3 +247,33 @@ def test_heads_and_registry(spark):
     assert models.importances(heads["excess_return_5d"], ["f1", "f2"])[0][0] == "f1"
     reg = models.register(models.register(None, spark, "{}", "CHAMPION"), spark, "{}")
     assert {r.model_version: r.role for r in models.crown(reg, "model_v0002").collect()} == {"model_v0001": "ARCHIVED", "model_v0002": "CHAMPION"}
+
+
+def test_nested_selection_and_ablation(spark):
+    from tidemark.operators import labels
+
+    days = [t.to_pydatetime() for t in pd.bdate_range("2020-01-01", periods=240)]
+    x = rng.normal(0, 1, (240, 3))
+    df = spark.createDataFrame([(s, d, float(x[i, 0]), float(x[i, 1]), float(x[i, 0] * 0.1 + x[i, 2] * 0.01)) for s in "AB" for i, d in enumerate(days)], "symbol string, ts timestamp_ntz, agent_a double, return_1d double, excess_return_5d double")
+    cal = labels.trading_calendar(df)
+    folds = labels.purged_folds(240, 160, 80)
+    got = models.nested_walk_forward(df, cal, folds, ["agent_a", "return_1d"], "excess_return_5d", [{"trees": 1}, {"trees": 4}])
+    assert got.count() == 160 and {r.chosen for r in got.select("chosen").distinct().collect()} <= {0, 1}
+    lost = models.ablation(df, cal, folds, ["agent_a", "return_1d"], "excess_return_5d", trees=4)
+    assert lost["agent"] > 0.3 > abs(lost["technical"])
+
+
+def test_monitoring(spark):
+    from tidemark.operators import monitoring
+    from tidemark.sources import synthetic
+
+    b = synthetic.synthetic_bars(spark, 3, "2020-01-02", 60)
+    assert b.count() == 240 and monitoring.quality_flags(b, ["symbol", "ts"]).count() == 0
+    assert sorted(map(tuple, b.collect())) == sorted(map(tuple, synthetic.synthetic_bars(spark, 3, "2020-01-02", 60).repartition(7).collect()))
+    bad = spark.createDataFrame([(1, 1.0, 2.0, 3.0, None, -1.0)], "k int, open double, high double, low double, close double, volume double")
+    assert {r.rule for r in monitoring.quality_flags(bad, ["k"]).collect()} == {"positive_prices", "high_not_below_low", "close_within_range", "open_within_range", "volume_not_negative"}
+    log = spark.createDataFrame([(1, True), (2, False)], "ts int, engaged boolean")
+    assert not monitoring.engaged(None) and not monitoring.engaged(log) and monitoring.engaged(log.where("ts = 1"))
+    assert [monitoring.ingestion_status(*x) for x in ((0, 0), (1, 0), (1, 1))] == ["FAILED", "PARTIAL", "SUCCESS"]
+    m = monitoring.wide_macro(spark.createDataFrame([("a", 1, 1.0), ("a", 2, 2.0), ("b", 1, 3.0)], "series string, period int, value double")).first()[0]
+    assert m == {"a": 2.0, "b": 3.0}

@@ -63,11 +63,11 @@ def value_ranks(df: DataFrame, x: str, out: str, blocks: int = 256) -> DataFrame
 
 
 def rank_ic(df: DataFrame, truth: str, pred: str, by: list[str] | None = None) -> DataFrame:
-    """by..., n, rank_ic: Spearman's correlation over rows that have both; NULL below 3 rows. Pooled if `by` is empty."""
+    """by..., n, rank_ic: Spearman's correlation over rows that have both; NULL below 3 rows or where a side is constant. Pooled if `by` is empty."""
     by = by or []
     rows = df.where(f"{truth} IS NOT NULL AND {pred} IS NOT NULL").select(*by, F.col(truth).alias("__y"), F.col(pred).alias("__p"))
     ranked = average_ranks(rows, {"__y": "__ry", "__p": "__rp"}, by)
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.corr("__ry", "__rp").alias("__c")).select(*by, "n", E("CASE WHEN n >= 3 THEN __c END").alias("rank_ic"))
+    return ranked.groupBy(*by).agg(F.count("*").alias("n"), E("covar_pop(__ry, __rp) / nullif(stddev_pop(__ry) * stddev_pop(__rp), 0)").alias("__c")).select(*by, "n", E("CASE WHEN n >= 3 THEN __c END").alias("rank_ic"))
 
 
 def regression_eval(df: DataFrame, truth: str, pred: str, by: list[str] | None = None) -> DataFrame:

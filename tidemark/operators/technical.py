@@ -115,5 +115,5 @@ def rolling_beta(bars: DataFrame, benchmark: DataFrame, n: int = 60) -> DataFram
     full = f"count(*) {f} >= {n}"
     return both.select(
         "symbol", "ts", E(f"CASE WHEN {full} THEN covar_samp(return_1d, b1) {f} / nullif(var_samp(b1) {f}, 0) END").alias(f"beta_{n}d"),
-        E(f"CASE WHEN {full} THEN corr(return_1d, b1) {f} END").alias(f"corr_{n}d"), E("return_20d - b20").alias("relative_return_20d"),
+        E(f"CASE WHEN {full} THEN covar_samp(return_1d, b1) {f} / nullif(stddev_samp(return_1d) {f} * stddev_samp(b1) {f}, 0) END").alias(f"corr_{n}d"), E("return_20d - b20").alias("relative_return_20d"),
     )

@@ -7,11 +7,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import filings, models, store
+from tidemark.operators import filings, models, monitoring, store
 from tidemark.operators import technical as T
-from tidemark.plans.base import Registry, rounded, with_
-from tidemark.sources import payloads, tables
 from tidemark.plans import market as M
+from tidemark.plans.base import Registry, rounded, with_
+from tidemark.sources import payloads, synthetic, tables
 
 R = Registry()
 
@@ -146,3 +146,42 @@ def valuation_ratios(spark, sf):
 def feature_families(spark, sf):
     names = ["news2_n_articles_1h", "macro_regime_code", "momentum_percentile", "raw_rsi_14", "dollar_volume", "fund_raw_roic", "other_thing"]
     return spark.createDataFrame([(n, models.feature_family(n)) for n in names], "feature string, family string")
+
+
+_RULES = [("price_positive", "l_extendedprice > 0", "ERROR"), ("discount_small", "l_discount < 0.1", "WARNING"), ("tax_small", "l_tax < 0.08", "WARNING")]
+
+
+@R.query("SELECT l_orderkey, l_partkey, 'price_positive' AS rule, 'ERROR' AS severity FROM lineitem WHERE NOT l_extendedprice > 0 UNION ALL SELECT l_orderkey, l_partkey, 'discount_small', 'WARNING' FROM lineitem WHERE NOT l_discount < 0.1 UNION ALL SELECT l_orderkey, l_partkey, 'tax_small', 'WARNING' FROM lineitem WHERE NOT l_tax < 0.08")
+def quality_flags(spark, sf):
+    return monitoring.quality_flags(tables.table(spark, sf, "lineitem"), ["l_orderkey", "l_partkey"], _RULES)
+
+
+@R.query("SELECT rule, severity, count(*) AS n FROM (SELECT 'discount_small' AS rule, 'WARNING' AS severity FROM lineitem WHERE NOT l_discount < 0.1 UNION ALL SELECT 'tax_small', 'WARNING' FROM lineitem WHERE NOT l_tax < 0.08) GROUP BY 1, 2")
+def severity_counts(spark, sf):
+    return monitoring.severity_counts(quality_flags(spark, sf).where("severity = 'WARNING'"), ["rule", "severity"])
+
+
+@R.query(with_("SELECT run_id, ts, round(CASE WHEN count(r) OVER w >= 63 THEN avg(r) OVER w / nullif(stddev_samp(r) OVER w, 0) * sqrt(252.0) END, 6) AS sharpe FROM (SELECT symbol AS run_id, ts, close / nullif(lag(close, 1) OVER (PARTITION BY symbol ORDER BY ts), 0) - 1 AS r FROM bars) WINDOW w AS (PARTITION BY run_id ORDER BY ts ROWS BETWEEN 62 PRECEDING AND CURRENT ROW)", "bars"))
+def rolling_sharpe(spark, sf):
+    return rounded(monitoring.rolling_sharpe(tables.bars(spark, sf).selectExpr("symbol AS run_id", "ts", "close AS equity")))
+
+
+@R.query("SELECT o_orderkey, o_orderstatus, o_orderdate FROM orders WHERE o_orderstatus IN ('O', 'P') AND o_orderdate >= TIMESTAMP '2000-01-01'")
+def filtered_view(spark, sf):
+    from datetime import datetime
+
+    return monitoring.view(tables.table(spark, sf, "orders"), {"o_orderstatus": ["O", "P"]}, ("o_orderdate", datetime(2000, 1, 1))).select("o_orderkey", "o_orderstatus", "o_orderdate")
+
+
+@R.query("SELECT event_id, user_id, CASE WHEN event_type = 'error' THEN 'FAILED' ELSE 'SUCCESS' END AS status, CASE WHEN event_type = 'error' THEN 0 ELSE event_id % 7 END AS records FROM events")
+def ingestion_runs(spark, sf):
+    """Events as runs; those of errors never finished."""
+    e = tables.table(spark, sf, "events")
+    runs = e.selectExpr("event_id AS run_id", "user_id", "'FAILED' AS status", "0 AS records")
+    done = e.where("event_type <> 'error'").selectExpr("event_id AS run_id", "'SUCCESS' AS status", "event_id % 7 AS records")
+    return monitoring.finished(runs, done).select(F.col("run_id").alias("event_id"), "user_id", "status", "records")
+
+
+@R.query()
+def synthetic_market(spark, sf):
+    return synthetic.synthetic_bars(spark, 10, "2020-01-02", 500)

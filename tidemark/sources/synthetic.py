@@ -1,0 +1,43 @@
+"""A synthetic market: regimes that switch, a market factor, symbols with their betas. Each symbol is made in one task from its own seed."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+
+#: Annual drift and volatility of the market in each regime.
+REGIMES = {"BULL": (0.18, 0.13), "BEAR": (-0.22, 0.22), "SIDEWAYS": (0.01, 0.10), "HIGH_VOL": (0.0, 0.32)}
+BARS = "symbol string, ts timestamp_ntz, open double, high double, low double, close double, volume double"
+
+
+def market_factor(seed: int, days: int) -> tuple[np.ndarray, list[str]]:
+    """Daily returns of the market, and the regime of each day: regimes last 40 to 180 days."""
+    rng, r, names = np.random.default_rng(seed), [], []
+    while len(r) < days:
+        name = list(REGIMES)[rng.integers(len(REGIMES))]
+        n = int(rng.integers(40, 181))
+        mu, sigma = REGIMES[name]
+        r += rng.normal(mu / 252, sigma / np.sqrt(252), n).tolist()
+        names += [name] * n
+    return np.array(r[:days]), names[:days]
+
+
+def synthetic_bars(spark: SparkSession, symbols: int, start: str, days: int, seed: int = 42) -> DataFrame:
+    """Bars of SYN_0.. and of SYN_BENCH, the factor itself; the same whatever the number of tasks."""
+    factor, _ = market_factor(seed, days)
+    dates = pd.bdate_range(start, periods=days)
+
+    def made(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in frames:
+            for i in df["id"]:
+                rng = np.random.default_rng([seed, int(i)])
+                own = factor if i == symbols else rng.uniform(0.5, 1.5) * factor + rng.normal(0, 0.012, days)
+                close = 100 * np.exp(np.cumsum(own))
+                open_ = np.r_[100, close[:-1]] * (1 + rng.normal(0, 0.002, days))
+                spread = 1 + np.abs(rng.normal(0, 0.004, days))
+                yield pd.DataFrame({"symbol": "SYN_BENCH" if i == symbols else f"SYN_{i}", "ts": dates, "open": open_, "high": np.maximum(open_, close) * spread, "low": np.minimum(open_, close) / spread, "close": close, "volume": np.floor(rng.lognormal(13, 0.4, days))})
+
+    return spark.range(symbols + 1).mapInPandas(made, BARS)
