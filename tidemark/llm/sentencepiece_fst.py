@@ -85,7 +85,7 @@ class Transducer:
         self.longest = max(map(len, self.pieces), default=1)
         alone = "" if any("\n" in p for p in self.pieces) else "\n"
         self.chunks = re.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" + (f"|{alone}" if alone else "")).findall
-        self.known, self.older, self.pairs, self.own = {}, {}, {}, {}
+        self.known, self.older, self.pairs, self.own, self.lossy = {}, {}, {}, {}, set()
         self.reach: dict[str, int] = {}  # the longest piece that starts with three characters
         for p in self.pieces:
             self.reach[p[:3]] = max(len(p), self.reach.get(p[:3], 0))
@@ -203,6 +203,8 @@ class Transducer:
                 i = self.pieces.get(label)
                 out += [i] if i is not None else [self.byte[b] if self.byte[b] is not None else 0 for b in label.encode("utf-8", "surrogatepass")]
             got = array("i", out).tobytes()
+            if self._spelt(out) != chunk.replace(SPACE, " "):
+                self.lossy.add(chunk)
         if len(chunk) <= CACHE_LENGTH:
             if len(self.known) >= CACHE_CHUNKS:
                 self.known, self.older = {}, self.known
@@ -210,14 +212,21 @@ class Transducer:
         return got
 
     def encode(self, text: str | None) -> np.ndarray:
-        own = self._ids
-        return np.frombuffer(b"".join([self.known.get(c) or own(c) for c in self.chunks(self.normalise(text or ""))]), dtype="<i4")
-
-    def decode(self, ids: np.ndarray) -> str:
-        """The text that the inverted transducers read from ids: bytes in a row are UTF-8, U+2581 is a space, the dummy prefix goes."""
+        return self.encode_checked(text)[0]
+
+    def encode_checked(self, text: str | None) -> tuple[np.ndarray, bool]:
+        """Ids of a text, and whether they decode to it. Chunks decode apart from one another, so each is decoded when it is new."""
+        text, own = text or "", self._ids
+        chunks = self.chunks(self.normalise(text))
+        ids = np.frombuffer(b"".join([self.known.get(c) or own(c) for c in chunks]), dtype="<i4")
+        same = not self.squeeze or re.sub(" +", " ", text).strip(" ") == text
+        return ids, same and SPACE not in text and not (self.lossy and any(c in self.lossy for c in chunks))
+
+    def _spelt(self, ids: list[int]) -> str:
+        """The inverted transducers' reading: bytes in a row are UTF-8, U+2581 is a space."""
         out: list[str] = []
         raw = bytearray()
-        for i in ids.tolist():
+        for i in ids:
             piece = self.text_of[i] if 0 <= i < len(self.text_of) else ""
             if isinstance(piece, int):
                 raw.append(piece)
@@ -228,7 +237,11 @@ class Transducer:
             out.append(piece.replace(SPACE, " "))
         if raw:
             out.append(raw.decode("utf-8", "replace"))
-        text = "".join(out)
+        return "".join(out)
+
+    def decode(self, ids: np.ndarray) -> str:
+        """The text of ids, without the dummy prefix."""
+        text = self._spelt(ids.tolist())
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
@@ -242,10 +255,10 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 texts = [x.as_py() or "" for x in part.column(1)]
-                ids = [t.encode(x) for x in texts]
+                got = [t.encode_checked(x) for x in texts]
+                ids, back = [x for x, _ in got], [y for _, y in got]
                 ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32)))
-                back = [t.decode(i) == x for i, x in zip(ids, texts, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array([len(i) for i in ids], pa.int64()), pa.array([zlib.crc32(i.tobytes()) for i in ids], pa.int64()), pa.array(back)], names=["doc_id", "ids", "n_ids", "ids_crc32", "round_trip"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encoded, "doc_id bigint, ids array<int>, n_ids bigint, ids_crc32 bigint, round_trip boolean")
