@@ -15,12 +15,15 @@ from tidemark.sources import tables
 R = Registry()
 AT = "1998-06-30"
 _ts = f"TIMESTAMP '{AT}'"
-as_of = F.lit(AT).cast("timestamp_ntz")
+
+
+def as_of():
+    return F.lit(AT).cast("timestamp_ntz")
 
 
 @R.query(with_(f"SELECT symbol, period_end, published, revenue, net, cost, units, n FROM facts WHERE published <= {_ts} QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY published DESC) = 1", "facts"))
 def fundamentals_asof(spark, sf):
-    return A.latest_asof(tables.facts(spark, sf), ["symbol"], ["published"], as_of)
+    return A.latest_asof(tables.facts(spark, sf), ["symbol"], ["published"], as_of())
 
 
 @R.query(with_("SELECT b.symbol, b.ts, b.close, f.revenue, f.period_end FROM bars b ASOF LEFT JOIN facts f ON b.symbol = f.symbol AND b.ts >= f.published", "bars", "facts"))
@@ -31,12 +34,12 @@ def fundamentals_asof_daily(spark, sf):
 
 @R.query(with_(f"SELECT series, period, published, value FROM macro WHERE published <= {_ts} QUALIFY row_number() OVER (PARTITION BY series ORDER BY published DESC, period DESC) = 1", "macro"))
 def macro_latest_asof(spark, sf):
-    return A.latest_asof(tables.macro(spark, sf), ["series"], ["published", "period"], as_of)
+    return A.latest_asof(tables.macro(spark, sf), ["series"], ["published", "period"], as_of())
 
 
 @R.query(with_(f"SELECT series, period, published, value FROM macro WHERE published <= {_ts} QUALIFY row_number() OVER (PARTITION BY series, period ORDER BY published DESC) = 1", "macro"))
 def macro_history_asof(spark, sf):
-    return A.latest_asof(tables.macro(spark, sf), ["series", "period"], ["published"], as_of)
+    return A.latest_asof(tables.macro(spark, sf), ["series", "period"], ["published"], as_of())
 
 
 _HIST = f"SELECT * FROM macro WHERE published <= {_ts} QUALIFY row_number() OVER (PARTITION BY series, period ORDER BY published DESC) = 1"
@@ -44,7 +47,7 @@ _HIST = f"SELECT * FROM macro WHERE published <= {_ts} QUALIFY row_number() OVER
 
 @R.query(with_("SELECT series, round(CASE WHEN stddev_pop(value) = 0 THEN 0 ELSE (max_by(value, period) - avg(value)) / stddev_pop(value) END, 6) AS zscore, round(max_by(value, period), 6) AS level FROM (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY series ORDER BY period DESC) <= 36) GROUP BY series HAVING count(*) >= 3", "macro", h=_HIST))
 def macro_zscore(spark, sf):
-    return rounded(X.trailing_zscores(A.latest_asof(tables.macro(spark, sf), ["series", "period"], ["published"], as_of)))
+    return rounded(X.trailing_zscores(A.latest_asof(tables.macro(spark, sf), ["series", "period"], ["published"], as_of())))
 
 
 @R.query(with_("SELECT b.symbol, b.ts, b.close FROM bars b WHERE EXISTS (SELECT 1 FROM members m WHERE m.symbol = b.symbol AND m.start_ts <= b.ts AND (m.end_ts IS NULL OR m.end_ts > b.ts))", "bars", "members"))
