@@ -12,6 +12,19 @@ from tidemark.sources.tables import SQL
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def unsigned_zeros(sql: str) -> str:
+    """`sql` with 0 added to each round(...): it may round to a negative zero there, which Spark's never does."""
+    out, at = "", 0
+    while (i := sql.find("round(", at)) >= 0:
+        depth, j = 1, i + len("round(")
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[j], 0)
+            j += 1
+        out += f"{sql[at:i]}(round({unsigned_zeros(sql[i + len('round('):j - 1])}) + 0)"
+        at = j
+    return out + sql[at:]
+
+
 class Registry:
     """Queries by name, with their equivalent in DuckDB SQL where there is one."""
 
@@ -23,7 +36,7 @@ class Registry:
         def keep(f: Query) -> Query:
             self.queries[f.__name__] = f
             if sql:
-                self.oracle[f.__name__] = sql
+                self.oracle[f.__name__] = unsigned_zeros(sql)
             return f
 
         return keep
