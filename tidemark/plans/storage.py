@@ -67,7 +67,7 @@ def missing_shares(spark, sf):
     return rounded(got.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("share")) for c in cols])).alias("x")).select("x.*"))
 
 
-@R.query("SELECT r.source_id, coalesce(n, 0) AS n_runs, coalesce(records, 0) AS records, coalesce(status, 'NEVER_RUN') AS status, last_started FROM (SELECT DISTINCT p_brand AS source_id FROM part UNION SELECT 'none') r LEFT JOIN (SELECT p_brand AS source_id, count(*) AS n, sum(l_linenumber) AS records, max(l_shipdate) AS last_started, max_by(l_linestatus, {'t': l_shipdate, 'k': l_orderkey, 'n': l_linenumber, 's': l_linestatus}) AS status FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1) USING (source_id)")
+@R.query("SELECT r.source_id, coalesce(n, 0) AS n_runs, CAST(coalesce(records, 0) AS BIGINT) AS records, coalesce(status, 'NEVER_RUN') AS status, last_started FROM (SELECT DISTINCT p_brand AS source_id FROM part UNION SELECT 'none') r LEFT JOIN (SELECT p_brand AS source_id, count(*) AS n, sum(l_linenumber) AS records, max(l_shipdate) AS last_started, max_by(l_linestatus, {'t': l_shipdate, 'k': l_orderkey, 'n': l_linenumber, 's': l_linestatus}) AS status FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1) USING (source_id)")
 def provider_health(spark, sf):
     """Brands as sources, their lines as runs."""
     runs = tables.table(spark, sf, "lineitem").join(tables.table(spark, sf, "part"), F.col("p_partkey") == F.col("l_partkey"))
