@@ -22,14 +22,15 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, kept, small, staged
+from tidemark.llm.common import blocked, components, kept, small, staged, whole_groups
 
 WIDTH, RECALL, BLOCK = 2.0, 0.9999, 1024
+#: Groups of so many rows at most are compared together, not each on its own.
+FEW = 16
 THRESHOLD = 0.95
 
 
@@ -84,8 +85,8 @@ def _labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             return label
 
 
-def _compare(table: int, ids: np.ndarray, side: np.ndarray, x: np.ndarray, copies: np.ndarray, k: int, tables: int, threshold: float) -> pd.DataFrame | None:
-    """Links among the rows of one group (side 0), or between its two blocks (sides 1 and 2): (id, other, n)."""
+def _compare(table: int, ids: np.ndarray, side: np.ndarray, x: np.ndarray, copies: np.ndarray, k: int, tables: int, threshold: float) -> tuple | None:
+    """Links among the rows of one group (side 0), or between its two blocks (sides 1 and 2): arrays of id, other, n."""
     left, right = (np.arange(len(ids)),) * 2 if not side.any() else (np.flatnonzero(side == 1), np.flatnonzero(side == 2))
     own, ones, twos = None, [], []
     for at in range(0, len(left), 256):
@@ -106,7 +107,7 @@ def _compare(table: int, ids: np.ndarray, side: np.ndarray, x: np.ndarray, copie
         return None
     n = np.bincount(i, copies[j], len(ids)) + np.bincount(j, copies[i], len(ids))
     rows = np.flatnonzero(n)
-    return pd.DataFrame({"id": ids[rows], "other": ids[_labels(len(ids), i, j)[rows]], "n": n[rows].astype(np.int64)})
+    return ids[rows], ids[_labels(len(ids), i, j)[rows]], n[rows].astype(np.int64)
 
 
 def links(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -126,65 +127,40 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
                     yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(h))), pa.array(h.ravel() + np.int64(size))], names=["id", "table", "key"])
 
     found = kept(vectors.select("id", "embedding").mapInArrow(hashed, "id bigint, table int, key bigint"))
-    sizes = found.groupBy("table", "key").agg(F.count("*").alias("size")).where("size > 1")
-    rows = found.join(sizes, ["table", "key"])
-    # Blocks of a large bucket: each row goes to every pair of blocks that its own is part of.
-    blocks, own = F.ceil(F.col("size") / BLOCK).cast("int"), F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / BLOCK)).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    side = F.when(F.col("own") == F.col("with"), 0).when(F.col("own") < F.col("with"), 1).otherwise(2)
-    rows = rows.select("id", "table", "key", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"), side.alias("side"))
-    rows = rows.join(small(vectors), "id")
+    shared = found.groupBy("table", "key").agg(F.count("*").alias("size")).where("size > 1").select("table", "key")
+    rows = found.join(shared, ["table", "key"]).join(small(vectors), "id")
     group = ["table", "key", "lo", "hi"]
 
+    def few_at_once(g: np.ndarray, name: np.ndarray, ids: np.ndarray, copies: np.ndarray, x: np.ndarray) -> Iterator[tuple]:
+        """Links within small groups (name: the group of each row): rows are compared with those some places further on."""
+        for shift in range(1, FEW):
+            i = np.flatnonzero(name[shift:] == name[:-shift]) if len(name) > shift else np.zeros(0, dtype=int)
+            if not len(i):
+                return
+            i = i[np.einsum("ij,ij->i", x[i], x[i + shift]) >= threshold]
+            j = i + shift
+            if len(i):
+                new = (keys(x[i], k, tables) == keys(x[j], k, tables)).argmax(axis=1) == g[i]
+                i, j = i[new], j[new]
+                yield np.r_[ids[i], ids[j]], np.r_[ids[j], ids[i]], np.r_[copies[j], copies[i]]
+
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Groups follow one another, sorted; small ones are compared together, pairs of rows at a time."""
-        schema = pa.schema([("id", pa.int64()), ("other", pa.int64()), ("n", pa.int64())])
-        kept: list[pa.RecordBatch] = []
-
-        def judged(whole: pa.Table) -> Iterator[pa.RecordBatch]:
-            g = np.stack([whole.column(c).to_numpy() for c in group], axis=1)
-            starts = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]).any(axis=1)])
-            ends = np.r_[starts[1:], len(g)]
-            ids, side, copies = (whole.column(c).to_numpy() for c in ("id", "side", "copies"))
+        for whole, starts, ends in whole_groups(batches, group):
+            table, ids, side, copies, lo, hi = (whole.column(c).to_numpy() for c in ("table", "id", "side", "copies", "lo", "hi"))
             lists = whole.column("embedding").combine_chunks()
-            length = np.array(lists.value_lengths())
-            few = ends - starts <= 16
+            length, name = np.array(lists.value_lengths()), np.repeat(np.arange(len(starts)), ends - starts)
+            few, out = (ends - starts <= FEW) & (lo == hi)[starts], []
             for s, e in zip(starts[~few], ends[~few], strict=True):
-                n = length[s]
-                if (length[s:e] == n).all():
-                    out = _compare(int(g[s, 0]), ids[s:e], side[s:e], _matrix(lists.slice(s, e - s)), copies[s:e], k, tables, threshold)
-                    if out is not None:
-                        yield pa.RecordBatch.from_pandas(out, schema, preserve_index=False)
-            for n in np.unique(length[np.repeat(few, ends - starts)]) if few.any() else ():
-                at = np.flatnonzero(np.repeat(few, ends - starts) & (length == n))
-                x, name = _matrix(lists.take(pa.array(at))), np.repeat(np.arange(len(starts)), ends - starts)[at]
-                for shift in range(1, 16):
-                    i = np.flatnonzero(name[shift:] == name[:-shift]) if len(name) > shift else np.zeros(0, dtype=int)
-                    if not len(i):
-                        break
-                    i = i[np.einsum("ij,ij->i", x[i], x[i + shift]) >= threshold]
-                    if not len(i):
-                        continue
-                    j, table = i + shift, g[at[i], 0]
-                    first = keys(x[i], k, tables) == keys(x[j], k, tables)
-                    new = first.argmax(axis=1) == table
-                    a, b, ca, cb = ids[at[i]][new], ids[at[j]][new], copies[at[i]][new], copies[at[j]][new]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.r_[a, b]), pa.array(np.r_[b, a]), pa.array(np.r_[cb, ca])], schema=schema)
-
-        for b in batches:
-            kept.append(b)
-            if sum(x.num_rows for x in kept) < 8192:
-                continue
-            whole = pa.Table.from_batches(kept).combine_chunks()
-            g = np.stack([whole.column(c).to_numpy() for c in group], axis=1)
-            last = len(g) - int((g[::-1] != g[-1]).any(axis=1).argmax()) if (g != g[-1]).any() else 0
-            if last:  # the last group may go on
-                yield from judged(whole.slice(0, last))
-                kept = whole.slice(last).to_batches()
-        if kept:
-            yield from judged(pa.Table.from_batches(kept))
-
-    rows = rows.repartition(*group).sortWithinPartitions(*group).select(*group, "id", "side", "copies", "embedding")
+                if (length[s:e] == length[s]).all():
+                    got = _compare(int(table[s]), ids[s:e], side[s:e], _matrix(lists.slice(s, e - s)), copies[s:e], k, tables, threshold)
+                    out += [got] if got else []
+            for n in np.unique(length[few[name]]):
+                at = np.flatnonzero(few[name] & (length == n))
+                out += few_at_once(table[at], name[at], ids[at], copies[at], _matrix(lists.take(pa.array(at))))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["id", "other", "n"])
+
+    rows = blocked(rows, ["table", "key"], BLOCK).select(*group, "id", "side", "copies", "embedding")
     return rows.mapInArrow(compared, "id bigint, other bigint, n bigint")
 
 
