@@ -40,3 +40,28 @@ def test_small_queries_equal_their_sql(spark):
         at = [want.columns.index(c) for c in cols]
         plain = lambda v: float(v) if type(v).__name__ == "Decimal" else v
         assert sorted(str(tuple(plain(r[c]) for c in cols)) for r in got.collect()) == sorted(str(tuple(plain(r[i]) for i in at)) for r in want.fetchall()), name
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_filters_and_columns_reach_the_scan(spark):
+    from tidemark.operators import monitoring
+    from tidemark.sources import tables
+
+    text = plan(monitoring.view(tables.table(spark, "/root/testdata/sf0.001", "orders"), {"o_orderstatus": "O"}).select("o_orderkey"))
+    assert "EqualTo(o_orderstatus,O)" in text and "ReadSchema: struct<o_orderkey:bigint,o_orderstatus:string>" in text
+    assert "l_comment" not in plan(tables.bars(spark, "/root/testdata/sf0.001")) and "l_tax" not in plan(tables.bars(spark, "/root/testdata/sf0.001"))
+
+
+def test_shuffles_are_as_few_as_declared(spark):
+    from tidemark.operators import asof, technical
+    from tidemark.sources import tables
+
+    bars, facts = tables.bars(spark, "/root/testdata/sf0.001"), tables.facts(spark, "/root/testdata/sf0.001")
+    own = plan(bars).count("Exchange hashpartitioning") + plan(facts).count("Exchange hashpartitioning")
+    joined = asof.asof_join(bars, facts, ["symbol"], "ts", "published", {"revenue": "revenue"})
+    assert plan(joined).count("Exchange hashpartitioning") == own + 1 and "Join" not in plan(joined)
+    features = technical.add(bars, technical.RETURN_SET, technical.VOL_SET)
+    assert plan(features).count("Exchange hashpartitioning") == plan(bars).count("Exchange hashpartitioning") + 1
