@@ -45,7 +45,7 @@ def rows_of(seed=4):
         for _ in range(k * 12):
             w[rng.randrange(len(w))] = rng.choice(vocabulary)
         out.append(" ".join(w))
-    out += [out[45]] * 30 + ["one two", "one two", None, None, "", "  \n", "x", "x"]
+    out += [out[45]] * 30 + ["one two", "one two", None, None, "", "  \n", "\x1c", "\x1c\x1d", "x", "x"]
     rng.shuffle(out)
     return list(enumerate(out)) + [(None, out[50]), (3, "one two")]
 

@@ -119,11 +119,14 @@ def sketches(docs: DataFrame) -> DataFrame:
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _parts(batches, 256, 500_000):
-            keys = bands(registers([shingles(t.as_py()) for t in b.column(2)])).view(np.int64)
+            found = [shingles(t.as_py()) for t in b.column(2)]
+            some = [i for i, (x, _) in enumerate(found) if len(x)]
+            b, found = b.take(pa.array(some, pa.int64())), [found[i] for i in some]
+            keys = bands(registers(found)).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], names=["doc_id", "copy", "bands"])
 
-    texts = docs.select(F.col("doc_id").cast("long"), F.unhex(F.md5("text")).alias("copy"), "text").where(F.col("doc_id").isNotNull() & F.col("text").rlike(r"(?U)\S"))
+    texts = docs.select(F.col("doc_id").cast("long"), F.unhex(F.md5("text")).alias("copy"), "text").where("doc_id is not null and text is not null")
     return texts.mapInArrow(made, "doc_id bigint, copy binary, bands array<bigint>")
 
 
