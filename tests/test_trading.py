@@ -43,6 +43,9 @@ def test_correlations_of_ranks_equal_pandas(spark):
         k = np.arange(500) % 3 == r.g
         assert r.rank_ic == pytest.approx(pd.Series(y[k]).rank().corr(pd.Series((p + y / 20)[k]).rank()))
     assert M.rank_ic(df.limit(2), "y", "p").first().rank_ic is None
+    for limit in (0, 10**6):
+        got = {r.y: r.k for r in M.value_ranks(df.select("y"), "y", "k", limit, 8).collect()}
+        assert got == dict(zip(y, a, strict=True))
 
 
 def test_classification_by_hand(spark):

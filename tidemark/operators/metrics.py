@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.expr import E
@@ -39,24 +39,33 @@ def turnover(daily: DataFrame, key: str = "run_id") -> DataFrame:
 def average_ranks(df: DataFrame, cols: dict[str, str], by: list[str]) -> DataFrame:
     """Ranks with ties at their mean, within `by` (all rows if empty).
 
-    Over all rows, ranks come from counts of distinct values, so that no sort of all rows lands in one task: values are
-    counted, the counts are summed in value order by blocks, and each row looks its value up."""
+    Over all rows, ranks come from the counts of distinct values (`value_ranks`); each row looks its value up."""
     for x, out in cols.items():
         if by:
             p = ", ".join(by)
-            df = df.withColumn(out, E(f"rank() OVER (PARTITION BY {p} ORDER BY {x}) + (count(*) OVER (PARTITION BY {p}, {x}) - 1) / 2.0D"))
+            df = df.withColumn(out, E(f"rank() OVER (PARTITION BY {p} ORDER BY {x}) + (count(*) OVER (PARTITION BY {p}, {x}) - 1) / 2.0"))
             continue
         df = df.join(value_ranks(df.select(x), x, out), x)
     return df
 
 
-def value_ranks(df: DataFrame, x: str, out: str, blocks: int = 256) -> DataFrame:
-    """(x, out): the mean rank of each distinct value among all rows."""
-    counts = df.groupBy(x).agg(F.count("*").alias("__n"))
-    edges = sorted({r for r in (counts.approxQuantile(x, [i / blocks for i in range(1, blocks)], 0.001) if blocks > 1 else [])})
-    block = F.lit(0)
-    for_block = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]).cast("array<double>"), lambda e: e < F.col(x))) if edges else block
-    counts = counts.withColumn("__b", for_block)
+#: Most distinct values whose counts are summed by one task.
+ONE_TASK = 1_000_000
+
+
+def value_ranks(df: DataFrame, x: str, out: str, one_task: int = ONE_TASK, blocks: int = 64) -> DataFrame:
+    """(x, out): the mean rank of each distinct value among all rows. Counts of up to `one_task` values are summed in value order by one
+    task; of more, by blocks between quantiles, after the blocks' totals, so that no task sorts all values."""
+    counts = df.groupBy(x).agg(F.count("*").alias("__n")).persist()  # read several times; lost parts are computed again
+    if counts.count() <= one_task:
+        return counts.select(x, (F.sum("__n").over(Window.orderBy(x)) - (F.col("__n") - 1) / F.lit(2.0)).alias(out))
+    edges = sorted(set(counts.approxQuantile(x, [i / blocks for i in range(1, blocks)], 0.005)))
+
+    def block(lo: int, hi: int) -> Column:
+        mid = (lo + hi) // 2
+        return F.lit(lo) if lo == hi else F.when(F.col(x) <= F.lit(float(edges[mid])), block(lo, mid)).otherwise(block(mid + 1, hi))
+
+    counts = counts.withColumn("__b", block(0, len(edges)))
     before = counts.groupBy("__b").agg(F.sum("__n").alias("__t")).withColumn("__before", E("coalesce(sum(__t) OVER (ORDER BY __b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"))
     got = counts.join(F.broadcast(before.select("__b", "__before")), "__b").withColumn("__run", E(f"sum(__n) OVER (PARTITION BY __b ORDER BY {x})"))
     return got.select(x, (F.col("__before") + F.col("__run") - (F.col("__n") - 1) / F.lit(2.0)).alias(out))
