@@ -7,7 +7,8 @@ are joined back to all paths. A span is the place of a match in code points, its
 
 Defined cases: a null text is an empty text. Repeated rows share one blob and each gets its findings. A null doc_id is a path
 like any other. An empty table gives an empty table. Only doc_id and text are read, so other columns can't clash.
-Matches of one kind don't overlap (leftmost first); those of two kinds may.
+Matches of one kind don't overlap (leftmost first); those of two kinds may. A private key's match holds its body, not just
+its first line.
 """
 
 from __future__ import annotations
@@ -19,13 +20,21 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import kept, let, shared_dir, small, staged
 
-RULE_VERSION = "2"
+RULE_VERSION = "3"
+#: A private key from its first line on, in steps that can't be taken back, so that long texts need no deep stack: all up to
+#: its end, or, where the next line of dashes is not that end, its headers and what follows them of base64 (runs of 16 or
+#: more, whole lines, and pieces between line breaks written as \n).
+PEM = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*+(?:-(?!----)[^-]*+)*+-{5,}+END [A-Z ]*PRIVATE KEY-----"
+    r"|(?:(?:\\[nr]|\s)*+(?:Proc-Type|DEK-Info)\x20*:[^\n\\]*+)*+"
+    r"(?:(?:\\[nr]|\s)*+[A-Za-z0-9+/]{16,}+=*+|[\x20\t\r]*+\n[\x20\t]*+[A-Za-z0-9+/]++=*+(?=\s*?(?:\n|\z))|(?:\\r)?\\n[A-Za-z0-9+/]++=*+(?=[\\\s\"']|\z))*+)"
+)
 #: Kind, pattern, the group whose length counts, and the length it needs. The first three are the base.
 KINDS = [
     ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
     ("access", r"AKIA[A-Z0-9]+", 0, 18),
     ("hex", r"[0-9a-f]{16,}", 0, 16),
-    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    ("pem", PEM, 0, 1),
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1),
 ]
 BASE = 3
