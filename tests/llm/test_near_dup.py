@@ -85,3 +85,18 @@ def test_registers_do_not_depend_on_what_is_computed_along():
     some = [(np.sort(rng.integers(0, 2**63, n).astype(np.uint64)), np.ones(n, dtype=np.int64)) for n in (3, 50, 0, 800)]
     together = N.registers(some)
     assert all((N.registers([x])[0] == y).all() for x, y in zip(some, together, strict=True))
+
+
+def test_texts_that_repeat_lines_differently_equal_brute_force(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefgh", k=7))
+    texts = []
+    for _ in range(20):  # of each two texts, the sets' similarity is 120 in 148, while that of the weights is far below
+        shared = [word() for _ in range(124)]
+        for times in (1000, 1000):
+            texts.append(" ".join(shared + [word() for _ in range(10)] * times))
+    rows = list(enumerate(texts))
+    want = brute(rows)
+    assert want == {i: i - i % 2 for i, _ in rows}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r.doc_id: r.class_id for r in N.near_duplicates(docs).collect()} == want

@@ -1,9 +1,9 @@
-"""Near-duplicate texts by ProbMinHash over weighted five-word shingles, banding and exact verification.
+"""Near-duplicate texts by ProbMinHash over five-word shingles, banding and exact verification.
 
-A text's shingles are its runs of five words (a shorter text with words is one shingle), weighted by 1 + ln(occurrences).
-Each shingle is a Poisson process of points at its weight's rate; each point falls to one of REGISTERS registers, which
-keeps the shingle of its earliest point. Two texts agree in a register with the probability Jaccard similarity of
-their weights. A shingle's points stop once they come later than every register's (early termination). BANDS bands of
+A text's shingles are its runs of five words (a shorter text with words is one shingle). Each shingle is a Poisson process of
+points; each point falls to one of REGISTERS registers, which keeps the shingle of its earliest point. Two texts agree in a
+register with the probability Jaccard similarity of their weights. Links are defined by sets, so candidates are drawn with a
+weight of 1 for each shingle, however often it occurs: then that similarity is the sets' own. A shingle's points stop once they come later than every register's (early termination). BANDS bands of
 ROWS registers are hashed; texts that share a band are candidates. At a similarity of 0.8 a pair shares no band with a
 chance of about 2e-6. A link is a candidate pair whose sets of shingles have a Jaccard similarity of SIMILARITY or more, exactly.
 
@@ -72,7 +72,7 @@ def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 
 def registers(found: list[tuple[np.ndarray, np.ndarray]], m: int = REGISTERS) -> np.ndarray:
-    """Of each text, the shingle in each of its m registers: the points of all texts' shingles are drawn together, one
+    """Of each text, the shingle in each of its m registers; n occurrences weigh 1 + ln(n). The points of all texts' shingles are drawn together, one
     after another, and shingles whose next point is later than all registers of their text stop."""
     sizes = np.array([len(x) for x, _ in found])
     times, keep = np.full(len(found) * m, np.inf), np.zeros(len(found) * m, dtype=np.uint64)
@@ -122,7 +122,8 @@ def sketches(docs: DataFrame) -> DataFrame:
             found = [shingles(t.as_py()) for t in b.column(2)]
             some = [i for i, (x, _) in enumerate(found) if len(x)]
             b, found = b.take(pa.array(some, pa.int64())), [found[i] for i in some]
-            keys = bands(registers(found)).view(np.int64)
+            sets = [(x, np.ones_like(n)) for x, n in found]
+            keys = bands(registers(sets)).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], names=["doc_id", "copy", "bands"])
 
