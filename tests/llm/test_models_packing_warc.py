@@ -176,6 +176,43 @@ def test_tagger_learns_held_out_spans_and_adds_to_the_patterns(spark):
     assert {far[s:e] for s, _, e in moved} == {text[s:e] for s, _, e in both}
 
 
+def test_windows_that_are_not_decoded_change_nothing():
+    import random
+
+    class Rule:  # tags an address without a digit, whatever stands around it
+        def viterbi(self, chars):
+            out = np.zeros(chars.shape, dtype=np.int8)
+            for row, t in zip(out, chars - 1, strict=True):
+                text = "".join(map(chr, np.maximum(t, 0)))
+                for m in pii.FORMS["email"].finditer(text):
+                    row[m.start() : m.end()] = [1] + [2] * (m.end() - m.start() - 1)
+            return out
+
+    far = "word " * 2000 + "jane (at) example.org" + " word" * 2000
+    at = far.index("jane")
+    for text in (far, far.replace(" (at) ", "[at]")):
+        (_, both), = pii.find([text], Rule())
+        assert [(s, r) for s, r, _ in both] == [(at, 0)]
+
+    class Noise:  # tags that depend on a window's characters
+        def viterbi(self, chars):
+            keys = chars.astype(np.int64).cumsum(axis=1) // 997
+            out = 1 + 2 * (keys % 4)
+            out[:, 1:] += keys[:, 1:] == keys[:, :-1]
+            return np.where(chars % 23 == 5, 0, out).astype(np.int8)
+
+    rng = random.Random(8)
+    parts = ["jane (at) example.org", "a.b[at]c.de", "x@y.zz", "(415) 555-2671", "415 555 2671", "4417.1234.5678.9113", "10.1.2.3", "  ", ".. ", "\n\n", "word", "é", "(", "+", "(at)", "@", "7", "a" * 90, "-" * 70, "_" * 40, " "]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " ", " ", ", "]) for _ in range(rng.randrange(60))) for _ in range(1500)]
+    n = 0
+    for tagger in (Noise(), Rule()):
+        for text, some, full in zip(texts, pii.tag_texts(tagger, texts), pii.tag_texts(tagger, texts, every=True), strict=True):
+            want = pii.tagged_spans(text, full) if full is not None else []
+            assert (pii.tagged_spans(text, some) if some is not None else []) == want
+            n += len(want)
+    assert n > 100
+
+
 def test_patterns_equal_regular_expressions(spark):
     import random
     import re

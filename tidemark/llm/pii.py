@@ -4,7 +4,8 @@ The tagger is trained here in numpy (backpropagation through time, forward-backw
 seeded sentences: addresses, numbers and look-alikes that are no personal data. It reads overlapping windows of WINDOW
 characters, each decoded by Viterbi; a character takes its tag from the window in which it lies nearest the middle, so the tags of
 a whole text are one sequence, and spans come from that. A span is added if it has the form of its kind (FORMS) and overlaps no
-span of the patterns. All forms need a digit or '@'; so windows without either, which can't change the result, aren't decoded.
+span of the patterns. A window is decoded if it gives the tag of a character that such a span may depend on (needed()): all that the
+forms can match, and what is trimmed beside it. The others can't change the result.
 
 Defined cases: a null text is an empty text. Repeated rows get equal spans. A null doc_id is a document like any other. An empty
 table gives an empty table. Texts of any length are read whole, in time linear in their length. Only doc_id and text are
@@ -40,6 +41,10 @@ FORMS = {
     "card": re.compile(r"[0-9]{3,6}(?:[ .\-/]?[0-9]{3,6}){2,4}"),
     "phone": re.compile(r"\(?[0-9]{2,4}\)?[ .\-/][0-9]{2,4}(?:[ .\-/][0-9]{2,4}){1,3}"),
 }
+#: What holds every match of a form: an address around its sign, or a run of the characters of the other forms.
+_AT = re.compile(r"@|\(at\)|\[at\]")
+_NUMBERS = re.compile(r"[0-9().\x20/\-]+")
+_HOST = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-.")
 
 
 def luhn(digits: str) -> bool:
@@ -249,30 +254,57 @@ def train(seed: int = 5, steps: int = 220, batch: int = 48, size: int = 80) -> T
     return tagger
 
 
-def tag_texts(tagger: Tagger, texts: list[str]) -> list[np.ndarray | None]:
-    """The tags of each text, reconciled over its windows; None where no window needs decoding."""
+def needed(text: str) -> list[tuple[int, int]]:
+    """Ranges of the characters whose tags an added span may depend on: whatever matches a form lies in one of them, with
+    what tagged_spans would trim beside it and one character more, which shows where the run of tags starts and ends."""
+    found = []
+    for m in _AT.finditer(text):
+        start, end = m.span()
+        start -= text[start - 1 : start] == " "
+        end += text[end : end + 1] == " "
+        lo, hi = start, end
+        while lo > 0 and text[lo - 1] in _LOCAL:
+            lo -= 1
+        while hi < len(text) and text[hi] in _HOST:
+            hi += 1
+        if lo < start and hi > end:
+            found.append((lo, hi))
+    if _DIGIT.search(text):
+        found += [m.span() for m in _NUMBERS.finditer(text) if m.end() - m.start() >= 7 and any(FORMS[k].search(text, *m.span()) for k in ("ip", "card", "phone"))]
+    out = []
+    for lo, hi in found:
+        while lo > 0 and not (text[lo - 1].isalnum() or text[lo - 1] in "(+"):
+            lo -= 1
+        while hi < len(text) and not text[hi].isalnum():
+            hi += 1
+        out.append((max(lo - 1, 0), min(hi + 1, len(text))))
+    return out
+
+
+def tag_texts(tagger: Tagger, texts: list[str], every: bool = False) -> list[np.ndarray | None]:
+    """The tags of each text, reconciled over its windows; None where no window needs decoding. `every`: decode all."""
     places, windows, out = [], [], []
+    quarter = (WINDOW - STRIDE) // 2
     for k, text in enumerate(texts):
-        if "@" not in text and not _DIGIT.search(text):
+        ranges = [(0, len(text))] if every and text else needed(text)
+        if not ranges:
             out.append(None)
             continue
         c = codes(text)
         out.append(np.zeros(len(c), dtype=np.int8))
-        marks = np.flatnonzero((c >= 49) & (c <= 58) | (c == 65))  # digits and '@', numbers are one more than their codes
-        starts = np.unique(np.concatenate([marks // STRIDE, np.maximum(marks // STRIDE - 1, 0)])) * STRIDE
-        for s in starts.tolist():
+        # Character i takes its tag from window max(0, (i - quarter) // STRIDE).
+        starts = sorted({n for lo, hi in ranges for n in range(max(0, (lo - quarter) // STRIDE), max(0, (hi - 1 - quarter) // STRIDE) + 1)})
+        for s in (n * STRIDE for n in starts):
             w = np.zeros(WINDOW, dtype=np.int64)
             part = c[s : s + WINDOW]
             w[: len(part)] = part
             windows.append(w)
             places.append((k, s))
-    quarter = (WINDOW - STRIDE) // 2
     for at in range(0, len(windows), 512):
         tags = tagger.viterbi(np.stack(windows[at : at + 512]))
         for (k, s), t in zip(places[at : at + 512], tags, strict=True):
-            lo = 0 if s == 0 else quarter  # the middle of the window; a text's ends have no other window
-            hi = WINDOW if s + WINDOW >= len(out[k]) else WINDOW - quarter
-            part = out[k][s + lo : s + hi]
+            lo = 0 if s == 0 else quarter  # the middle of the window; a text's start has no other window
+            part = out[k][s + lo : s + WINDOW - quarter]
             part[:] = t[lo : lo + len(part)]
     return out
 
