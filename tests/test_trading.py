@@ -230,6 +230,18 @@ def test_resampling_is_repeatable_and_tests_what_it_says(spark):
     assert models.permutation_ic(spark, y, rng.normal(0, 1, 300), 200).first().p_value > 0.01
 
 
+def test_permutation_takes_all_predictions_or_refuses(spark, monkeypatch):
+    from tidemark.plans.evaluation import permutation_test, predictions
+
+    sf = "/root/testdata/sf0.001"
+    want = predictions(spark, sf).select("excess_return_5d", "predicted").toPandas().astype(float).dropna()
+    got = permutation_test(spark, sf).first()
+    assert got.n_permutations == 1000 and got.observed_ic == pytest.approx(want["excess_return_5d"].rank().corr(want["predicted"].rank()))
+    monkeypatch.setattr(models, "RESAMPLED", 10)
+    with pytest.raises(ValueError):
+        models.permutation_ic(spark, np.arange(11.0), np.arange(11.0))
+
+
 def test_promotion_and_qualification():
     m = lambda ic, brier=0.24, dd=0.1, sharpe=1.0: {"excess_return_5d": {"information_coefficient": ic, "sharpe_ratio": sharpe}, "positive_5d": {"brier_score": brier}, "backtest": {"max_drawdown": -dd}}
     assert models.promote(m(0.05), None)[0] and not models.promote(m(-0.01), None)[0] and models.promote(m(0.05), m(0.05))[0]

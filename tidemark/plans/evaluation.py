@@ -248,8 +248,11 @@ def bootstrap_ci(spark, sf):
 
 @R.query()
 def permutation_test(spark, sf):
-    rows = P.rank_ic(predictions(spark, sf), "excess_return_5d", "predicted", ["symbol"]).join(P.regression_eval(predictions(spark, sf), "excess_return_5d", "predicted", ["symbol"]).select("symbol", "rmse"), "symbol").orderBy("symbol").select("rank_ic", "rmse").toPandas()
-    return Q.permutation_ic(spark, rows["rank_ic"].to_numpy(), rows["rmse"].to_numpy(), 500)
+    """Outcomes of all predictions shuffled against the predictions. The rows' order is fixed, so that draws are repeatable."""
+    p = predictions(spark, sf).where("excess_return_5d IS NOT NULL AND predicted IS NOT NULL")
+    Q.resampled(p.count())
+    rows = p.orderBy("symbol", "ts").select(F.col("excess_return_5d").cast("double"), F.col("predicted").cast("double")).toArrow()
+    return Q.permutation_ic(spark, *(rows.column(i).to_numpy() for i in range(2)))
 
 
 @R.query()
