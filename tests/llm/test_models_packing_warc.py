@@ -7,7 +7,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import packing as K
-from tidemark.llm import pii
 from tidemark.llm import quality_classifier as C
 from tidemark.llm import sentencepiece_fst as T
 from tidemark.llm import warc as W
@@ -134,103 +133,6 @@ def test_unigram_path_is_the_least_of_all_paths():
     assert t.kind == T.MERGES
 
 
-def test_crf_gradients_are_right():
-    g = pii.Tagger(1)
-    g.p = {k: v.astype(np.float64) for k, v in g.p.items()}
-    g.p["trans"] += np.random.default_rng(0).normal(0, 0.3, g.p["trans"].shape)
-    chars, tags = pii.sentences(2, 3, 12)
-    _, grad = g.step(chars, tags)
-    for k in ("trans", "out", "xf", "hb", "cf", "emb"):
-        at = np.unravel_index(np.abs(grad[k]).argmax(), grad[k].shape)
-        old, e = g.p[k][at], 1e-3
-        g.p[k][at] = old + e
-        up = g.step(chars, tags)[0]
-        g.p[k][at] = old - e
-        down = g.step(chars, tags)[0]
-        g.p[k][at] = old
-        assert (up - down) / (2 * e) == pytest.approx(grad[k][at], rel=0.02, abs=1e-4), k
-
-
-def test_viterbi_is_the_best_path():
-    import itertools
-
-    g = pii.Tagger(3)
-    g.p["trans"] = np.random.default_rng(1).normal(0, 1, g.p["trans"].shape).astype(np.float32)
-    chars, _ = pii.sentences(4, 1, 4)
-    u, a = g.emissions(chars)[:, 0], g.p["trans"]
-    score = lambda p: sum(u[t, k] for t, k in enumerate(p)) + sum(a[i, j] for i, j in itertools.pairwise(p))
-    best = max(itertools.product(range(u.shape[1]), repeat=4), key=score)
-    assert tuple(g.viterbi(chars)[0]) == best
-
-
-def test_tagger_learns_held_out_spans_and_adds_to_the_patterns(spark):
-    tagger = pii.train()
-    chars, tags = pii.sentences(77, 300, 128)
-    got = tagger.viterbi(chars)
-    assert (got == tags).mean() > 0.95 and (got == tags)[tags > 0].mean() > 0.85
-    text = "please call (415) 555-2671 or write joe.x1 (at) site.example.com now, card 4417.1234.5678.9113. thanks"
-    (base, both), = pii.find([text], tagger)
-    assert not base and {text[s:e] for s, _, e in both} & {"(415) 555-2671", "joe.x1 (at) site.example.com", "4417.1234.5678.9113"}
-    far = "x" * 5000 + " " + text + " y" * 3000
-    (_, moved), = pii.find([far], tagger)
-    assert {far[s:e] for s, _, e in moved} == {text[s:e] for s, _, e in both}
-
-
-def test_windows_that_are_not_decoded_change_nothing():
-    import random
-
-    class Rule:  # tags an address without a digit, whatever stands around it
-        def viterbi(self, chars):
-            out = np.zeros(chars.shape, dtype=np.int8)
-            for row, t in zip(out, chars - 1, strict=True):
-                text = "".join(map(chr, np.maximum(t, 0)))
-                for m in pii.FORMS["email"].finditer(text):
-                    row[m.start() : m.end()] = [1] + [2] * (m.end() - m.start() - 1)
-            return out
-
-    far = "word " * 2000 + "jane (at) example.org" + " word" * 2000
-    at = far.index("jane")
-    for text in (far, far.replace(" (at) ", "[at]")):
-        (_, both), = pii.find([text], Rule())
-        assert [(s, r) for s, r, _ in both] == [(at, 0)]
-
-    class Noise:  # tags that depend on a window's characters
-        def viterbi(self, chars):
-            keys = chars.astype(np.int64).cumsum(axis=1) // 997
-            out = 1 + 2 * (keys % 4)
-            out[:, 1:] += keys[:, 1:] == keys[:, :-1]
-            return np.where(chars % 23 == 5, 0, out).astype(np.int8)
-
-    rng = random.Random(8)
-    parts = ["jane (at) example.org", "a.b[at]c.de", "x@y.zz", "(415) 555-2671", "415 555 2671", "4417.1234.5678.9113", "10.1.2.3", "  ", ".. ", "\n\n", "word", "é", "(", "+", "(at)", "@", "7", "a" * 90, "-" * 70, "_" * 40, " "]
-    texts = ["".join(rng.choice(parts) + rng.choice(["", " ", " ", ", "]) for _ in range(rng.randrange(60))) for _ in range(1500)]
-    n = 0
-    for tagger in (Noise(), Rule()):
-        for text, some, full in zip(texts, pii.tag_texts(tagger, texts), pii.tag_texts(tagger, texts, every=True), strict=True):
-            want = pii.tagged_spans(text, full) if full is not None else []
-            assert (pii.tagged_spans(text, some) if some is not None else []) == want
-            n += len(want)
-    assert n > 100
-
-
-def test_patterns_equal_regular_expressions(spark):
-    import random
-    import re
-
-    forms = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
-    n = lambda m: sum("0" <= c <= "9" for c in m[0])
-    tests = [lambda m: True, lambda m: all(len(x) < 9 and int(x) <= 255 for x in m[0].split(".")), lambda m: 12 <= n(m) <= 19 and pii.luhn(re.sub("[ -]", "", m[0])), lambda m: 9 <= n(m) <= 15]
-    rng = random.Random(5)
-    texts = ["".join(rng.choice("a@.-+1 2(34)5%6b7é") for _ in range(rng.randrange(70))) for _ in range(4000)] + ["4417123456789113 4417-1234-5678-9113", "1" * 5000 + ".1.1.1", "a" * 50_000 + "@" + "b" * 50_000 + ".c"]
-    for t in texts[:-1]:
-        assert pii.base_spans(t) == sorted((m.start(), k, m.end()) for k, p in enumerate(forms) for m in re.finditer(p, t) if tests[k](m))
-    assert pii.base_spans(texts[-1]) == [(0, 0, len(texts[-1]))]
-    df = spark.createDataFrame([(1, None), (2, ""), (None, "x@y.z"), (1, "+1 (415) 555-2671")], "doc_id long, text string").withColumn("base", F.lit(1))
-    got = [(r.doc_id, len(r.base), len(r.spans)) for r in pii.detect(df).collect()]
-    assert Counter(got) == Counter([(1, 0, 0), (2, 0, 0), (None, 1, 1), (1, 1, 1)])
-    assert pii.detect(df.limit(0)).count() == 0
-
-
 PAGES = [(1, "http://a", "x" * 1200), (2, None, None), (None, "http://c", "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 4\r\n\r\nabcd\r\n\r\n" * 3), (4, "u\r\nx", "x" * 1200), (4, "u", "x" * 1200), (5, "q", ""), (6, "é", "é" * 600), (7, "z", "y" * 999), (8, "z", "y" * 999), (9, "big", "z" * 500_000)]
 
 

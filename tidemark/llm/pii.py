@@ -1,11 +1,17 @@
 """Personal data: exact patterns, and a character-level bidirectional LSTM with CRF transitions that adds what they miss.
 
 The tagger is trained here in numpy (backpropagation through time, forward-backward over the CRF, Adam) from labelled spans of
-seeded sentences: addresses, numbers and look-alikes that are no personal data. It reads overlapping windows of WINDOW
-characters, each decoded by Viterbi; a character takes its tag from the window in which it lies nearest the middle, so the tags of
-a whole text are one sequence, and spans come from that. A span is added if it has the form of its kind (FORMS) and overlaps no
-span of the patterns. A window is decoded if it gives the tag of a character that such a span may depend on (needed()): all that the
-forms can match, and what is trimmed beside it. The others can't change the result.
+seeded sentences: addresses, numbers and look-alikes that are no personal data. It reads every text whole, in windows of WINDOW
+characters that overlap by 2 * MARGIN; all windows go through the network and the CRF. A character takes its tag from the window
+in which it lies nearest the middle, so the tags of a whole text are one sequence, and spans come from that. A span is added if
+it may be what its tag says (plausible(): an address has a sign and a dot, four numbers have three dots, a card passes Luhn, numbers have their digits), stands
+apart from what is beside it, and overlaps no span of the patterns.
+
+Viterbi runs for the windows where the best path may have a span. It has none, for certain, where at each character the best
+other tag falls short of 'outside' by more than any transition could make up (Tagger.outside()); a test holds both ways equal.
+
+On sentences of another generator, with words, names and formats that the training has not (tests/llm/test_pii.py), the spans that
+the patterns miss are found with a precision and a recall of 0.98 to 1.00 for each kind; the test holds both above 0.9.
 
 Defined cases: a null text is an empty text. Repeated rows get equal spans. A null doc_id is a document like any other. An empty
 table gives an empty table. Texts of any length are read whole, in time linear in their length. Only doc_id and text are
@@ -14,18 +20,25 @@ read, so other columns can't clash. Places are code points, the end exclusive; m
 
 from __future__ import annotations
 
+import bisect
 import functools
+import itertools
+import pickle
+import random
 import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KINDS = ["email", "ip", "card", "phone"]
-WINDOW, STRIDE = 128, 64
-_CHARS, _EMBED, _HIDDEN, _TAGS = 130, 12, 16, 1 + 2 * len(KINDS)
+WINDOW, MARGIN = 256, 32
+STRIDE = WINDOW - 2 * MARGIN
+_CHARS, _EMBED, _HIDDEN, _TAGS = 130, 12, 24, 1 + 2 * len(KINDS)
+_trained: list[Tagger] = []
 Span = tuple[int, int, int]  # start, rank of the kind, end
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -34,17 +47,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-#: Forms of spans that the tagger may add.
-FORMS = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"),
-    "card": re.compile(r"[0-9]{3,6}(?:[ .\-/]?[0-9]{3,6}){2,4}"),
-    "phone": re.compile(r"\(?[0-9]{2,4}\)?[ .\-/][0-9]{2,4}(?:[ .\-/][0-9]{2,4}){1,3}"),
-}
-#: What holds every match of a form: an address around its sign, or a run of the characters of the other forms.
-_AT = re.compile(r"@|\(at\)|\[at\]")
-_NUMBERS = re.compile(r"[0-9().\x20/\-]+")
-_HOST = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-.")
+_SIGN = re.compile(r"@|\bat\b", re.I)
+_DOT = re.compile(r"\.|\bdot\b", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -80,51 +84,76 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out)
 
 
+#: Syllables and words of the training sentences.
+_STARTS, _CORES, _ENDS = "b c d f g h j k l m n p r s t v w z ch st tr".split(), "a e i o u é ü ó ei ou".split(), ["", "", "", "n", "r", "s", "l", "nt", "ß"]
+_WORDS = "the and of to in is at on for with der die und das les des que con por para una at dot mail call phone card pay write number order see table page fig no".split()
+_TLDS = "com net org de fr es io edu info co.uk example.com".split()
+
+
 def sentences(seed: int, n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(characters, tags) of n labelled windows: words, spans of each kind and look-alikes without a label."""
-    rng = np.random.default_rng(seed)
-    pick = lambda s, k: "".join(s[i] for i in rng.integers(0, len(s), k))
-    digits = lambda k: pick("0123456789", k)
-    one = lambda *xs: xs[rng.integers(len(xs))]
+    rng = random.Random(seed)
+    digits = lambda k: "".join(rng.choices("0123456789", k=k))
+    one = lambda *xs: rng.choice(xs)
 
     def word() -> str:
-        w = pick("eeaaooiutnsrhldcmpébüñ", int(rng.integers(1, 9)))
-        return (w.capitalize() if rng.random() < 0.15 else w) + one("", "", "", "", ",", ".", ":", "!")
+        w = rng.choice(_WORDS) if rng.random() < 0.3 else "".join(rng.choice(_STARTS) + rng.choice(_CORES) + rng.choice(_ENDS) for _ in range(rng.choice((1, 2, 2, 3))))
+        return w.upper() if rng.random() < 0.03 else w.capitalize() if rng.random() < 0.2 else w
+
+    def name() -> str:
+        w = "".join(c for c in word() if c.isascii())[: rng.choice((1, 4, 8, 12))] or "x"
+        return w if rng.random() < 0.2 else w.lower()
+
+    def email() -> str:
+        local = one("", "", "", ".", "_", "-", "+").join(name() for _ in range(rng.choice((1, 2, 2, 3)))) + (digits(rng.choice((1, 2, 2, 4))) if rng.random() < 0.35 else "")
+        hosts = [name() + (digits(1) if rng.random() < 0.2 else "") for _ in range(rng.choice((1, 1, 1, 2)))]
+        sign = one("@", "@", " (at) ", "(at)", " [at] ", "[at]", " @ ", " at ", "{at}", " AT ", " (AT) ", "[@]", "(@)")
+        dot = one(" dot ", " (dot) ", "[dot]", " DOT ", "(dot)") if "at" in sign.lower() and (sign.lower() == " at " or rng.random() < 0.3) else one("[.]", " . ", ".") if rng.random() < 0.1 else "."
+        return (local if rng.random() < 0.8 else local.replace(".", dot)) + sign + dot.join([*hosts, *rng.choice(_TLDS).split(".")])
+
+    def ip() -> str:
+        sep = one(".", ".", "[.]", "[.]", " . ", "(.)", " dot ", "[dot]")
+        return sep.join(str(rng.choice((rng.randrange(256), 0, 1, 10, 127, 192, 168))) for _ in range(4))
 
     def card() -> str:
-        d = digits(15)
+        d = one("4", "51", "52", "55", "37", "6011", "34") + digits(14)
+        d = d[: 14 if d[:2] in ("37", "34") else 15]
         d += next(c for c in "0123456789" if luhn(d + c))
-        sep = one("", " ", "-", ".", "/")
-        return sep.join(d[i : i + 4] for i in range(0, 16, 4))
-
-    def entity(kind: int) -> str:
-        name, host = word().strip(",.:!"), word().strip(",.:!").encode("ascii", "ignore").decode() or "mail"
-        if kind == 0:
-            return f"{name.encode('ascii', 'ignore').decode() or 'x'}{one('', '.', '_')}{digits(int(rng.integers(0, 3)))}x{one('@', '@', '@', ' (at) ', '[at]')}{host}{digits(int(rng.integers(0, 2)))}.{one('example.com', 'net', 'org', 'co.uk')}"
-        if kind == 1:
-            return ".".join(str(x) for x in rng.integers(0, 256, 4))
-        if kind == 2:
-            return card()
+        cuts = (4, 10, 15) if len(d) == 15 else (4, 8, 12, 16)
+        return one("", " ", "-", ".", "/", "  ", " - ", "_").join(d[a:b] for a, b in zip((0, *cuts), cuts, strict=False))
+
+    def phone() -> str:
         a, b, c = digits(3), digits(3), digits(4)
-        return one(f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+{digits(2)} {a} {b} {c}", f"{a} {b} {c}")
+        local = one(f"({a}) {b}-{c}", f"({a}){b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"{a}/{b}-{c}", f"0{digits(2)} {digits(2)} {digits(2)} {digits(2)} {digits(2)}", f"0{digits(3)}/{digits(6)}", f"0{digits(3)}-{digits(7)}", f"0{digits(4)} {digits(6)}")
+        lead = one("", "", "", "+1 ", f"+{digits(2)} ", f"00{digits(2)} ", "1-", f"+{digits(2)}-", "001-")
+        return lead + local
 
     def other() -> str:
-        k = digits(int(rng.integers(1, 9)))
-        return one(k, f"{k}.{digits(2)}", f"20{digits(2)}-0{digits(1)}-1{digits(1)}", pick("0123456789abcdef", 40), f"v{digits(1)}.{digits(1)}.{digits(2)}", f"${k}", f"@{word()}", f"{digits(1)}:{digits(2)}", digits(int(rng.integers(9, 20))), f"#{k}")
-
+        k = digits(rng.randint(1, 8))
+        return one(
+            k, k, f"{k}.{digits(2)}", f"{digits(1)},{digits(3)}", f"{digits(1)},{digits(3)},{digits(3)}", f"{one('19', '20')}{digits(2)}-0{digits(1)}-{one('1', '2')}{digits(1)}", f"{digits(2)}/{digits(2)}/{one('19', '20')}{digits(2)}", f"{digits(2)}.{digits(2)}.{one('19', '20')}{digits(2)}",
+            f"{one('19', '20')}{digits(2)}-{one('19', '20')}{digits(2)}", f"{one('19', '20')}{digits(2)}{digits(2)}{digits(2)}", "".join(rng.choices("0123456789abcdef", k=rng.choice((8, 16, 32, 40)))), "-".join("".join(rng.choices("0123456789abcdef", k=k)) for k in (8, 4, 4, 4, 12)),
+            f"v{digits(1)}.{digits(1)}.{digits(2)}", f"{digits(1)}.{digits(2)}.{digits(1)}", f"{digits(1)}.{digits(1)}.{digits(1)}.{digits(4)}", f"${k}", f"{digits(2)}%", f"@{name()}", f"{name()} @ {digits(2)}", f"{digits(1)}:{digits(2)}", f"{digits(2)}:{digits(2)}:{digits(2)}", digits(rng.randint(9, 12)), digits(rng.randint(20, 30)),
+            f"#{k}", f"97{one('8', '9')}-{digits(1)}-{digits(2)}-{digits(6)}-{digits(1)}", f"({digits(2)})", f"{digits(2)}x{digits(2)}x{digits(2)}", f"{name()}-{digits(3)}-{digits(3)}", f"{digits(3)} {digits(3)}", f"{digits(2)} {digits(1)} {digits(2)}", f"at {name()}.{rng.choice(_TLDS)}", f"{name()} at {name()}",
+            f"https://{name()}.{rng.choice(_TLDS)}/{name()}", f"www.{name()}.{rng.choice(_TLDS)}", f"{name()}.{name()}", f"look at {name()}", f"{word()} dot {word()}", f"{word()} (at {name()})", f"{name()}={k}", f"{digits(4)} {digits(4)}", f"{digits(3)}-{digits(4)}", f"{digits(2)}.{digits(2)}", f"[{k}]", "|" * rng.randint(1, 5), "###", "...", "{" + name() + "}", "<" + name() + ">",
+        )
+
+    makers = (email, ip, card, phone)
     chars, tags = np.zeros((n, size), dtype=np.int64), np.zeros((n, size), dtype=np.int64)
     for i in range(n):
-        text, tag = pick("etaoin ", int(rng.integers(0, 8))), []
+        text = "etaoin shrdlu 01.23-4@"[rng.randrange(22) :][: rng.randrange(6)]  # a window may start anywhere
         tag = [0] * len(text)
-        while len(text) < size:
+        length = rng.choice((size, size, size, rng.randint(1, size)))
+        while len(text) < length:
             r = rng.random()
-            kind = int(rng.integers(4)) if r < 0.2 else -1
-            s = entity(kind) if kind >= 0 else other() if r < 0.35 else word()
-            lead = one("", "", "", "(", '"') if kind >= 0 else ""
-            tail = one(" ", " ", " ", ", ", ". ", ") ", "\n") if kind >= 0 else " "
+            kind = rng.randrange(4) if r < 0.22 else -1
+            s = makers[kind]() if kind >= 0 else other() if r < 0.42 else word()
+            lead = one("", "", "", "(", '"', "<", ": ", "=") if r < 0.3 else ""
+            tail = one(" ", " ", " ", ", ", ". ", ") ", "\n", "; ", '" ', ": ") if r < 0.42 else one(" ", " ", " ", " ", " ", ", ", ". ", ".\n", ": ", "! ")
             text += lead + s + tail
             tag += [0] * len(lead) + ([1 + 2 * kind] + [2 + 2 * kind] * (len(s) - 1) if kind >= 0 else [0] * len(s)) + [0] * len(tail)
-        chars[i], tags[i] = codes(text)[:size], tag[:size]
+        got = codes(text)[:length]
+        chars[i, : len(got)], tags[i, : len(got)] = got, tag[:length]
     return chars, tags
 
 
@@ -219,27 +248,70 @@ class Tagger:
         np.add.at(grad["emb"], chars.T, de)
         return float(loss), grad
 
-    def viterbi(self, chars: np.ndarray) -> np.ndarray:
-        """The best tags (batch, time) of chars (batch, time)."""
-        u, a = self.emissions(chars), self.p["trans"]
+    def fast_emissions(self, chars: np.ndarray) -> np.ndarray:
+        """What emissions() gives, as (time, tag, batch). Characters are looked up in a table of their gates' inputs, both directions
+        run side by side, and sigmoids are had from the one tanh over all gates."""
+        scale = np.array([0.5] * 3 * _HIDDEN + [1.0] * _HIDDEN, np.float32)[:, None]
+        table = [np.ascontiguousarray((self.p["emb"] @ self.p[f"x{d}"] + self.p[f"c{d}"]).T * scale, dtype=np.float32) for d in "fb"]
+        own = np.stack([self.p[f"h{d}"].T * scale for d in "fb"]).astype(np.float32)
+        at = np.ascontiguousarray(chars.T)
+        n, b = at.shape
+        c, h, part = (np.zeros((2, _HIDDEN, b), np.float32) for _ in range(3))
+        z, drive = np.empty((2, 4 * _HIDDEN, b), np.float32), np.empty((4 * _HIDDEN, b), np.float32)
+        hidden = np.empty((2, n, _HIDDEN, b), np.float32)
+        for t in range(n):
+            np.matmul(own, h, out=z)
+            for k, place in enumerate((t, n - 1 - t)):
+                np.take(table[k], at[place], axis=1, out=drive, mode="clip")
+                z[k] += drive
+            np.tanh(z, out=z)
+            gates, g = z[:, : 3 * _HIDDEN], z[:, 3 * _HIDDEN :]
+            gates += 1  # twice the sigmoids
+            i, f, o = (gates[:, k * _HIDDEN : (k + 1) * _HIDDEN] for k in range(3))
+            np.multiply(i, g, out=part)
+            c *= f
+            c += part
+            c *= 0.5
+            np.tanh(c, out=h)
+            h *= o
+            h *= 0.5
+            hidden[0, t], hidden[1, n - 1 - t] = h
+        out = self.p["out"].T.astype(np.float32)
+        return out[:, :_HIDDEN] @ hidden[0] + out[:, _HIDDEN:] @ hidden[1] + self.p["bias"][:, None].astype(np.float32)
+
+    def outside(self, u: np.ndarray) -> np.ndarray:
+        """The windows of u (time, tag, batch) whose only best path is all 'outside', for certain: every character of a span would
+        lose more to that tag than its way in or on and a way out can bring."""
+        a = self.p["trans"] - self.p["trans"][0, 0]
+        most = max(0.0, float(a[:, 1:].max())) + max(0.0, float(a[1:, 0].max()))
+        return ((u[:, 1:].max(axis=1) - u[:, 0]).max(axis=0) + most) < -1e-3
+
+    def viterbi(self, chars: np.ndarray, every: bool = False) -> np.ndarray:
+        """The best tags (batch, time) of chars (batch, time). `every`: search all windows, those that are outside() too."""
+        u, a = self.fast_emissions(chars), self.p["trans"].astype(np.float32)
+        out = np.zeros((len(chars), len(u)), dtype=np.int8)
+        some = np.arange(len(chars)) if every else np.flatnonzero(~self.outside(u))
+        if not len(some):
+            return out
+        u = np.ascontiguousarray(u[:, :, some])
         best, back = u[0], np.empty(u.shape, dtype=np.int8)
         for t in range(1, len(u)):
-            s = best[:, :, None] + a
-            back[t] = s.argmax(axis=1)
-            best = u[t] + s.max(axis=1)
-        out = np.empty(u.shape[:2], dtype=np.int8)
-        out[-1] = best.argmax(axis=1)
-        rows = np.arange(u.shape[1])
+            s = best[:, None, :] + a[:, :, None]  # from, to, window
+            back[t] = s.argmax(axis=0)
+            best = u[t] + s.max(axis=0)
+        tags, rows = np.empty((len(u), len(some)), dtype=np.int8), np.arange(len(some))
+        tags[-1] = best.argmax(axis=0)
         for t in range(len(u) - 1, 0, -1):
-            out[t - 1] = back[t][rows, out[t]]
-        return out.T
+            tags[t - 1] = back[t][tags[t], rows]
+        out[some] = tags.T
+        return out
 
 
 @functools.lru_cache(maxsize=4)
-def train(seed: int = 5, steps: int = 220, batch: int = 48, size: int = 80) -> Tagger:
+def train(seed: int = 5, steps: int = 1200, batch: int = 64, size: int = 96) -> Tagger:
     """A tagger trained with Adam on `steps` batches of labelled windows."""
     tagger = Tagger(seed)
-    chars, tags = sentences(seed, 40 * batch, size)
+    chars, tags = sentences(seed, 200 * batch, size)
     m, v = ({k: np.zeros_like(x) for k, x in tagger.p.items()} for _ in range(2))
     rng = np.random.default_rng(seed)
     for t in range(1, steps + 1):
@@ -254,63 +326,53 @@ def train(seed: int = 5, steps: int = 220, batch: int = 48, size: int = 80) -> T
     return tagger
 
 
-def needed(text: str) -> list[tuple[int, int]]:
-    """Ranges of the characters whose tags an added span may depend on: whatever matches a form lies in one of them, with
-    what tagged_spans would trim beside it and one character more, which shows where the run of tags starts and ends."""
-    found = []
-    for m in _AT.finditer(text):
-        start, end = m.span()
-        start -= text[start - 1 : start] == " "
-        end += text[end : end + 1] == " "
-        lo, hi = start, end
-        while lo > 0 and text[lo - 1] in _LOCAL:
-            lo -= 1
-        while hi < len(text) and text[hi] in _HOST:
-            hi += 1
-        if lo < start and hi > end:
-            found.append((lo, hi))
-    if _DIGIT.search(text):
-        found += [m.span() for m in _NUMBERS.finditer(text) if m.end() - m.start() >= 7 and any(FORMS[k].search(text, *m.span()) for k in ("ip", "card", "phone"))]
-    out = []
-    for lo, hi in found:
-        while lo > 0 and not (text[lo - 1].isalnum() or text[lo - 1] in "(+"):
-            lo -= 1
-        while hi < len(text) and not text[hi].isalnum():
-            hi += 1
-        out.append((max(lo - 1, 0), min(hi + 1, len(text))))
-    return out
+def trained(spark: SparkSession) -> Tagger:
+    """The tagger, trained once for each driver by a task, whose numpy has one thread as Spark sets it; some hundred kB of weights."""
+    if not _trained:
+        rows = spark.range(1, numPartitions=1).mapInPandas(lambda frames: (pd.DataFrame({"p": [pickle.dumps(train().p)]}) for _ in frames), "p binary")
+        tagger = Tagger()
+        tagger.p = pickle.loads(rows.first()[0])
+        _trained.append(tagger)
+    return _trained[0]
 
 
-def tag_texts(tagger: Tagger, texts: list[str], every: bool = False) -> list[np.ndarray | None]:
-    """The tags of each text, reconciled over its windows; None where no window needs decoding. `every`: decode all."""
-    places, windows, out = [], [], []
-    quarter = (WINDOW - STRIDE) // 2
+def tag_texts(tagger: Tagger, texts: list[str], every: bool = False) -> list[np.ndarray]:
+    """The tags of each text, reconciled over its windows. `every`: as in Tagger.viterbi."""
+    out, windows, places = [], [], []
     for k, text in enumerate(texts):
-        ranges = [(0, len(text))] if every and text else needed(text)
-        if not ranges:
-            out.append(None)
-            continue
-        c = codes(text)
+        c = codes(text).astype(np.uint8)
         out.append(np.zeros(len(c), dtype=np.int8))
-        # Character i takes its tag from window max(0, (i - quarter) // STRIDE).
-        starts = sorted({n for lo, hi in ranges for n in range(max(0, (lo - quarter) // STRIDE), max(0, (hi - 1 - quarter) // STRIDE) + 1)})
-        for s in (n * STRIDE for n in starts):
-            w = np.zeros(WINDOW, dtype=np.int64)
-            part = c[s : s + WINDOW]
-            w[: len(part)] = part
-            windows.append(w)
-            places.append((k, s))
-    for at in range(0, len(windows), 512):
-        tags = tagger.viterbi(np.stack(windows[at : at + 512]))
-        for (k, s), t in zip(places[at : at + 512], tags, strict=True):
-            lo = 0 if s == 0 else quarter  # the middle of the window; a text's start has no other window
-            part = out[k][s + lo : s + WINDOW - quarter]
-            part[:] = t[lo : lo + len(part)]
+        if len(c):
+            # Character i takes its tag from window max(0, (i - MARGIN) // STRIDE).
+            n = max(0, (len(c) - 1 - MARGIN) // STRIDE) + 1
+            c = np.pad(c, (0, (n - 1) * STRIDE + WINDOW - len(c))) if len(c) < (n - 1) * STRIDE + WINDOW else c
+            windows.append(np.lib.stride_tricks.sliding_window_view(c, WINDOW)[:: STRIDE][:n])
+            places += [(k, s * STRIDE) for s in range(n)]
+    whole = np.concatenate(windows) if windows else np.zeros((0, WINDOW), dtype=np.uint8)
+    for at in range(0, len(whole), 512):
+        tags = tagger.viterbi(whole[at : at + 512], every)
+        for i in range(len(tags)) if every else np.flatnonzero(tags.any(axis=1)):
+            k, s = places[at + i]
+            lo = 0 if s == 0 else MARGIN  # the middle of the window; a text's start has no other window
+            part = out[k][s + lo : s + WINDOW - MARGIN]
+            part[:] = tags[i, lo : lo + len(part)]
     return out
 
 
+def plausible(kind: str, s: str) -> bool:
+    """Whether a span may be of a kind, whatever its form."""
+    if kind == "email":
+        sign = _SIGN.search(s, 1)
+        return bool(sign and s[0].isalnum() and _DOT.search(s, sign.end() + 1) and s[-1].isalpha() and s.isascii())
+    d = _digits(s)
+    if kind == "ip":
+        parts = re.findall("[0-9]+", s)
+        return len(parts) == 4 and all(int(x) <= 255 for x in parts) and len(_DOT.findall(s)) == 3
+    return 12 <= len(d) <= 19 and luhn(d) if kind == "card" else 9 <= len(d) <= 15
+
+
 def tagged_spans(text: str, tags: np.ndarray) -> list[Span]:
-    """Spans of one sequence of tags that have the form of their kind."""
+    """Spans of one sequence of tags that are plausible and stand apart."""
     out = []
     some = np.flatnonzero(tags)
     at = 0
@@ -323,28 +385,32 @@ def tagged_spans(text: str, tags: np.ndarray) -> list[Span]:
             start += 1
         while start < end and not text[end - 1].isalnum():
             end -= 1
-        s = text[start:end]
-        d = _digits(s)
-        fits = bool(FORMS[KINDS[rank]].fullmatch(s)) and {0: True, 1: all(int(x) <= 255 for x in s.split(".")) if rank == 1 else True, 2: 12 <= len(d) <= 19 and luhn(d), 3: 9 <= len(d) <= 15}[rank]
-        beside = (text[start - 1 : start] + text[end : end + 1]).strip()
-        if fits and not any(c.isalnum() or c in "+-@" for c in beside):
+        beside = (text[max(start - 1, 0) : start] + text[end : end + 1]).strip()
+        if start < end and not any(c.isalnum() or c in "+-@" for c in beside) and plausible(KINDS[rank], text[start:end]):
             out.append((start, rank, end))
     return out
 
 
+def apart(added: list[Span], base: list[Span]) -> list[Span]:
+    """Those of `added` that overlap no span of `base`; both by start."""
+    starts = [b[0] for b in base]
+    ends = list(itertools.accumulate((b[2] for b in base), max))  # the furthest end so far
+    return [s for s in added if not (k := bisect.bisect_left(starts, s[2])) or ends[k - 1] <= s[0]]
+
+
 def find(texts: list[str], tagger: Tagger) -> list[tuple[list[Span], list[Span]]]:
     """(spans of the patterns, all spans) of each text."""
     out = []
     for text, tags in zip(texts, tag_texts(tagger, texts), strict=True):
         base = base_spans(text)
-        added = [s for s in tagged_spans(text, tags) if not any(s[0] < b[2] and b[0] < s[2] for b in base)] if tags is not None else []
+        added = apart(tagged_spans(text, tags), base)
         out.append((base, sorted(base + added)))
     return out
 
 
 def detect(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
     """doc_id, base and spans (arrays of start, kind, end, in that order) for each row of `docs`."""
-    tagger = tagger or train()
+    tagger = tagger or trained(docs.sparkSession)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.string()), ("end", pa.int32())]))
 
     def detected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
