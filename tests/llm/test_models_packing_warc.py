@@ -81,6 +81,49 @@ def test_packing_places_each_id_once_without_padding(spark):
     assert K.pack_documents(odd_docs(spark).limit(0), BPE).count() == 0
 
 
+def packed_by_search(lengths, capacity):
+    """The same rule, every sequence asked for every piece."""
+    room = K.bins(sum(lengths), capacity)
+    size, cost, out = list(room), [0.0] * len(room), []
+    for doc, length in enumerate(lengths):
+        start = 0
+        while start < length:
+            some = [i for i, r in enumerate(room) if r >= length - start] or [i for i, r in enumerate(room) if r]
+            i = min(some, key=lambda i: (cost[i], i))
+            n = min(length - start, room[i])
+            out.append((doc, start, n, i, size[i] - room[i]))
+            room[i], cost[i], start = room[i] - n, cost[i] + K.LINEAR * n + K.QUADRATIC * n * n, start + n
+    return out
+
+
+def test_pack_equals_a_search_of_all_sequences():
+    rng = np.random.default_rng(8)
+    for k in range(60):
+        capacity = int(rng.choice([1, 7, 64, 256]))
+        lengths = sorted((rng.geometric(1 / rng.integers(1, 3 * capacity + 2), int(rng.integers(0, 120)))).tolist(), reverse=True)
+        assert K.pack(lengths, capacity) == packed_by_search(lengths, capacity)
+    assert K.pack([], 8) == []
+    lengths = sorted(rng.lognormal(6, 1.1, 1500).astype(int).clip(1, 30_000).tolist(), reverse=True)
+    assert K.pack(lengths, 2048) == packed_by_search(lengths, 2048)
+
+
+def test_equal_rows_spread_over_blocks(spark):
+    docs = spark.range(10_000, numPartitions=4).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    pieces = K.pack_documents(docs, BPE, block_bytes=40 * K.ROW_BYTES)
+    sizes = [r.n for r in pieces.groupBy(F.shiftright("sequence_id", 24).alias("block")).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 10_000 and len(sizes) > 200 and max(sizes) < 120
+
+
+def test_ids_of_the_whole_small_table_equal_the_tokenizer(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    model = K.ByteTokens.load(BPE).model
+    want = {r.doc_id: zlib.crc32(np.array([*model.encode(r.text or "", add_special_tokens=False).ids, K.END], dtype="<u4").tobytes()) for r in docs.collect()}
+    got = {}
+    for r in sorted(K.pack_documents(docs, BPE, with_ids=True).collect(), key=lambda r: r.start):
+        got[r.doc_id] = zlib.crc32(r.ids, got.get(r.doc_id, 0))
+    assert got == want
+
+
 def test_pack_balances_costs():
     rng = np.random.default_rng(3)
     lengths = sorted(rng.integers(1, 900, 4000).tolist(), reverse=True)

@@ -1,13 +1,18 @@
 """Cost-balanced packing of tokenised documents into sequences.
 
 The cost of a piece of n tokens is estimated as LINEAR * n + QUADRATIC * n^2 (attention). Documents are packed in blocks. Within a
-block they go, the longest first, to the sequence of the lowest cost that has room for them; a document that none of
-the cheapest sequences has room for fills the cheapest one and its rest goes on. The sequences of a block hold exactly
-its tokens: all have `capacity`, and what remains is split into powers of two, which need no padding.
-
-Blocks: a document's block is a hash of its id and length modulo the number of blocks, which follows from the bytes
-of all texts, so that a block has about BLOCK_BYTES of text. Tokens are found once and shuffled once, with their block.
-A task holds one block; a single document longer than that is a block's one large row.
+block they go, the longest first, to the sequence of the lowest cost that has room for all of them (of equals the first); only a
+document that no sequence of the block has room for is cut: it fills the cheapest sequence with any room and its rest goes on
+alike. Sequences lie by their room in a tree of lowest costs (ByRoom), so the choice is exact and takes the logarithm of the
+capacity, however many sequences there are. The sequences of a block hold exactly its tokens: all have `capacity`, and what
+remains is split into powers of two, which need no padding.
+
+Blocks: the number of blocks follows from the bytes of all texts and the number of rows, so that a block has about
+BLOCK_BYTES (a row counts as ROW_BYTES more than its text). A document's block is a hash of its id and length and of the task
+that reads it, and, where a batch of that task holds equal rows, of their number there; so equal rows, null ids and empty texts
+spread over blocks too. A task that is run again puts its rows where it did before, if its input has an order (files, tables).
+Tokens are found once and shuffled once, with their block. A task holds one block; a single document longer than that is
+a block's one large row.
 
 Defined cases: a null text is an empty text, whose one token is the end mark. Rows with equal ids are documents of
 their own. A null doc_id is a document like any other. An empty table gives an empty table. Ties in length go by id,
@@ -25,10 +30,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CAPACITY, END, BLOCK_BYTES, CHEAPEST = 2048, 1, 2_000_000, 8
+CAPACITY, END, BLOCK_BYTES, ROW_BYTES = 2048, 1, 2_000_000, 64
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
 #: Fixed value: the pattern that splits a text before byte-level merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -95,58 +101,94 @@ def bins(total: int, capacity: int) -> list[int]:
     return [capacity] * full + [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
 
 
+class ByRoom:
+    """Sequences by their room: for each room a heap of (cost, sequence), and a tree of the least of the heaps."""
+
+    NONE = (float("inf"), -1)
+
+    def __init__(self, rooms: list[int]):
+        self.size = 1 << max(rooms, default=0).bit_length()
+        self.heaps: dict[int, list[tuple[float, int]]] = {}
+        self.least = [self.NONE] * (2 * self.size)
+        for i, room in enumerate(rooms):
+            self.heaps.setdefault(room, []).append((0.0, i))  # in order, so each is a heap
+        for room in self.heaps:
+            self._mend(room)
+
+    def _mend(self, room: int) -> None:
+        at, heap = room + self.size, self.heaps[room]
+        self.least[at] = heap[0] if heap else self.NONE
+        while at > 1:
+            at >>= 1
+            self.least[at] = min(self.least[2 * at], self.least[2 * at + 1])
+
+    def cheapest(self, room: int) -> tuple[float, int]:
+        """(cost, sequence) of the cheapest with so much room at least; NONE if there is none."""
+        if room >= self.size:
+            return self.NONE
+        lo, hi, best = room + self.size, 2 * self.size, self.NONE
+        while lo < hi:  # `hi` is past the end at every level: only the left border has nodes of its own
+            if lo & 1:
+                best = min(best, self.least[lo])
+                lo += 1
+            lo, hi = lo >> 1, hi >> 1
+        return best
+
+    def move(self, room: int, to: int, cost: float) -> None:
+        """The cheapest sequence of a room gets another room and cost; without room it leaves."""
+        _, i = heapq.heappop(self.heaps[room])
+        self._mend(room)
+        if to:
+            heapq.heappush(self.heaps.setdefault(to, []), (cost, i))
+            self._mend(to)
+
+
 def pack(lengths: list[int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) of each piece. `lengths`: of the documents, in descending order."""
     room = bins(sum(lengths), capacity)
-    size = list(room)
-    queue = [(0.0, i) for i in range(len(room))]  # (cost so far, sequence); all with room left
-    out = []
-
-    def place(cost: float, i: int, doc: int, start: int, n: int) -> None:
-        out.append((doc, start, n, i, size[i] - room[i]))
-        room[i] -= n
-        if room[i]:
-            heapq.heappush(queue, (cost + LINEAR * n + QUADRATIC * n * n, i))
-
+    size, queue, out = list(room), ByRoom(room), []
     for doc, length in enumerate(lengths):
         start = 0
         while start < length:
-            tried, left = [], length - start
-            while queue and len(tried) < CHEAPEST:
-                tried.append(heapq.heappop(queue))
-                if room[tried[-1][1]] >= left:
-                    break
-            fits = room[tried[-1][1]] >= left
-            cost, i = tried.pop() if fits else tried.pop(0)
-            for x in tried:
-                heapq.heappush(queue, x)
-            n = min(left, room[i])
-            place(cost, i, doc, start, n)
+            cost, i = queue.cheapest(length - start)
+            if i < 0:
+                cost, i = queue.cheapest(1)
+            n = min(length - start, room[i])
+            out.append((doc, start, n, i, size[i] - room[i]))
+            queue.move(room[i], room[i] - n, cost + LINEAR * n + QUADRATIC * n * n)
+            room[i] -= n
             start += n
     return out
 
 
 def tokenised(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id, n (tokens with the end mark) and ids (4 bytes each, or 2 for vocabularies that fit) for each row of `docs`."""
+    """doc_id, n (tokens with the end mark), ids (4 bytes each, or 2 for vocabularies that fit) and place (the task, and a row's
+    number in it where its batch holds rows like it) for each row of `docs`."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = ByteTokens.load(tokenizer)
         kind = np.dtype("<u2" if tokens.model.get_vocab_size() <= 1 << 16 else "<u4")
-        end = np.array([END], dtype=kind).tobytes()
+        end, task, row = np.array([END], dtype=kind).tobytes(), TaskContext.get().partitionId() << 40, 0
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 ids = [tokens.encode(t.as_py() or "").astype(kind).tobytes() + end for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // kind.itemsize for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n", "ids"])
+                seen, places = set(), []
+                for like in zip(part.column(0).to_pylist(), ids, strict=True):
+                    places.append(task + row if like in seen else task)
+                    seen.add(like)
+                    row += 1
+                cols = [part.column(0), pa.array([len(x) // kind.itemsize for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(places, pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "ids", "place"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, "doc_id bigint, n bigint, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, "doc_id bigint, n bigint, ids binary, place bigint")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, block_bytes: int = BLOCK_BYTES, with_ids: bool = False) -> DataFrame:
     """A row for each piece (PIECES, and its ids as 4-byte integers if asked for). `tokenizer`: the path of its file on each executor."""
-    nbytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    nbytes = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES)).first()[0] or 0
     blocks = max(1, -(-nbytes // block_bytes))
-    rows = tokenised(docs, tokenizer).withColumn("block", F.pmod(F.xxhash64("doc_id", "n"), F.lit(blocks)))
+    rows = tokenised(docs, tokenizer).withColumn("block", F.pmod(F.xxhash64("doc_id", "n", "place"), F.lit(blocks))).drop("place")
 
     def packed(key: tuple, table: pa.Table) -> pa.Table:
         doc, n = table.column("doc_id").to_pylist(), table.column("n").to_pylist()
