@@ -7,11 +7,11 @@ in which it lies nearest the middle, so the tags of a whole text are one sequenc
 it may be what its tag says (plausible(): an address has a sign and a dot, four numbers have three dots, a card passes Luhn, numbers have their digits), stands
 apart from what is beside it, and overlaps no span of the patterns.
 
-Viterbi runs for the windows where the best path may have a span. It has none, for certain, where at each character the best
-other tag falls short of 'outside' by more than any transition could make up (Tagger.outside()); a test holds both ways equal.
+Viterbi's recursion runs over every window; the way back is noted only where its best score is above that of no span at all
+(Tagger.outside()); a test holds this equal to noting it everywhere.
 
 On sentences of another generator, with words, names and formats that the training has not (tests/llm/test_pii.py), the spans that
-the patterns miss are found with a precision and a recall of 0.98 to 1.00 for each kind; the test holds both above 0.9.
+the patterns miss are found with a precision and a recall of 0.95 to 1.00 for each kind; the test holds both above 0.9.
 
 Defined cases: a null text is an empty text. Repeated rows get equal spans. A null doc_id is a document like any other. An empty
 table gives an empty table. Texts of any length are read whole, in time linear in their length. Only doc_id and text are
@@ -35,9 +35,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KINDS = ["email", "ip", "card", "phone"]
-WINDOW, MARGIN = 256, 32
+WINDOW, MARGIN = 512, 32
 STRIDE = WINDOW - 2 * MARGIN
-_CHARS, _EMBED, _HIDDEN, _TAGS = 130, 12, 24, 1 + 2 * len(KINDS)
+_CHARS, _EMBED, _HIDDEN, _TAGS = 130, 12, 16, 1 + 2 * len(KINDS)
 _trained: list[Tagger] = []
 Span = tuple[int, int, int]  # start, rank of the kind, end
 
@@ -85,7 +85,7 @@ def base_spans(text: str) -> list[Span]:
 
 
 #: Syllables and words of the training sentences.
-_STARTS, _CORES, _ENDS = "b c d f g h j k l m n p r s t v w z ch st tr".split(), "a e i o u é ü ó ei ou".split(), ["", "", "", "n", "r", "s", "l", "nt", "ß"]
+_STARTS, _CORES, _ENDS = "b c d f g h j k l m n p q r s t v w x y z ch st tr".split(), "a e i o u y é ü ó ei ou".split(), ["", "", "", "n", "r", "s", "l", "x", "y", "nt", "ß", "ck"]
 _WORDS = "the and of to in is at on for with der die und das les des que con por para una at dot mail call phone card pay write number order see table page fig no".split()
 _TLDS = "com net org de fr es io edu info co.uk example.com".split()
 
@@ -97,7 +97,8 @@ def sentences(seed: int, n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     one = lambda *xs: rng.choice(xs)
 
     def word() -> str:
-        w = rng.choice(_WORDS) if rng.random() < 0.3 else "".join(rng.choice(_STARTS) + rng.choice(_CORES) + rng.choice(_ENDS) for _ in range(rng.choice((1, 2, 2, 3))))
+        r = rng.random()
+        w = rng.choice(_WORDS) if r < 0.25 else "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(1, 10))) if r < 0.35 else "".join(rng.choice(_STARTS) + rng.choice(_CORES) + rng.choice(_ENDS) for _ in range(rng.choice((1, 2, 2, 3))))
         return w.upper() if rng.random() < 0.03 else w.capitalize() if rng.random() < 0.2 else w
 
     def name() -> str:
@@ -135,7 +136,7 @@ def sentences(seed: int, n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
             f"{one('19', '20')}{digits(2)}-{one('19', '20')}{digits(2)}", f"{one('19', '20')}{digits(2)}{digits(2)}{digits(2)}", "".join(rng.choices("0123456789abcdef", k=rng.choice((8, 16, 32, 40)))), "-".join("".join(rng.choices("0123456789abcdef", k=k)) for k in (8, 4, 4, 4, 12)),
             f"v{digits(1)}.{digits(1)}.{digits(2)}", f"{digits(1)}.{digits(2)}.{digits(1)}", f"{digits(1)}.{digits(1)}.{digits(1)}.{digits(4)}", f"${k}", f"{digits(2)}%", f"@{name()}", f"{name()} @ {digits(2)}", f"{digits(1)}:{digits(2)}", f"{digits(2)}:{digits(2)}:{digits(2)}", digits(rng.randint(9, 12)), digits(rng.randint(20, 30)),
             f"#{k}", f"97{one('8', '9')}-{digits(1)}-{digits(2)}-{digits(6)}-{digits(1)}", f"({digits(2)})", f"{digits(2)}x{digits(2)}x{digits(2)}", f"{name()}-{digits(3)}-{digits(3)}", f"{digits(3)} {digits(3)}", f"{digits(2)} {digits(1)} {digits(2)}", f"at {name()}.{rng.choice(_TLDS)}", f"{name()} at {name()}",
-            f"https://{name()}.{rng.choice(_TLDS)}/{name()}", f"www.{name()}.{rng.choice(_TLDS)}", f"{name()}.{name()}", f"look at {name()}", f"{word()} dot {word()}", f"{word()} (at {name()})", f"{name()}={k}", f"{digits(4)} {digits(4)}", f"{digits(3)}-{digits(4)}", f"{digits(2)}.{digits(2)}", f"[{k}]", "|" * rng.randint(1, 5), "###", "...", "{" + name() + "}", "<" + name() + ">",
+            f"https://{name()}.{rng.choice(_TLDS)}/{name()}", f"www.{name()}.{rng.choice(_TLDS)}", f"{name()}.{name()}", f"look at {name()}", f"{word()} dot {word()}", f"{word()} at the dot {word()}", f"{word()} (at {name()})", f"{name()}={k}", f"{digits(4)} {digits(4)}", f"{digits(3)}-{digits(4)}", f"{digits(2)}.{digits(2)}", f"[{k}]", "|" * rng.randint(1, 5), "###", "...", "{" + name() + "}", "<" + name() + ">",
         )
 
     makers = (email, ip, card, phone)
@@ -249,42 +250,48 @@ class Tagger:
         return float(loss), grad
 
     def fast_emissions(self, chars: np.ndarray) -> np.ndarray:
-        """What emissions() gives, as (time, tag, batch). Characters are looked up in a table of their gates' inputs, both directions
-        run side by side, and sigmoids are had from the one tanh over all gates."""
-        scale = np.array([0.5] * 3 * _HIDDEN + [1.0] * _HIDDEN, np.float32)[:, None]
-        table = [np.ascontiguousarray((self.p["emb"] @ self.p[f"x{d}"] + self.p[f"c{d}"]).T * scale, dtype=np.float32) for d in "fb"]
-        own = np.stack([self.p[f"h{d}"].T * scale for d in "fb"]).astype(np.float32)
+        """What emissions() gives, as (time, tag, batch). Both directions run side by side, each step is one product,
+        and sigmoids are had from the one tanh over all gates."""
+        b, n = chars.shape
+        scale = np.array([0.5] * 3 * _HIDDEN + [1.0] * _HIDDEN, np.float32)
+        weights = np.stack([(np.concatenate([self.p[f"h{d}"], self.p[f"x{d}"], self.p[f"c{d}"][None]]) * scale).T for d in "fb"]).astype(np.float32)
+        emb, out = np.ascontiguousarray(self.p["emb"].T, np.float32), 0.5 * np.stack([self.p["out"][:_HIDDEN].T, self.p["out"][_HIDDEN:].T]).astype(np.float32)
         at = np.ascontiguousarray(chars.T)
-        n, b = at.shape
-        c, h, part = (np.zeros((2, _HIDDEN, b), np.float32) for _ in range(3))
-        z, drive = np.empty((2, 4 * _HIDDEN, b), np.float32), np.empty((4 * _HIDDEN, b), np.float32)
-        hidden = np.empty((2, n, _HIDDEN, b), np.float32)
+        x = np.zeros((2, _HIDDEN + _EMBED + 1, b), np.float32)  # what the state, the character and a constant bring
+        x[:, -1] = 1
+        c, twice = (np.zeros((2, _HIDDEN, b), np.float32) for _ in range(2))
+        h, z, said = x[:, :_HIDDEN], np.empty((2, 4 * _HIDDEN, b), np.float32), np.empty((2, _TAGS, b), np.float32)
+        gates, g = z[:, : 3 * _HIDDEN], z[:, 3 * _HIDDEN :]
+        i, f, o = (gates[:, k * _HIDDEN : (k + 1) * _HIDDEN] for k in range(3))
+        u = np.empty((n, _TAGS, b), np.float32)
+        u[:] = self.p["bias"].astype(np.float32)[:, None]
         for t in range(n):
-            np.matmul(own, h, out=z)
-            for k, place in enumerate((t, n - 1 - t)):
-                np.take(table[k], at[place], axis=1, out=drive, mode="clip")
-                z[k] += drive
+            x[0, _HIDDEN:-1], x[1, _HIDDEN:-1] = emb[:, at[t]], emb[:, at[n - 1 - t]]
+            np.matmul(weights, x, out=z)
             np.tanh(z, out=z)
-            gates, g = z[:, : 3 * _HIDDEN], z[:, 3 * _HIDDEN :]
             gates += 1  # twice the sigmoids
-            i, f, o = (gates[:, k * _HIDDEN : (k + 1) * _HIDDEN] for k in range(3))
-            np.multiply(i, g, out=part)
+            np.multiply(i, g, out=twice)
             c *= f
-            c += part
+            c += twice
             c *= 0.5
-            np.tanh(c, out=h)
-            h *= o
-            h *= 0.5
-            hidden[0, t], hidden[1, n - 1 - t] = h
-        out = self.p["out"].T.astype(np.float32)
-        return out[:, :_HIDDEN] @ hidden[0] + out[:, _HIDDEN:] @ hidden[1] + self.p["bias"][:, None].astype(np.float32)
+            np.tanh(c, out=twice)
+            twice *= o
+            np.multiply(twice, 0.5, out=h)
+            np.matmul(out, twice, out=said)
+            u[t] += said[0]
+            u[n - 1 - t] += said[1]
+        return u
 
     def outside(self, u: np.ndarray) -> np.ndarray:
-        """The windows of u (time, tag, batch) whose only best path is all 'outside', for certain: every character of a span would
-        lose more to that tag than its way in or on and a way out can bring."""
-        a = self.p["trans"] - self.p["trans"][0, 0]
-        most = max(0.0, float(a[:, 1:].max())) + max(0.0, float(a[1:, 0].max()))
-        return ((u[:, 1:].max(axis=1) - u[:, 0]).max(axis=0) + most) < -1e-3
+        """The windows of u (time, tag, batch) whose best path is all 'outside': no path scores more than that one does."""
+        a = np.ascontiguousarray(self.p["trans"].astype(np.float32)[:, :, None])
+        best, plain, s = u[0], u[0, 0], np.empty((_TAGS, _TAGS, u.shape[2]), np.float32)
+        for t in range(1, len(u)):
+            np.add(best[:, None, :], a, out=s)  # from, to, window
+            best = s.max(axis=0)
+            best += u[t]
+            plain = plain + a[0, 0] + u[t, 0]
+        return best.max(axis=0) <= plain
 
     def viterbi(self, chars: np.ndarray, every: bool = False) -> np.ndarray:
         """The best tags (batch, time) of chars (batch, time). `every`: search all windows, those that are outside() too."""
@@ -308,12 +315,12 @@ class Tagger:
 
 
 @functools.lru_cache(maxsize=4)
-def train(seed: int = 5, steps: int = 1200, batch: int = 64, size: int = 96) -> Tagger:
-    """A tagger trained with Adam on `steps` batches of labelled windows."""
+def train(seed: int = 6, steps: int = 1500, batch: int = 64, size: int = 96) -> Tagger:
+    """A tagger trained with Adam on `steps` batches of labelled windows; its weights are means over the last fifth."""
     tagger = Tagger(seed)
     chars, tags = sentences(seed, 200 * batch, size)
     m, v = ({k: np.zeros_like(x) for k, x in tagger.p.items()} for _ in range(2))
-    rng = np.random.default_rng(seed)
+    rng, last, mean = np.random.default_rng(seed), steps // 5, {k: np.zeros(x.shape) for k, x in tagger.p.items()}
     for t in range(1, steps + 1):
         rows = rng.integers(0, len(chars), batch)
         _, grad = tagger.step(chars[rows], tags[rows])
@@ -323,6 +330,9 @@ def train(seed: int = 5, steps: int = 1200, batch: int = 64, size: int = 96) ->
             g = g * min(1.0, 5.0 / (norm + 1e-9))
             m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.99 * v[k] + 0.01 * g * g
             tagger.p[k] -= (rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
+            if t > steps - last:
+                mean[k] += tagger.p[k] / last
+    tagger.p = {k: x.astype(np.float32) for k, x in mean.items()}
     return tagger
 
 
