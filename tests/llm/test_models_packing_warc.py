@@ -162,18 +162,86 @@ def test_transducer_on_random_texts():
         assert t.decode(t.encode(x)) == lib.decode(lib.encode(x))
 
 
-def test_unigram_path_is_the_least_of_all_paths():
-    t = T.Transducer.load(PIECES)
+def machine(pieces, kind, prefix=False, squeeze=False):
     own = object.__new__(T.Transducer)
-    own.pieces, own.score, own.longest, own.kind = {"a": 0, "b": 1, "ab": 2, "ba": 3, "aba": 4}, [-2.0, -2.5, -3.0, -2.7, -6.0], 3, T.UNIGRAM
+    own.prefix = prefix
+    own.compile({p: i for i, p in enumerate(pieces)}, list(pieces.values()), [None] * 256, [p.replace(T.SPACE, " ") for p in pieces], kind, T.Normaliser(prefix, squeeze, True))
+    return own
 
-    def every(s):
-        return [[]] if not s else [[s[:n], *rest] for n in (1, 2, 3) if s[:n] in own.pieces for rest in every(s[n:])]
 
-    for s in ("a", "ab", "aba", "abab", "babab", "aabba"):
-        weigh = lambda p: -sum(own.score[own.pieces[x]] for x in p)
-        assert weigh(own.path(s)) == pytest.approx(min(map(weigh, every(s))))
-    assert t.kind == T.MERGES
+def every_path(own, symbols, at=0):
+    """All paths of the composition, whatever they weigh."""
+    return [[]] if at == len(symbols) else [[(label, w), *rest] for end, label, w in own.arcs(symbols, at) for rest in every_path(own, symbols, end)]
+
+
+def test_unigram_path_is_the_least_of_all_paths_of_the_composition():
+    own = machine({"a": -2.0, "b": -2.5, "ab": -3.0, "ba": -2.7, "aba": -6.0}, T.UNIGRAM)
+    for s in ("a", "ab", "aba", "abab", "babab", "aabba", "axb", "xx"):
+        weigh = lambda p: sum(w for _, w in p)
+        least = min(map(weigh, every_path(own, s)))
+        assert sum({i: -w for i, w in enumerate(own.score)}.get(x, own.lost) for x in own.shortest(s)) == pytest.approx(least)
+
+
+def test_merge_machine_has_one_finite_path_that_of_merging():
+    import random
+
+    rng = random.Random(3)
+    for _ in range(40):  # merges as a trainer finds them: each piece of two earlier ones
+        pieces = {c: -100.0 for c in "abc"}
+        while len(pieces) < 16:
+            pieces.setdefault(rng.choice(list(pieces)) + rng.choice(list(pieces)), -float(len(pieces)))
+        own = machine(pieces, T.MERGES)
+        plain = machine(pieces, T.MERGES)
+        plain.odd = set(pieces)
+        for _ in range(40):
+            s = "".join(rng.choice("abcabcx") for _ in range(rng.randrange(1, 10)))
+            finite = [p for p in every_path(own, s) if all(plain._beside(x[0], y[0]) for x, y in zip(p, p[1:]))]
+            assert [[own._label(x) for x, _ in p] for p in finite] == [own.merged(s)]
+            assert own.labels(s) == own.merged(s) == plain.labels(s)
+
+
+def test_arcs_between_pieces_equal_merging_both():
+    import random
+
+    t, rng = T.Transducer.load(PIECES), random.Random(4)
+    assert t.kind == T.MERGES and len(t.odd) < 20
+    names = [i for p, i in t.pieces.items() if p in t.splits]
+    short = [i for i in names if len(t._label(i)) < 4]
+    pairs = [(rng.choice(short if k % 2 else names), rng.choice(short if k % 3 else names)) for k in range(20_000)]
+    pairs += [(a, b) for p in t.odd for a in (t.pieces[p],) for b in rng.sample(names, 50)]
+    pairs += [(b, a) for a, b in pairs[-200:]]
+    wrong = [(a, b) for a, b in pairs if t._beside(a, b) != (t.merged(t._label(a) + t._label(b)) == [t._label(a), t._label(b)])]
+    assert not wrong
+
+
+def test_normaliser_writes_what_the_model_says():
+    texts = ["", " ", "a", "  a  b ", "a\n b", "   "]
+    for prefix in (False, True):
+        for squeeze in (False, True):
+            for text in texts:
+                want = " ".join(x for x in text.split(" ") if x) if squeeze else text
+                want = (" " + want if prefix and want else want).replace(" ", T.SPACE)
+                assert T.Normaliser(prefix, squeeze, True).read(text, T.Normaliser.START) == want
+
+
+def test_squeezing_machine_encodes_chunk_by_chunk_what_it_reads_as_a_whole():
+    own = machine({"a": -1.0, "b": -2.0, T.SPACE: -3.0, f"{T.SPACE}a": -1.5, "ab": -1.2}, T.UNIGRAM, True, True)
+    for text in ["", " ", "   ab", "a  b ", "  ab a   a", "b"]:
+        whole = own.shortest(own.normaliser.read(text, T.Normaliser.START))
+        assert own.encode(text).tolist() == whole
+        assert own.decode(own.encode(text)) == " ".join(text.split())
+
+
+def test_every_text_of_the_small_table_equals_the_library(spark):
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    want = {r.doc_id: lib.encode(r.text or "") for r in docs.collect()}
+    for r in T.encode(docs, PIECES).collect():
+        assert r["ids"] == want[r.doc_id]
+    texts = {r.doc_id: r.text for r in T.decode(T.encode(docs, PIECES), PIECES).collect()}
+    assert all(texts[k] == lib.decode(v) for k, v in want.items())
 
 
 PAGES = [(1, "http://a", "x" * 1200), (2, None, None), (None, "http://c", "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 4\r\n\r\nabcd\r\n\r\n" * 3), (4, "u\r\nx", "x" * 1200), (4, "u", "x" * 1200), (5, "q", ""), (6, "é", "é" * 600), (7, "z", "y" * 999), (8, "z", "y" * 999), (9, "big", "z" * 500_000)]

@@ -1,17 +1,25 @@
 """SentencePiece encoding and decoding as weighted finite-state transduction.
 
-Three transducers are compiled from a model: the normaliser (white space to U+2581, the dummy prefix), the pieces (arcs that read a
-piece's characters and write its id), and byte fallback (arcs that read a character that is no piece and write the ids of
-its UTF-8 bytes). A text is composed with them position by position, and the path of least weight in the tropical semiring
-(min, +) is its encoding.
+Three transducers are compiled from a model, each as states and arcs:
 
-Unigram models: an arc weighs minus its piece's score. Merge (BPE) models: the piece transducer's states are the last piece
-written, an arc to the next one weighs 0 if the two stand side by side in a merged text, that is if merging their
-concatenation gives just these two, and infinity if not. A text is merged just so if all neighbours on its path are such pairs,
-so exactly one path is of finite weight. Pairs are decided once and kept.
+* Normaliser: reads characters, writes characters: white space as U+2581, the dummy prefix, runs of white space as one where
+  the model says so. It is deterministic, so composed with a text it is again one line of characters.
+* Pieces: a trie whose ends write a piece's id. Its weights are in the tropical semiring (min, +). Unigram models: one state,
+  an arc weighs minus its piece's score. Merge (BPE) models: the state is the last piece written, and an arc to the next weighs 0
+  if the two stand side by side in a merged text, infinity if not. A text is merged just so if all neighbours on its path are
+  such pairs, so exactly one path is of finite weight.
+* Byte fallback: arcs that read a character that is no piece and write the ids of its UTF-8 bytes.
+
+The three are composed with the input arc by arc (arcs()), and the path of least weight through the composition, found by relaxing arcs in
+the order of places (shortest(), the same for both kinds of models), is the encoding. Decoding reads the inverted transducers.
+
+The arcs between pieces of a merge model are as many as pairs of pieces; each is decided when a text first asks for it, and kept.
+A merge crosses from a to b if some end of a and some start of b, as they come about while a and b are merged, make a piece that is
+merged before either of the two is used up. Where pieces of equal scores, or of parts with lower scores, come in (as runs of blanks
+do in the public models), the two are merged instead.
 
 No piece of the model may hold white space after another character (the compiler checks this); so texts fall into chunks
-at white space whose paths are independent, and frequent chunks are looked up. Paths take time linear in a chunk's length.
+at white space whose paths are independent, and the paths of frequent chunks are kept. Paths take time linear in a chunk's length.
 
 Defined cases: a null text is an empty text, with no ids. Texts of any length are encoded whole. Repeated rows are
 encoded alike. An empty table gives an empty table. Only doc_id and text are read, so other columns can't clash. A model whose
@@ -20,6 +28,8 @@ normaliser has a character map is refused, as none of the public files has one.
 
 from __future__ import annotations
 
+import collections
+import functools
 import heapq
 import re
 import zlib
@@ -32,8 +42,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-CACHE_CHUNKS, CACHE_PAIRS, CACHE_LENGTH = 200_000, 500_000, 32
+CACHE_CHUNKS, CACHE_PAIRS, CACHE_LENGTH = 200_000, 1_000_000, 32
 UNIGRAM, MERGES = 1, 2
+NEVER = float("inf")
 _loaded: dict[str, Transducer] = {}
 
 
@@ -59,36 +70,80 @@ def _fields(data: bytes) -> Iterator[tuple[int, object]]:
         yield tag >> 3, value
 
 
+class Normaliser:
+    """States and arcs over two kinds of characters, white space and others. An arc writes symbols; OWN is the character read."""
+
+    START, TEXT, GAP = 0, 1, 2
+    OWN = ""
+
+    def __init__(self, prefix: bool, squeeze: bool, escape: bool):
+        gap, first = (SPACE if escape else " "), [SPACE if escape else " "] if prefix else []
+        #: (state, whether white space is read): (symbols written, next state)
+        self.arcs = {
+            (self.START, False): ([*first, self.OWN], self.TEXT),
+            (self.START, True): ([], self.START) if squeeze else ([*first, gap], self.TEXT),
+            (self.TEXT, False): ([self.OWN], self.TEXT),
+            (self.TEXT, True): ([], self.GAP) if squeeze else ([gap], self.TEXT),
+            (self.GAP, False): ([gap, self.OWN], self.TEXT),
+            (self.GAP, True): ([], self.GAP),
+        }
+
+    def read(self, text: str, state: int) -> str:
+        """What the transducer writes for a text from a state."""
+        out = []
+        for c in text:
+            symbols, state = self.arcs[state, c == " "]
+            out += [x or c for x in symbols]
+        return "".join(out)
+
+
 class Transducer:
     """The compiled model of a SentencePiece file."""
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
             model = list(_fields(f.read()))
-        self.pieces, self.score, self.byte, self.text_of = {}, [], [None] * 256, []
+        pieces, score, byte, text_of = {}, [], [None] * 256, []
         for i, piece in enumerate(v for k, v in model if k == 1):
             got = dict(_fields(piece))
             text, kind = got[1].decode("utf-8"), got.get(3, 1)
-            self.score.append(float(np.frombuffer(got.get(2, b"\0\0\0\0"), "<f4")[0]))
-            self.text_of.append(text if kind in (1, 4) else int(text[3:5], 16) if kind == 6 else " ⁇ " if kind == 2 else "")
+            score.append(float(np.frombuffer(got.get(2, b"\0\0\0\0"), "<f4")[0]))
+            # Bytes beyond ASCII are spelt as escapes, which _spelt reads as UTF-8 together.
+            text_of.append(text.replace(SPACE, " ") if kind in (1, 4) else bytes([int(text[3:5], 16)]).decode("utf-8", "surrogateescape") if kind == 6 else " ⁇ " if kind == 2 else "")
             if kind in (1, 4):
-                self.pieces[text] = i
+                pieces[text] = i
             elif kind == 6:
-                self.byte[int(text[3:5], 16)] = i
+                byte[int(text[3:5], 16)] = i
         trainer, normaliser = (dict(_fields(next((v for k, v in model if k == n), b""))) for n in (2, 3))
-        self.kind = trainer.get(3, UNIGRAM)
         if normaliser.get(2):
             raise ValueError("a normaliser with a character map isn't supported")
-        if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.pieces):
+        if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in pieces):
             raise ValueError("a piece holds white space after another character")
-        self.prefix, self.squeeze, self.escape = normaliser.get(3, 1), normaliser.get(4, 1), normaliser.get(5, 1)
-        self.longest = max(map(len, self.pieces), default=1)
-        alone = "" if any("\n" in p for p in self.pieces) else "\n"
-        self.chunks = re.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" + (f"|{alone}" if alone else "")).findall
-        self.known, self.older, self.pairs, self.own, self.lossy = {}, {}, {}, {}, set()
-        self.reach: dict[str, int] = {}  # the longest piece that starts with three characters
-        for p in self.pieces:
-            self.reach[p[:3]] = max(len(p), self.reach.get(p[:3], 0))
+        self.prefix = bool(normaliser.get(3, 1))
+        self.compile(pieces, score, byte, text_of, trainer.get(3, UNIGRAM), Normaliser(self.prefix, bool(normaliser.get(4, 1)), bool(normaliser.get(5, 1))))
+
+    def compile(self, pieces: dict[str, int], score: list[float], byte: list[int | None], text_of: list[str], kind: int, normaliser: Normaliser) -> None:
+        self.pieces, self.score, self.byte, self.text_of, self.kind, self.normaliser = pieces, score, byte, text_of, kind, normaliser
+        self.lost = 10.0 - min(score, default=0.0)  # the weight of byte fallback in a unigram model
+        alone = "" if any("\n" in p for p in pieces) else "\n"
+        self.chunks = re.compile(f"[ {SPACE}]*[^ {SPACE}{alone}]+|[ {SPACE}]+" + (f"|{alone}" if alone else "")).findall
+        self.known: dict[int, dict[str, bytes]] = {Normaliser.START: {}, Normaliser.TEXT: {}}
+        self.older = {k: {} for k in self.known}
+        self.between: dict[int, bool] = {}  # the arcs between pieces that were asked for
+        splits = {p: last for p in pieces if (last := self._last_merge(p)) is not None} if kind == MERGES else {}
+        same = collections.Counter(score[pieces[p]] for p in splits if len(p) > 1)
+        early = lambda x, p: len(x) == 1 or score[pieces[x]] > score[pieces[p]]
+        #: Pieces that are not merged in the one order of their scores.
+        self.odd = {p for p, k in splits.items() if k and not (same[score[pieces[p]]] == 1 and early(p[:k], p) and early(p[k:], p))}
+        self.splits: dict[str, int] = splits
+        self.root: dict = {}
+        for p, i in pieces.items():
+            if kind == UNIGRAM or p in splits:  # other pieces of a merge model come of no merging
+                node = self.root
+                for c in p:
+                    node = node.setdefault(c, {})
+                node[None] = i
+        self.spines: dict[int, tuple[list, list]] = {}
 
     @classmethod
     def load(cls, path: str) -> Transducer:
@@ -96,16 +151,9 @@ class Transducer:
             _loaded[path] = cls(path)
         return _loaded[path]
 
-    def normalise(self, text: str) -> str:
-        if self.squeeze:
-            text = re.sub(" +", " ", text).strip(" ")
-        if not text:
-            return ""
-        text = " " + text if self.prefix else text
-        return text.replace(" ", SPACE) if self.escape else text
-
-    def merged(self, text: str) -> list[str]:
-        """What merging the characters of a text gives: the best-scored neighbours first, the leftmost of equals."""
+    def merged(self, text: str, track: list[int] | None = None) -> list[str]:
+        """What merging the characters of a text gives: the best-scored neighbours first, the leftmost of equals. `track` gets where
+        the two parts of each merge meet."""
         part, after, before = list(text), list(range(1, len(text) + 1)), list(range(-1, len(text) - 1))
         queue: list[tuple[float, int, str]] = []
 
@@ -121,133 +169,163 @@ class Transducer:
             if not part[i] or j >= len(part) or part[i] + part[j] != both:
                 continue  # one of the two has merged since
             part[i], part[j], after[i] = both, "", after[j]
+            if track is not None:
+                track.append(j)
             if after[j] < len(part):
                 before[after[j]] = i
             offer(before[i])
             offer(i)
         return [p for p in part if p]
 
-    def _pair(self, a: str, b: str) -> bool:
-        """Whether b may follow a: the weight of that arc is 0. Asked once of each pair, as far as there is room."""
-        key = self._number(a) << 22 | self._number(b)
-        got = self.pairs.get(key)
-        if got is None:
-            if len(self.pairs) >= CACHE_PAIRS:
-                self.pairs.clear()
-            got = self.pairs[key] = self.merged(a + b) == [a, b]
-        return got
+    def _last_merge(self, piece: str) -> int | None:
+        """Where the last merge of a piece joins its parts; 0 for a single character, None if merging doesn't give the piece."""
+        track: list[int] = []
+        return (track[-1] if track else 0) if self.merged(piece, track) == [piece] else None
 
-    def _number(self, label: str) -> int:
-        i = self.pieces.get(label)
-        return i if i is not None else len(self.score) + ord(label)
+    def _label(self, label: int) -> str:
+        return chr(label - len(self.score)) if label >= len(self.score) else self._text[label]
 
-    def _alone(self, a: str) -> bool:
-        got = self.own.get(a)
+    @functools.cached_property
+    def _text(self) -> dict[int, str]:
+        return {i: p for p, i in self.pieces.items()}
+
+    def _spine(self, label: int) -> tuple[list, list]:
+        """The ends of a label and its starts, as they come about while it is merged: (text, when it is made, when it is used up)."""
+        got = self.spines.get(label)
         if got is None:
-            got = self.own[a] = len(a) == 1 or self.merged(a) == [a]
+            made = lambda x: -NEVER if len(x) == 1 else -self.score[self.pieces[x]]
+            sides = []
+            for end in (True, False):
+                out, x, until = [], self._label(label), NEVER
+                while True:
+                    out.append((x, made(x), until))
+                    k = self.splits.get(x, 0)
+                    if not k:
+                        break
+                    x, until = (x[k:] if end else x[:k]), made(x)
+                sides.append(out)
+            got = self.spines[label] = tuple(sides)
         return got
 
-    def path(self, chunk: str) -> list[str]:
-        """The labels along the path of least weight; characters that are no piece are labels too."""
-        return self._least(chunk) if self.kind == UNIGRAM else self._finite(chunk)
-
-    def _least(self, chunk: str) -> list[str]:
-        """Relax arcs in the order of positions."""
-        n = len(chunk)
-        least, back, lost = [0.0] + [float("inf")] * n, [0] * (n + 1), min(self.score) - 10.0
-        for end in range(1, n + 1):
-            for start in range(max(0, end - self.longest), end):
-                i = self.pieces.get(chunk[start:end])
-                weight = -self.score[i] if i is not None else -lost if start == end - 1 else None
-                if weight is not None and least[start] + weight < least[end]:
-                    least[end], back[end] = least[start] + weight, start
-        out, end = [], n
-        while end:
-            out.append(chunk[back[end] : end])
-            end = back[end]
+    def _beside(self, a: int, b: int) -> bool:
+        """Whether no merge crosses from label a to label b."""
+        pieces, score, odd = self.pieces, self.score, self.odd
+        ends, starts = self._spine(a)[0], self._spine(b)[1]
+        crosses = False
+        for x, x_made, x_used in ends:
+            for y, y_made, y_used in starts:
+                i = pieces.get(x + y)
+                if i is not None:
+                    if x in odd or y in odd or x + y in odd:
+                        return self.merged(self._label(a) + self._label(b)) == [self._label(a), self._label(b)]
+                    when = max(-score[i], x_made, y_made)
+                    crosses = crosses or when < x_used and when <= y_used  # of equal merges the leftmost is first
+        return not crosses
+
+    def arcs(self, symbols: str, at: int) -> list[tuple[int, int, float]]:
+        """(end, label, weight) of the composition's arcs from a place: pieces that start there, else byte fallback. A label is a
+        piece's id, or beyond all ids a character's number."""
+        out, node, n = [], self.root, len(symbols)
+        end = at
+        while end < n:
+            node = node.get(symbols[end])
+            if node is None:
+                break
+            end += 1
+            if None in node:
+                i = node[None]
+                out.append((end, i, -self.score[i] if self.kind == UNIGRAM else 0.0))
+        if not out or out[0][0] > at + 1:
+            out.append((at + 1, len(self.score) + ord(symbols[at]), self.lost if self.kind == UNIGRAM else 0.0))
+        return out
+
+    def shortest(self, symbols: str) -> list[int]:
+        """The labels along the path of least weight from the first place to the last; states are a place and the piece machine's state."""
+        n, between, merges = len(symbols), self.between, self.kind == MERGES
+        live: list[dict | None] = [None] * (n + 1)
+        live[0] = {-1: (0.0, None)}  # state: (weight, (label, path so far))
+        for at in range(n):
+            states = live[at]
+            if states is None:
+                continue
+            for end, label, weight in self.arcs(symbols, at):
+                for state, (least, path) in states.items():
+                    if merges and at:
+                        key = state << 22 | label
+                        ok = between.get(key)
+                        if ok is None:
+                            if len(between) >= CACHE_PAIRS:
+                                between.clear()
+                            ok = between[key] = self._beside(state, label)
+                        if not ok:
+                            continue  # an arc of infinite weight
+                    to = live[end]
+                    if to is None:
+                        to = live[end] = {}
+                    key, total = (label if merges else 0), least + weight
+                    if key not in to or total < to[key][0]:
+                        to[key] = (total, (label, path))
+            live[at] = None
+        _, path = min(live[n].values(), key=lambda x: x[0]) if n else (0.0, None)
+        out = []
+        while path is not None:
+            label, path = path
+            out.append(label)
         return out[::-1]
 
-    def _finite(self, chunk: str) -> list[str]:
-        """All finite arcs weigh 0, so a path to the end along such arcs is a shortest one. States (position, last label) are
-        visited once each, those of longer labels first."""
-        n, out, at, dead = len(chunk), [], 0, set()
-        pieces, own, reach = self.pieces, self.own, self.reach
-        sizes = [min(n, reach.get(chunk[:3], 3))]  # for each label on the path and the next: the longest size left to try
-        while at < n:
-            size = min(sizes[-1], n - at)
-            while size:
-                arc = chunk[at : at + size]
-                if (size == 1 or arc in pieces and (own[arc] if arc in own else self._alone(arc))) and (at + size, arc) not in dead:
-                    if not out:
-                        break
-                    if self._pair(out[-1], arc):
-                        break
-                size -= 1
-            if size:
-                sizes[-1] = size - 1
-                out.append(arc)
-                at += size
-                sizes.append(reach.get(chunk[at : at + 3], 3))
-            else:
-                sizes.pop()
-                dead.add((at, out[-1]))
-                at -= len(out.pop())
-        return out
+    def labels(self, symbols: str) -> list[str]:
+        return [self._label(x) for x in self.shortest(symbols)]
 
-    def _ids(self, chunk: str) -> bytes:
+    def _ids(self, chunk: str, state: int) -> bytes:
         """Ids of a chunk that isn't among the latest ones; those before them are kept too, so that frequent chunks stay."""
-        got = self.older.get(chunk)
+        got = self.older[state].get(chunk)
         if got is None:
             out = []
-            for label in self.path(chunk):
-                i = self.pieces.get(label)
-                out += [i] if i is not None else [self.byte[b] if self.byte[b] is not None else 0 for b in label.encode("utf-8", "surrogatepass")]
+            for label in self.shortest(self.normaliser.read(chunk, state)):
+                if label < len(self.score):
+                    out.append(label)
+                else:
+                    out += [self.byte[b] if self.byte[b] is not None else 0 for b in chr(label - len(self.score)).encode("utf-8", "surrogatepass")]
             got = array("i", out).tobytes()
-            if self._spelt(out) != chunk.replace(SPACE, " "):
-                self.lossy.add(chunk)
         if len(chunk) <= CACHE_LENGTH:
-            if len(self.known) >= CACHE_CHUNKS:
-                self.known, self.older = {}, self.known
-            self.known[chunk] = got
+            if len(self.known[state]) >= CACHE_CHUNKS:
+                self.known[state], self.older[state] = {}, self.known[state]
+            self.known[state][chunk] = got
         return got
 
     def encode(self, text: str | None) -> np.ndarray:
-        return self.encode_checked(text)[0]
-
-    def encode_checked(self, text: str | None) -> tuple[np.ndarray, bool]:
-        """Ids of a text, and whether they decode to it. Chunks decode apart from one another, so each is decoded when it is new."""
-        text, own = text or "", self._ids
-        chunks = self.chunks(self.normalise(text))
-        ids = np.frombuffer(b"".join([self.known.get(c) or own(c) for c in chunks]), dtype="<i4")
-        same = not self.squeeze or re.sub(" +", " ", text).strip(" ") == text
-        return ids, same and SPACE not in text and not (self.lossy and any(c in self.lossy for c in chunks))
+        chunks = self.chunks(text or "")
+        if not chunks:
+            return np.zeros(0, dtype="<i4")
+        start, then = Normaliser.START, Normaliser.TEXT
+        first, rest, own = self.known[start].get(chunks[0]), [], self._ids
+        parts = [first if first is not None else own(chunks[0], start)]
+        k = 1
+        while parts[-1] == b"" and k < len(chunks):  # nothing was written yet: the next chunk is the first
+            parts.append(own(chunks[k], start))
+            k += 1
+        rest = chunks[k:] if k < len(chunks) else []
+        known = self.known[then].get
+        parts += [known(c) or own(c, then) for c in rest]
+        return np.frombuffer(b"".join(parts), dtype="<i4")
 
     def _spelt(self, ids: list[int]) -> str:
         """The inverted transducers' reading: bytes in a row are UTF-8, U+2581 is a space."""
-        out: list[str] = []
-        raw = bytearray()
-        for i in ids:
-            piece = self.text_of[i] if 0 <= i < len(self.text_of) else ""
-            if isinstance(piece, int):
-                raw.append(piece)
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "replace"))
-                raw.clear()
-            out.append(piece.replace(SPACE, " "))
-        if raw:
-            out.append(raw.decode("utf-8", "replace"))
-        return "".join(out)
+        try:
+            out = "".join(map(self.text_of.__getitem__, ids))
+        except IndexError:
+            out = "".join(self.text_of[i] for i in ids if i < len(self.text_of))
+        return out if out.isascii() else out.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids, without the dummy prefix."""
-        text = self._spelt(ids.tolist())
+        ids = np.asarray(ids)
+        text = self._spelt((ids[ids >= 0] if len(ids) and ids.min() < 0 else ids).tolist())
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
 def encode(docs: DataFrame, model: str) -> DataFrame:
-    """doc_id, ids, n_ids, ids_crc32 (of 4-byte little-endian ids) and round_trip (whether decoding gives the text back; decoded
-    where a chunk is new, as chunks decode independently)."""
+    """doc_id, ids, n_ids, ids_crc32 (of 4-byte little-endian ids) and round_trip (whether decoding the row's ids gives its text back)."""
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = Transducer.load(model)
@@ -255,8 +333,8 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 texts = [x.as_py() or "" for x in part.column(1)]
-                got = [t.encode_checked(x) for x in texts]
-                ids, back = [x for x, _ in got], [y for _, y in got]
+                ids = [t.encode(x) for x in texts]
+                back = [t.decode(x) == y for x, y in zip(ids, texts, strict=True)]
                 ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array([len(i) for i in ids], pa.int64()), pa.array([zlib.crc32(i.tobytes()) for i in ids], pa.int64()), pa.array(back)], names=["doc_id", "ids", "n_ids", "ids_crc32", "round_trip"])
