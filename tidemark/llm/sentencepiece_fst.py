@@ -10,8 +10,9 @@ Three transducers are compiled from a model, each as states and arcs:
   such pairs, so exactly one path is of finite weight.
 * Byte fallback: arcs that read a character that is no piece and write the ids of its UTF-8 bytes.
 
-The three are composed with the input arc by arc (arcs()), and the path of least weight through the composition, found by relaxing arcs in
-the order of places (shortest(), the same for both kinds of models), is the encoding. Decoding reads the inverted transducers.
+The three are composed with the input arc by arc, as they are asked for (arcs()), and the path of least weight through the composition
+is the encoding. It is found best first, of equal weights the furthest (shortest(), the same for both kinds of models; weights
+are never negative), so that few states are ever made. Decoding reads the inverted transducers.
 
 The arcs between pieces of a merge model are as many as pairs of pieces; each is decided when a text first asks for it, and kept.
 A merge crosses from a to b if some end of a and some start of b, as they come about while a and b are merged, make a piece that is
@@ -42,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-CACHE_CHUNKS, CACHE_PAIRS, CACHE_LENGTH = 200_000, 1_000_000, 32
+CACHE_CHUNKS, CACHE_PAIRS, CACHE_LENGTH = 400_000, 1_000_000, 32
 UNIGRAM, MERGES = 1, 2
 NEVER = float("inf")
 _loaded: dict[str, Transducer] = {}
@@ -124,6 +125,8 @@ class Transducer:
 
     def compile(self, pieces: dict[str, int], score: list[float], byte: list[int | None], text_of: list[str], kind: int, normaliser: Normaliser) -> None:
         self.pieces, self.score, self.byte, self.text_of, self.kind, self.normaliser = pieces, score, byte, text_of, kind, normaliser
+        if kind == UNIGRAM and max(score, default=0.0) > 0:
+            raise ValueError("a unigram model with a score above 0 isn't supported")
         self.lost = 10.0 - min(score, default=0.0)  # the weight of byte fallback in a unigram model
         alone = "" if any("\n" in p for p in pieces) else "\n"
         self.chunks = re.compile(f"[ {SPACE}]*[^ {SPACE}{alone}]+|[ {SPACE}]+" + (f"|{alone}" if alone else "")).findall
@@ -136,13 +139,13 @@ class Transducer:
         #: Pieces that are not merged in the one order of their scores.
         self.odd = {p for p, k in splits.items() if k and not (same[score[pieces[p]]] == 1 and early(p[:k], p) and early(p[k:], p))}
         self.splits: dict[str, int] = splits
-        self.root: dict = {}
+        self.root: list = [{}, -1]  # a state: its arcs by character, and the id that is written where a piece ends
         for p, i in pieces.items():
             if kind == UNIGRAM or p in splits:  # other pieces of a merge model come of no merging
                 node = self.root
                 for c in p:
-                    node = node.setdefault(c, {})
-                node[None] = i
+                    node = node[0].setdefault(c, [{}, -1])
+                node[1] = i
         self.spines: dict[int, tuple[list, list]] = {}
 
     @classmethod
@@ -225,50 +228,50 @@ class Transducer:
     def arcs(self, symbols: str, at: int) -> list[tuple[int, int, float]]:
         """(end, label, weight) of the composition's arcs from a place: pieces that start there, else byte fallback. A label is a
         piece's id, or beyond all ids a character's number."""
-        out, node, n = [], self.root, len(symbols)
-        end = at
-        while end < n:
-            node = node.get(symbols[end])
+        out, end, unigram = [], at, self.kind == UNIGRAM
+        then = self.root[0]
+        for c in symbols[at:]:
+            node = then.get(c)
             if node is None:
                 break
             end += 1
-            if None in node:
-                i = node[None]
-                out.append((end, i, -self.score[i] if self.kind == UNIGRAM else 0.0))
+            then, i = node
+            if i >= 0:
+                out.append((end, i, -self.score[i] if unigram else 0.0))
         if not out or out[0][0] > at + 1:
-            out.append((at + 1, len(self.score) + ord(symbols[at]), self.lost if self.kind == UNIGRAM else 0.0))
+            out.append((at + 1, len(self.score) + ord(symbols[at]), self.lost if unigram else 0.0))
         return out
 
     def shortest(self, symbols: str) -> list[int]:
         """The labels along the path of least weight from the first place to the last; states are a place and the piece machine's state."""
-        n, between, merges = len(symbols), self.between, self.kind == MERGES
-        live: list[dict | None] = [None] * (n + 1)
-        live[0] = {-1: (0.0, None)}  # state: (weight, (label, path so far))
-        for at in range(n):
-            states = live[at]
-            if states is None:
+        n, between, merges, push, pop = len(symbols), self.between, self.kind == MERGES, heapq.heappush, heapq.heappop
+        queue, done, arcs = [(0.0, 0, -1, None)], set(), {}
+        path: tuple | None = None
+        while queue:
+            least, place, label, before = pop(queue)
+            path = (label, before)  # paths to one place differ in a label, so that the queue never compares their ends
+            if place == -n:
+                break
+            state = (place, label if merges else 0)
+            if state in done:
                 continue
-            for end, label, weight in self.arcs(symbols, at):
-                for state, (least, path) in states.items():
-                    if merges and at:
-                        key = state << 22 | label
-                        ok = between.get(key)
-                        if ok is None:
-                            if len(between) >= CACHE_PAIRS:
-                                between.clear()
-                            ok = between[key] = self._beside(state, label)
-                        if not ok:
-                            continue  # an arc of infinite weight
-                    to = live[end]
-                    if to is None:
-                        to = live[end] = {}
-                    key, total = (label if merges else 0), least + weight
-                    if key not in to or total < to[key][0]:
-                        to[key] = (total, (label, path))
-            live[at] = None
-        _, path = min(live[n].values(), key=lambda x: x[0]) if n else (0.0, None)
+            done.add(state)
+            some = arcs.get(place)
+            if some is None:
+                some = arcs[place] = self.arcs(symbols, -place)
+            for end, to, weight in some:
+                if merges and place:
+                    key = label << 22 | to
+                    ok = between.get(key)
+                    if ok is None:
+                        if len(between) >= CACHE_PAIRS:
+                            between.clear()
+                        ok = between[key] = self._beside(label, to)
+                    if not ok:
+                        continue  # an arc of infinite weight
+                push(queue, (least + weight, -end, to, path))
         out = []
-        while path is not None:
+        while path[1] is not None:
             label, path = path
             out.append(label)
         return out[::-1]
