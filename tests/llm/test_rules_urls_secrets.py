@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.llm import common, oracles
 from tidemark.llm import quality_rules as Q
 from tidemark.llm import secret_scan as S
 from tidemark.llm import url_filter as U
@@ -139,3 +140,69 @@ def test_no_line_of_a_private_key_survives_redaction(spark):
     for i, (name, (_, after)) in enumerate(texts.items()):
         assert got[i] == f"some words before it [SECRET]{after}", name
     assert not any(x in got[99] for x in body) and head not in got[99]
+
+
+def test_running_states_equal_a_loop(spark):
+    for n in (0, 1, 2, 7, 8, 9, 40):
+        got = spark.range(1).select(common.running(F.sequence(F.lit(1), F.lit(n)) if n else F.array().cast("array<int>"), F.lit(5), lambda a, x: (a * 2 + x) % 997, 8).alias("x")).first().x
+        want, a = [], 5
+        for x in range(1, n + 1):
+            a = (a * 2 + x) % 997
+            want.append(a)
+        assert got == want
+
+
+def test_many_matches_of_a_text_and_their_union(spark):
+    text = " ".join(f"token={i:020x} é deadbeefdeadbeef{i:04d}api_key='{i:016d}'" for i in range(3000))
+    df = spark.createDataFrame([(1, text, 0)], "doc_id long, text string, n_chars long")
+    spans = S.scan(df).first().spans
+    assert [tuple(x) for x in spans] == brute_spans(text)
+    want, at = [], 0
+    for start, _, _, end in brute_spans(text):
+        if start >= at:
+            want += [text[at:start]]
+        at = max(at, end)
+    assert S.redact(df).first().text == "[SECRET]".join([*want, text[at:]])
+
+
+def test_a_ledger_with_rows_twice_and_other_blobs(spark, tmp_path):
+    ledger = f"file://{tmp_path}/ledger"
+    docs = spark.createDataFrame([(1, "token=abcdefghijklmnop"), (2, "token=abcdefghijklmnop"), (3, "hi"), (3, "hi"), (None, "hi")], "doc_id long, text string")
+    S.scan(spark.createDataFrame([(9, "secret=abcdefghijklmnop"), (1, "token=abcdefghijklmnop")], docs.schema), ledger).collect()
+    for _ in range(2):  # as two writers would
+        spark.read.parquet(ledger).write.mode("append").parquet(ledger + "-more")
+    spark.read.parquet(ledger + "-more").write.mode("append").parquet(ledger)
+    got = Counter((r.doc_id, len(r.spans)) for r in S.scan(docs, ledger).collect())
+    assert got == Counter([(1, 1), (2, 1), (3, 0), (3, 0), (None, 0)])
+    rows = spark.read.parquet(ledger)
+    assert rows.select("blob").distinct().count() == 3 and rows.where(F.size("spans") == 0).count() == 1
+    old = rows.withColumn("rule_version", F.lit("old"))
+    old.write.parquet(ledger + "-old")
+    assert Counter((r.doc_id, len(r.spans)) for r in S.scan(docs, ledger + "-old").collect()) == got
+
+
+def test_both_ways_of_joining_give_the_same(spark, monkeypatch, tmp_path):
+    rows = [(i % 40, ["token=abcdefghijklmnop", "plain", f"secret: 0123456789ab{i}"][i % 3], i) for i in range(120)] + [(None, None, None)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    want = [sorted(map(repr, S.scan(docs).collect())), sorted(map(repr, S.redact(docs).collect()))]
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    assert [sorted(map(repr, S.scan(docs).collect())), sorted(map(repr, S.redact(docs).collect()))] == want
+
+
+def test_redaction_gives_back_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "a token=0123456789abcdef0 b", 1, 2, 3, 4)], "doc_id long, text string, spans int, blob int, masked int, __salt int")
+    got = S.redact(df)
+    assert got.columns == df.columns and tuple(got.first()) == (1, "a [SECRET] b", 1, 2, 3, 4)
+
+
+def test_sql_knows_keys_and_tokens(spark):
+    import duckdb
+    import pandas as pd
+
+    key = "-----BEGIN RSA PRIVATE KEY-----\nMIIabc-d/+\n-----END RSA PRIVATE KEY-----"
+    texts = [f"x {key} y", "eyJabcdefgh1.eyJabcdefgh2.abcdefgh3 é", f"token={'a' * 16} eyJabcdefgh1.eyJabcdefgh2.abcdefgh3 {key}", None]
+    documents = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})  # noqa: F841  DuckDB reads it by name
+    want = {r[0]: r[-1] for r in duckdb.sql(oracles.SECRETS).fetchall()}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.s for r in S.scan(df).select("doc_id", S.joined(F.col("spans")).alias("s")).collect()} == want
+    assert "pem" in want[0] and "jwt" in want[1]

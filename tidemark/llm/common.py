@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -11,15 +12,21 @@ import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
-#: Largest number of narrow rows (ids and a few numbers) that is broadcast; beyond it a shuffle join runs.
-BROADCAST_ROWS = 1_000_000
+#: Largest size, as estimated from its values, of a table that is broadcast; beyond it a shuffle join runs.
+BROADCAST_BYTES = 64_000_000
+#: Parts that a key's rows are dealt to in attach(), where the table is too large to broadcast.
+SALTS = 16
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); one of our own only where the setting is absent."""
+    """The cluster's shared folder (spark.checkpoint.dir). Where the setting is absent a local session gets a folder of its own; on a
+    cluster that would be another disk for each executor, so there it is an error."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", d)
     return d.rstrip("/")
@@ -38,10 +45,54 @@ def kept(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """`df` with a broadcast hint if its counted rows are few, as it is if not (then Spark shuffles both sides)."""
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+def held(df: DataFrame) -> int:
+    """About the bytes that `df` takes in an executor's memory: 16 for each value and row, and the contents of strings, arrays and maps."""
+
+    def size(name: Column, kind: DataType) -> Column:
+        if isinstance(kind, StringType | BinaryType):
+            return F.octet_length(name)
+        if isinstance(kind, ArrayType):
+            deep = isinstance(kind.elementType, StringType | BinaryType | ArrayType | StructType)
+            return F.greatest(F.size(name), F.lit(0)) * (64 if deep else 8)
+        return F.lit(0)
+
+    each = sum((F.coalesce(size(F.col(f"`{f.name}`"), f.dataType), F.lit(0)) for f in df.schema.fields), F.lit(16 * (1 + len(df.columns))))
+    return df.agg(F.sum(each.cast("long"))).first()[0] or 0
+
+
+def small(df: DataFrame) -> DataFrame:
+    """`df` with a broadcast hint if it takes BROADCAST_BYTES at most, as it is if not (then Spark shuffles both sides)."""
+    return F.broadcast(df) if held(df) <= BROADCAST_BYTES else df
+
+
+def attach(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
+    """`left` with the other columns of `right`, null where it has no row; `right` has one row for each value of `on` at most. Where
+    `right` is too large to broadcast, each of its rows goes out SALTS times and the rows of a key of `left` are dealt to
+    SALTS parts, by the partition that they come from, so that a key may hold any share of them. `left` has no column __salt."""
+    if held(right) <= BROADCAST_BYTES:
+        return left.join(F.broadcast(right), on, "left")
+    many = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.withColumn("__salt", F.pmod(F.spark_partition_id(), F.lit(SALTS))).join(many, [on, "__salt"], "left").drop("__salt")
+
+
+def running(values: Column, start: Column, step: Callable[[Column, Column], Column], block: int = 256) -> Column:
+    """The states after each of `values` (an array), each made by `step` of the one before and a value. States go to the next in blocks, so
+    that arrays grow by short pieces only: time is in proportion to the length, but for arrays of many thousand values."""
+    blocks = F.sequence(F.lit(0), F.ceil(F.size(values) / block).cast("int") - 1)
+    part = lambda k: F.slice(values, k * block + 1, block)
+    own = lambda x: F.array(x)
+
+    def ends(out: Column, k: Column) -> Column:
+        return F.concat(out, own(F.aggregate(part(k), F.element_at(out, -1), step)))
+
+    def states(first: Column, k: Column) -> Column:
+        grown = lambda out, x: F.concat(out, own(step(F.element_at(out, -1), x)))
+        got = F.aggregate(part(k), own(first), grown)
+        return F.slice(got, F.lit(2), F.size(got) - 1)
+
+    firsts = F.aggregate(blocks, own(start), ends)
+    got = let(firsts, lambda f: F.flatten(F.transform(blocks, lambda k: states(F.get(f, k), k))))
+    return F.when(F.size(values) > 0, got).otherwise(F.slice(own(start), F.lit(1), F.lit(0)))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -44,6 +44,11 @@ SELECT page_id, host, path, arg_max(h || p, len(h) * 1000 + len(p)) AS rule, coa
 _ASSIGN = """((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
 
 
+#: Private keys that are whole; the operator's pattern also takes those whose end is missing.
+_PEM = r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]|-{1,4}[^-])*-{5,}END [A-Z ]*PRIVATE KEY-----"
+_JWT = r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"
+
+
 def _found(kind: str, rank: int, pattern: str, test: str) -> str:
     """Rows (rid, kind, start, end): places are lengths of what comes before, text and matches, as in a split by the pattern."""
     return f"""SELECT rid, '{kind}' AS kind, {rank} AS rank, list_sum(list_transform(b[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: len(x))), 0) AS s, m[i] AS hit, g[i] AS g
@@ -51,9 +56,9 @@ FROM (SELECT rid, m, g, b, unnest(range(1, len(m) + 1)) AS i FROM (SELECT rid, r
 
 
 SECRETS = f"""WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
-x AS ({_found('assign', 0, _ASSIGN, 'len(g[i]) >= 12')} UNION ALL {_found('access', 1, 'AKIA[A-Z0-9]+', 'len(m[i]) >= 18')} UNION ALL {_found('hex', 2, '[0-9a-f]+', 'len(m[i]) >= 16')}),
-y AS (SELECT rid, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS c, count(*) FILTER (kind = 'hex') AS h, string_agg(kind || ':' || CAST(CAST(s AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(s + len(hit) AS BIGINT) AS VARCHAR), ',' ORDER BY s, rank) AS spans FROM x GROUP BY rid)
-SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN y USING (rid)"""
+x AS ({_found('assign', 0, _ASSIGN, 'len(g[i]) >= 12')} UNION ALL {_found('access', 1, 'AKIA[A-Z0-9]+', 'len(m[i]) >= 18')} UNION ALL {_found('hex', 2, '[0-9a-f]+', 'len(m[i]) >= 16')} UNION ALL {_found('pem', 3, _PEM, 'TRUE')} UNION ALL {_found('jwt', 4, _JWT, 'TRUE')}),
+y AS (SELECT rid, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS c, count(*) FILTER (kind = 'hex') AS h, string_agg(kind || ':' || CAST(CAST(s AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(s + len(hit) AS BIGINT) AS VARCHAR), ',' ORDER BY s, rank) FILTER (rank < 3) AS base, string_agg(kind || ':' || CAST(CAST(s AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(s + len(hit) AS BIGINT) AS VARCHAR), ',' ORDER BY s, rank) AS spans FROM x GROUP BY rid)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN y USING (rid)"""
 
 EMBEDDINGS = f"""WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id AND len(x.e) = len(y.e) WHERE list_cosine_similarity(x.e, y.e) >= 0.95), {_REACH}
