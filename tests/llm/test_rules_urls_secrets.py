@@ -57,12 +57,34 @@ def test_rules_keep_what_labels_prove_good_and_drop_junk(spark):
     assert Q.quality_rules(df.limit(0), df.select("doc_id", "quality").limit(0)).count() == 0
 
 
+def test_levels_hold_the_false_rejection_of_all_rules_together(spark):
+    """Two rules that each reject 0.8 % of the good documents aren't used together; one of them alone is."""
+    good = " ".join(f"w{i}" for i in range(80))
+    of = lambda i, a, b: good + (" #### ####" * 3 if a else "") + ("\nx\nx\nx\nx\nx" if b else "") + f" e{i}"
+    n = 4000
+
+    def level(a, b):
+        rows = [(i, of(i, i < a, a <= i < a + b), "en", 1) for i in range(n)]
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string, quality int")
+        return Q.calibrate(Q.word_stats(df), df.select("doc_id", "quality")).first()
+
+    exact = lambda k: sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(Q.ALPHA) + (n - i) * math.log1p(-Q.ALPHA)) for i in range(k + 1))
+    assert exact(25) <= Q.DELTA < exact(50)
+    assert level(0, 0).level == len(Q.LEVELS) - 1
+    assert level(25, 0).level == level(0, 25).level == len(Q.LEVELS) - 1
+    both = level(25, 25)
+    assert both.level < len(Q.LEVELS) - 1
+    few = spark.createDataFrame([(i, of(i, False, False), "en", 1) for i in range(200)], "doc_id long, text string, lang string, quality int")
+    assert Q.calibrate(Q.word_stats(few), few.select("doc_id", "quality")).count() == 0
+
+
 def test_urls_longest_entry_wins_in_any_number_of_shards(spark):
     entries = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("org", "/a/b", "block"), ("org", "/a/", "allow"), ("dup.org", "/", "allow"), ("dup.org", "/", "block")]
     urls = {
         None: ("", "", None, "allow"), "": ("", "", None, "allow"), "no scheme": ("", "", None, "allow"), "http://COM": ("com", "", None, "allow"), "http://Com/": ("com", "/", "com/", "allow"), "x://m.example.com/en/1?q#f": ("m.example.com", "/en/1", "example.com/en/", "block"),
         "http://www.example.com/en/a/": ("www.example.com", "/en/a/", "www.example.com/en/", "allow"), "http://notexample.com/en/": ("notexample.com", "/en/", "com/", "allow"), "http://a.net/es": ("a.net", "/es", None, "allow"), "http://a.net/es/": ("a.net", "/es/", "net/es/", "block"),
         "http://z.org/a/bc": ("z.org", "/a/bc", "org/a/b", "block"), "http://z.org/a/c": ("z.org", "/a/c", "org/a/", "allow"), "http://dup.org/x://y/": ("dup.org", "/x://y/", "dup.org/", "block"), "http://?x": ("", "", None, "allow"),
+        "http://a.net/\0es/x": ("a.net", "/\0es/x", None, "allow"), "http://a.net//es/": ("a.net", "//es/", None, "allow"), "http://A.NET/es/\n?": ("a.net", "/es/\n", "net/es/", "block"),
     }
     df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)] * 2, "page_id long, url string").withColumn("host", F.lit("clash"))
     for size in (10**9, 300):

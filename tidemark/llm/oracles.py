@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm.quality_rules import ALPHA, DELTA, RULES
+from tidemark.llm.quality_rules import ALPHA, DELTA, LEVELS, RULES
 
 #: Components of links (a, b), both directions, over ids: the smallest id that each reaches.
 _REACH = "reach(id, r) AS (SELECT a, b FROM links UNION SELECT l.a, reach.r FROM links l JOIN reach ON l.b = reach.id)"
@@ -12,9 +12,8 @@ g AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) A
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to FROM g"""
 
 _W = r"[^\x20\x09-\x0D]+"
-_rules = [(r, i, c, sql.replace("/ n_words", "/ nullif(n_words, 0)")) for r, (sql, cuts) in RULES.items() for i, c in enumerate(cuts)]
-_rows = " UNION ALL ".join(f"SELECT stratum, '{r}' AS rule, {i} AS i, CAST({c} AS DOUBLE) AS cut, count(*) AS n, count(*) FILTER (({sql}) > {c}) AS k FROM held GROUP BY stratum" for r, i, c, sql in _rules)
-_over = " OR ".join(f"coalesce({sql.replace('/ n_words', '/ nullif(n_words, 0)')} > cut_{r}, FALSE)" for r, (sql, _) in RULES.items())
+_over = lambda cuts: " OR ".join(f"coalesce({sql.replace('/ n_words', '/ nullif(n_words, 0)')} > {c}, FALSE)" for (sql, _), c in zip(RULES.values(), cuts, strict=True))
+_rows = " UNION ALL ".join(f"SELECT stratum, {i} AS i, {', '.join(f'CAST({c} AS DOUBLE) AS cut_{r}' for r, c in zip(RULES, cuts, strict=True))}, count(*) AS n, count(*) FILTER ({_over(cuts)}) AS k FROM held GROUP BY stratum" for i, cuts in enumerate(LEVELS))
 QUALITY_RULES = f"""WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '{_W}') AS w FROM t),
 win AS (SELECT rid, i, w[i] || chr(0) || w[i + 1] || chr(0) || w[i + 2] AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3)),
@@ -25,10 +24,10 @@ s AS (SELECT rid, doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(len(arra
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s),
 held AS (SELECT lang AS stratum, f.* FROM f JOIN (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1) USING (doc_id) WHERE NOT base_failed),
 c AS ({_rows}),
-p AS (SELECT c.*, CASE WHEN k > n * {ALPHA} THEN 1 ELSE (SELECT sum(exp(lgamma(n + 1) - CASE WHEN j = 0 THEN 0 ELSE lgamma(j + 1) END - CASE WHEN n = j THEN 0 ELSE lgamma(n - j + 1) END + j * ln({ALPHA}) + (n - j) * ln(1 - {ALPHA}))) FROM (SELECT unnest(range(0, k + 1)) AS j)) END <= {DELTA} / ({len(RULES)} * (SELECT count(DISTINCT stratum) FROM held)) AS ok FROM c),
-e AS (SELECT *, min(CASE WHEN NOT ok THEN i END) OVER (PARTITION BY stratum, rule) AS stop FROM p),
-cut AS (SELECT stratum, {', '.join(f"min(CASE WHEN rule = '{r}' THEN cut END) AS cut_{r}" for r in RULES)} FROM e WHERE ok AND (stop IS NULL OR i < stop) GROUP BY stratum)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({_over}) AS kept FROM f LEFT JOIN cut ON f.lang = cut.stratum"""
+p AS (SELECT c.*, CASE WHEN k > n * {ALPHA} THEN 1 ELSE (SELECT sum(exp(lgamma(n + 1) - CASE WHEN j = 0 THEN 0 ELSE lgamma(j + 1) END - CASE WHEN n = j THEN 0 ELSE lgamma(n - j + 1) END + j * ln({ALPHA}) + (n - j) * ln(1 - {ALPHA}))) FROM (SELECT unnest(range(0, k + 1)) AS j)) END <= {DELTA} / (SELECT count(DISTINCT stratum) FROM held) AS ok FROM c),
+e AS (SELECT *, min(CASE WHEN NOT ok THEN i END) OVER (PARTITION BY stratum) AS stop FROM p),
+cut AS (SELECT * FROM e WHERE ok AND (stop IS NULL OR i < stop) QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY i DESC) = 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({_over([f'cut_{r}' for r in RULES])}) AS kept FROM f LEFT JOIN cut ON f.lang = cut.stratum"""
 
 NEAR_DUP = f"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0)),
@@ -37,9 +36,11 @@ p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.
 links AS (SELECT a, b FROM p JOIN n ON n.doc_id = a JOIN n m ON m.doc_id = b WHERE 5 * c >= 4 * (n.n + m.n - c)), {_REACH}
 SELECT d.doc_id, least(d.doc_id, coalesce(k.r, d.doc_id)) AS class_id, d.doc_id = least(d.doc_id, coalesce(k.r, d.doc_id)) AS kept FROM documents d LEFT JOIN (SELECT id, min(r) AS r FROM reach GROUP BY id) k ON k.id = d.doc_id"""
 
-URLS = r"""WITH u AS (SELECT page_id, lower(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1), '')) AS host, coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
-r AS (SELECT * FROM (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')) AS t(h, p, verdict))
-SELECT page_id, host, path, arg_max(h || p, len(h) * 1000 + len(p)) AS rule, coalesce(arg_max(verdict, len(h) * 1000 + len(p)), 'allow') AS verdict FROM u LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id, host, path"""
+URLS = r"""WITH u AS (SELECT row_number() OVER () AS rid, page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+r AS (SELECT * FROM (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')) AS t(h, p, verdict)),
+m AS (SELECT rid, h || p AS rule, verdict, row_number() OVER (PARTITION BY rid ORDER BY len(h) DESC, len(p) DESC) AS k FROM u JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u LEFT JOIN m ON u.rid = m.rid AND k = 1"""
 
 _ASSIGN = """((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
 

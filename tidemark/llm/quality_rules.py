@@ -1,20 +1,23 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
-Each rule rejects a text whose statistic exceeds a cutoff. A cutoff is used in a stratum (a language) only if labelled
-good documents of that stratum prove, by an exact binomial bound, that it falsely rejects at most `alpha` of them. For
-each rule and stratum the cutoffs are tested from the loosest to the strictest and testing stops at the first that
-fails (fixed-sequence testing needs no correction along the sequence); across rules and strata the level is divided by
-their number (Bonferroni). So with probability 1 - delta no stratum loses more than alpha of its good documents to any
-rule.
+Each rule rejects a text whose statistic exceeds a cutoff. LEVELS are cutoffs of all rules together, from the loosest to the
+strictest. A level is used in a stratum (a language) only if labelled good documents of that stratum prove, by an exact binomial
+bound, that its rules together falsely reject at most `alpha` of them. The levels are tested in their order and
+testing stops at the first that fails (fixed-sequence testing needs no correction along the sequence); across strata the error `delta` is
+divided by their number (Bonferroni). So with probability 1 - delta no stratum loses more than alpha of its good documents
+to the rules, all of them taken together. That takes ln(delta / strata) / ln(1 - alpha) good documents of a stratum at least (436 for
+four strata); a stratum with fewer proves nothing, and only the base applies there.
 
 Defined cases: a null or empty text has no words, all counts are 0 and it fails the base. A null language is the
-stratum ''. A stratum with too few labels proves nothing and only the base applies there. Labels of one doc_id that
+stratum ''. Labels of one doc_id that
 contradict each other count as not good. Repeated rows and ties are judged row by row, alike. Columns of the input
 other than those named are left alone, whatever their names; `word_stats` puts its columns in place of any that are called alike.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,13 +25,14 @@ from tidemark.llm.common import kept, let, small, staged
 
 WORD = r"[^\x20\x09-\x0D]+"
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-#: Rule: (statistic per word as SQL, cutoffs from the loosest to the strictest).
+#: Rule: (statistic per word as SQL, its cutoff at each level).
 RULES = {
     "symbols": ("n_symbols / n_words", [3.0, 2.0, 1.5, 1.0, 0.75, 0.5, 0.3, 0.2]),
-    "repeats": ("n_repeat_words / n_words", [0.45, 0.4, 0.35, 0.3, 0.25, 0.2]),
-    "dup_lines": ("n_dup_lines / n_words", [0.2, 0.1, 0.05, 0.03, 0.02]),
-    "long_words": ("word_chars / n_words", [40.0, 30.0, 20.0, 15.0, 12.0, 10.0]),
+    "repeats": ("n_repeat_words / n_words", [0.45, 0.45, 0.4, 0.4, 0.35, 0.35, 0.3, 0.3]),
+    "dup_lines": ("n_dup_lines / n_words", [0.2, 0.2, 0.1, 0.1, 0.05, 0.05, 0.03, 0.03]),
+    "long_words": ("word_chars / n_words", [40.0, 40.0, 30.0, 30.0, 20.0, 20.0, 15.0, 12.0]),
 }
+LEVELS = list(zip(*(cuts for _, cuts in RULES.values()), strict=True))
 ALPHA, DELTA, MIN_WORDS = 0.01, 0.05, 50
 
 
@@ -77,34 +81,37 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
     return F.when(k > n * p, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.aggregate(F.sequence(F.lit(0).cast("long"), k), start, step, lambda s: s["sum"])))
 
 
+def rejected(cuts: Sequence[float | str]) -> Column:
+    """Whether any rule rejects at its cutoff, a number or a column; where there is none, a rule rejects nothing."""
+    ratios = [sql.replace("/ n_words", "/ nullif(n_words, 0)") for sql, _ in RULES.values()]
+    return F.expr(" or ".join(f"coalesce({x} > {c}, false)" for x, c in zip(ratios, cuts, strict=True)))
+
+
 def calibrate(stats: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """(stratum, cut_<rule>...): the strictest proven cutoff of each rule, null where none is proven.
+    """(stratum, level, cut_<rule>...): the strictest proven level of each stratum that has one.
 
     `stats` has doc_id, the stratum and STATS; the labelled documents that pass the base are the holdout. Counts are
     conditional sums, combined before the shuffle, so that one language may hold any share of the rows.
     """
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
     held = stats.where(~base_failed()).join(good, "doc_id").select(F.coalesce(F.col(stratum), F.lit("")).alias("stratum"), *STATS)
-    tested = [(r, i, c, f"{r}_{i}") for r, (_, cuts) in RULES.items() for i, c in enumerate(cuts)]
-    counts = held.groupBy("stratum").agg(F.count("*").alias("n"), *[F.count_if(F.expr(f"{RULES[r][0]} > {c}D")).alias(k) for r, _, c, k in tested])
-    levels = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(i).alias("i"), F.lit(c).alias("cut"), F.col(k).alias("k")) for r, i, c, k in tested])
+    counts = held.groupBy("stratum").agg(F.count("*").alias("n"), *[F.count_if(rejected([f"{c}D" for c in cuts])).alias(f"k{i}") for i, cuts in enumerate(LEVELS)])
+    named = lambda cuts: [F.lit(c).alias(f"cut_{r}") for r, c in zip(RULES, cuts, strict=True)]
+    levels = F.array(*[F.struct(F.lit(i).alias("level"), F.col(f"k{i}").alias("k"), *named(cuts)) for i, cuts in enumerate(LEVELS)])
     rows = counts.withColumn("x", F.explode(levels)).select("stratum", "n", "x.*")
     many = counts.agg(F.count("*").alias("m"))
-    proven = rows.crossJoin(F.broadcast(many)).withColumn("ok", binomial_tail(F.col("n"), F.col("k"), alpha) <= delta / (F.col("m") * len(RULES)))
-    ends = proven.groupBy("stratum", "rule").agg(F.min(F.when(~F.col("ok"), F.col("i"))).alias("stop"))
-    last = proven.join(ends, ["stratum", "rule"]).where("ok and (stop is null or i < stop)")
-    return last.groupBy("stratum").agg(*[F.min(F.when(F.col("rule") == r, F.col("cut"))).alias(f"cut_{r}") for r in RULES])
+    proven = rows.crossJoin(F.broadcast(many)).withColumn("ok", binomial_tail(F.col("n"), F.col("k"), alpha) <= delta / F.col("m"))
+    stops = proven.groupBy("stratum").agg(F.min(F.when(~F.col("ok"), F.col("level"))).alias("stop"))
+    found = proven.join(stops, "stratum").where("ok and (stop is null or level < stop)")
+    names = ["level", *(f"cut_{r}" for r in RULES)]
+    return found.groupBy("stratum").agg(F.max(F.struct(*names)).alias("x")).select("stratum", "x.*")
 
 
 def verdicts(stats: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> DataFrame:
     """`stats` with base_failed and kept. The cutoffs have a row a stratum and are broadcast if they are few."""
-    cuts = small(staged(cutoffs, "cutoffs"))
-    over = [F.coalesce(F.expr(f"n_words > 0 and {sql.replace('n_words', 'nullif(n_words, 0)')} > cut_{r}"), F.lit(False)) for r, (sql, _) in RULES.items()]
-    bad = over[0]
-    for x in over[1:]:
-        bad = bad | x
-    got = stats.withColumn("__stratum", F.coalesce(F.col(stratum), F.lit(""))).join(cuts.withColumnRenamed("stratum", "__of"), F.col("__stratum") == F.col("__of"), "left")
-    return got.select(*stats.columns, base_failed().alias("base_failed"), (~base_failed() & ~bad).alias("kept"))
+    cuts = small(staged(cutoffs, "cutoffs")).withColumnRenamed("stratum", "__of")
+    got = stats.withColumn("__stratum", F.coalesce(F.col(stratum), F.lit(""))).join(cuts, F.col("__stratum") == F.col("__of"), "left")
+    return got.select(*stats.columns, base_failed().alias("base_failed"), (~base_failed() & ~rejected([f"cut_{r}" for r in RULES])).alias("kept"))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ columns can't clash.
 from __future__ import annotations
 
 import pickle
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -26,7 +27,7 @@ Entry = tuple[str, str, str]
 
 def segments(path: str) -> list[str]:
     """The path in pieces, each with the slash that ends it; the last piece may have none."""
-    return [x for x in path.replace("/", "/\0").split("\0") if x]
+    return re.findall(r"[^/]*/|[^/]+", path)
 
 
 class Trie:
