@@ -6,6 +6,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.llm import common
 from tidemark.llm import packing as K
 from tidemark.llm import quality_classifier as C
 from tidemark.llm import sentencepiece_fst as T
@@ -247,7 +248,7 @@ def test_every_text_of_the_small_table_equals_the_library(spark):
 PAGES = [(1, "http://a", "x" * 1200), (2, None, None), (None, "http://c", "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 4\r\n\r\nabcd\r\n\r\n" * 3), (4, "u\r\nx", "x" * 1200), (4, "u", "x" * 1200), (5, "q", ""), (6, "é", "é" * 600), (7, "z", "y" * 999), (8, "z", "y" * 999), (9, "big", "z" * 500_000)]
 
 
-def test_warc_round_trip_and_revisits(spark):
+def test_warc_round_trip_and_revisits(spark, monkeypatch):
     df = spark.createDataFrame(PAGES, "page_id long, url string, html string").withColumn("digest", F.lit("clash"))
     path = W.write_warc(df)
     got = sorted((r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to or 0) for r in W.read_warc(spark, path).collect())
@@ -255,6 +256,8 @@ def test_warc_round_trip_and_revisits(spark):
     assert got == want
     assert W.read_chain(spark, path).where("broken is not null").count() == 0
     assert W.read_warc(spark, W.write_warc(df.limit(0))).count() == 0
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    assert sorted((r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to or 0) for r in W.read_warc(spark, W.write_warc(df)).collect()) == want
 
 
 def test_chain_rejects_records_inside_payloads_and_tells_where_it_breaks(spark, tmp_path):
@@ -266,6 +269,12 @@ def test_chain_rejects_records_inside_payloads_and_tells_where_it_breaks(spark,
     (tmp_path / "a.warc").write_bytes(whole[:cut] + b"garbage" + whole[cut:])
     left = W.read_chain(spark, f"file://{tmp_path}").collect()
     assert len(left) < len(PAGES) and all(r.broken for r in left)
+    with pytest.raises(Exception, match="break off"):
+        W.read_warc(spark, f"file://{tmp_path}").collect()
+    (tmp_path / "a.warc").write_bytes(b"garbage" + whole)
+    assert [(r.record, r.broken) for r in W.read_chain(spark, f"file://{tmp_path}").collect()] == [(False, 0)]
+    with pytest.raises(Exception, match="break off"):
+        W.read_warc(spark, f"file://{tmp_path}").collect()
 
 
 def test_pointer_jumping_marks_the_chain():

@@ -65,14 +65,14 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if held(df) <= BROADCAST_BYTES else df
 
 
-def attach(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
+def attach(left: DataFrame, right: DataFrame, *on: str) -> DataFrame:
     """`left` with the other columns of `right`, null where it has no row; `right` has one row for each value of `on` at most. Where
     `right` is too large to broadcast, each of its rows goes out SALTS times and the rows of a key of `left` are dealt to
-    SALTS parts, by the partition that they come from, so that a key may hold any share of them. `left` has no column __salt."""
+    SALTS parts, by the partition that they come from, so that a key may hold any share of them. Neither has a column __salt."""
     if held(right) <= BROADCAST_BYTES:
-        return left.join(F.broadcast(right), on, "left")
+        return left.join(F.broadcast(right), list(on), "left")
     many = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return left.withColumn("__salt", F.pmod(F.spark_partition_id(), F.lit(SALTS))).join(many, [on, "__salt"], "left").drop("__salt")
+    return left.withColumn("__salt", F.pmod(F.spark_partition_id(), F.lit(SALTS))).join(many, [*on, "__salt"], "left").drop("__salt")
 
 
 def running(values: Column, start: Column, step: Callable[[Column, Column], Column], block: int = 256) -> Column:
@@ -122,8 +122,8 @@ def blocked(rows: DataFrame, key: list[str], block: int) -> DataFrame:
     row goes to every pair of blocks (lo, hi) that its own is part of. side: 0 within a block, else 1 or 2, by block.
     Rows lie together and sorted by key, lo and hi."""
     blocks = F.ceil(F.col("__size") / block).cast("int")
-    sizes = rows.groupBy(*key).agg(F.count("*").alias("__size"))
-    got = rows.join(sizes, key).withColumn("__own", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("__with", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    sizes = kept(rows.groupBy(*key).agg(F.count("*").alias("__size")))
+    got = attach(rows, sizes, *key).withColumn("__own", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("__with", F.explode(F.sequence(F.lit(0), blocks - 1)))
     side = F.when(F.col("__own") == F.col("__with"), 0).when(F.col("__own") < F.col("__with"), 1).otherwise(2)
     got = got.withColumns({"lo": F.least("__own", "__with"), "hi": F.greatest("__own", "__with"), "side": side}).drop("__size", "__own", "__with")
     return got.repartition(*key, "lo", "hi").sortWithinPartitions(*key, "lo", "hi")

@@ -9,10 +9,11 @@ Reading: a task looks for every place in a file where a record may start (the ma
 candidates: the place, the place of its successor and what the record says. Payloads may hold the magic; so the
 candidates of a file are linked to their successors, and pointer jumping from the file's start marks those that the chain
 reaches: in round k everything marked marks what lies 2^k records on. All others are payload. An archive is whole only if the
-chain ends at the end of the file; if not, `broken` tells where it stops. Gzip members and plain files are both read.
+chain ends at the end of the file; if not, `broken` tells where it stops, and read_warc fails. Gzip members and plain files are both read.
 
 Bounds: one task holds one file, which the writer keeps near FILE_BYTES of payload (a single longer page is a file of its own
-at worst), and the candidates of one file, 40 bytes each.
+at worst), and the candidates of one file, 40 bytes each. Spark reads a file as one value, so files of 2 GB and more, which this
+writer never makes, are refused by Spark with an error; other archives must be split first.
 
 Defined cases: a null html is an empty payload. A null url is left out of the headers. A null page_id is written as
 'null' and read back as null. Rows with equal ids and payloads are of one type. Empty tables give empty tables. Only
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import shared_dir, staged
+from tidemark.llm.common import attach, shared_dir, staged
 
 REVISIT_BYTES, FILE_BYTES, LEVEL = 1000, 64_000_000, 4
 #: A gzip member of no bytes, as the text writer's line separator in ISO 8859-1.
@@ -64,11 +65,8 @@ def write_warc(pages: DataFrame, path: str | None = None) -> str:
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long"), "url", payload.alias("payload")).withColumns({"size": F.octet_length("payload").cast("long"), "digest": F.sha1("payload")})
     same = rows.where(F.col("size") >= REVISIT_BYTES).groupBy("digest", "size").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    # Groups are few rows each, combined before the shuffle; the pages themselves are shuffled only if groups are too many to broadcast.
-    same = staged(same.select("digest", "size", "first"), "same")
-    n = same.count()
-    same = F.broadcast(same) if n <= 100_000 else same
-    rows = rows.join(same, ["digest", "size"], "left")
+    # Groups are one row each, combined before the shuffle; the pages themselves are shuffled only if groups are too many to broadcast.
+    rows = attach(rows, staged(same.select("digest", "size", "first"), "same"), "digest", "size")
     rows = rows.withColumn("refers_to", F.when(F.col("page_id").eqNullSafe(F.col("first")), None).otherwise(F.col("first")))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +164,8 @@ def reachable(at: np.ndarray, after: np.ndarray, size: int) -> tuple[np.ndarray,
 
 
 def read_chain(spark: SparkSession, path: str) -> DataFrame:
-    """CHAIN rows of the records that each file's chain reaches, and `broken`: where the chain stops short, else null."""
+    """CHAIN rows of the records that each file's chain reaches, and `broken`: where the chain stops short, else null. A file whose chain
+    stops before any record has one row without a record."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("file", pa.string()), ("size", pa.int64()), ("at", pa.int64()), ("next", pa.int64()), ("record", pa.bool_()), ("url", pa.string()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
@@ -174,17 +173,24 @@ def read_chain(spark: SparkSession, path: str) -> DataFrame:
             for i in range(b.num_rows):
                 data = b.column(1)[i].as_py()
                 rows = [(b.column(0)[i].as_py(), len(data), *x) for x in candidates(data)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema) if rows else pa.RecordBatch.from_pylist([], schema)
+                rows = rows or [(b.column(0)[i].as_py(), len(data), -1, -1, False, *[None] * 6)]  # a file without a candidate is broken at 0
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
     def chained(df: pd.DataFrame) -> pd.DataFrame:
         got, end = reachable(df["at"].to_numpy(), df["next"].to_numpy(), int(df["size"].iloc[0]))
+        whole = end == df["size"].iloc[0]
         out = df[got & df["record"].to_numpy()]
-        return out.assign(broken=None if end == df["size"].iloc[0] else end)
+        if not whole and not len(out):
+            out = df.iloc[:1].assign(record=False, url=None, page_id=None, payload_bytes=None, payload_digest=None, record_type=None, refers_to=None)
+        return out.assign(broken=None if whole else end)
 
     files = spark.read.format("binaryFile").load(path).select("path", "content").where(F.length("content") > 0)
     return files.mapInArrow(found, CHAIN).groupBy("file").applyInPandas(chained, CHAIN + ", broken bigint")
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """RECORDS of an archive's folder."""
-    return read_chain(spark, path).select(*(x.split()[0] for x in RECORDS.split(", ")))
+    """RECORDS of an archive's folder. A file whose chain doesn't end at its end fails the read, as records after the break would be
+    missing; read_chain() gives what comes before."""
+    said = F.concat(F.lit("the records of "), F.col("file"), F.lit(" break off at byte "), F.col("broken").cast("string"))
+    chain = read_chain(spark, path).where(F.col("broken").isNull() | F.raise_error(said).isNotNull())
+    return chain.select(*(x.split()[0] for x in RECORDS.split(", ")))
