@@ -1,6 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from tidemark.llm import common
 from tidemark.llm import embedding_dup as E
 
 NAN = float("nan")
@@ -51,6 +52,8 @@ def test_links_and_components_equal_brute_force(spark, monkeypatch):
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == want
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
     assert E.near_duplicates(df.limit(0)).count() == 0
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in E.near_duplicates(df).collect()) == want
 
 
 def test_plan_reaches_its_recall_by_chance():
