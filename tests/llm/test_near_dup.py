@@ -1,8 +1,10 @@
+import hashlib
 import random
 from collections import Counter
 
 import numpy as np
 
+from tidemark.llm import common
 from tidemark.llm import near_dup as N
 
 
@@ -58,10 +60,53 @@ def test_classes_equal_brute_force_however_large_the_group(spark):
     want = brute(rows)
     assert {r.doc_id: r.class_id for r in got if r.doc_id is not None} == want
     assert all(r.kept == (r.doc_id == r.class_id) for r in got if r.doc_id is not None)
-    kept = N.drop_near_duplicates(docs)
-    assert kept.columns == docs.columns
-    ids = [r.doc_id for r in kept.collect()]
-    assert sorted(i for i in ids if i is not None) == sorted(set(want.values())) and ids.count(None) == 1
+
+
+def test_dropping_keeps_one_of_each_class_and_every_unrelated_text(spark):
+    rows = rows_of(7)[:300] + [(3, "one two"), (3, "one two"), (1, "quite another text that nothing else is like"), (None, None), (None, "one two")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'q' as id", "1 as lost", "2 as version", "3 as c0")
+    got = N.drop_near_duplicates(docs)
+    assert got.columns == docs.columns
+    digest = lambda t: hashlib.md5((t or "").encode()).digest()
+    versions = sorted({(i, digest(t)): (i, t) for i, t in rows if i is not None}.items())
+    classes = brute([(k, t) for k, (_, (_, t)) in enumerate(versions)])
+    want = [v for k, (_, v) in enumerate(versions) if classes[k] == k]
+    found = [(r.doc_id, r.text) for r in got.collect()]
+    assert Counter(f for f in found if f[0] is not None) == Counter(want)
+    assert sum(f[0] is None for f in found) == 2
+    assert (1, "quite another text that nothing else is like") in found
+    apart = spark.createDataFrame(list({i: (i, t) for i, t in rows if i is not None}.values()), "doc_id long, text string")
+    want = {i for i, c in brute([tuple(r) for r in apart.collect()]).items() if i == c}
+    assert {r.doc_id for r in N.drop_near_duplicates(apart).collect()} == want
+
+
+def test_both_ways_of_joining_give_the_same(spark, monkeypatch):
+    docs = spark.createDataFrame(rows_of(9)[:400], "doc_id long, text string")
+    want = sorted(map(repr, N.near_duplicates(docs).collect()))
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(common, "SALTS", 3)
+    assert sorted(map(repr, N.near_duplicates(docs).collect())) == want
+
+
+def test_pairs_of_long_texts_at_the_threshold_are_found(spark):
+    """Recall among pairs of long texts whose similarity is 0.8 to 0.83, none of which is the first of a bucket: all are like a hub of 0.6."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefgh", k=8))
+    texts = []
+    for _ in range(12):
+        shared = [word() for _ in range(3000)]
+        for _ in range(2):
+            own = [word() for _ in range(330)]
+            texts.append(" ".join(shared + own))
+    rows = list(enumerate(texts))
+    want = brute(rows)
+    assert sum(a != b for a, b in want.items()) == 12
+    got = {r.doc_id: r.class_id for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+    sets = [N.shingles(t)[0] for t in texts]
+    sketches = [N.sketch(s) for s in sets]
+    seen = N.similar(sketches, sketches)
+    assert all(seen[i, i ^ 1] for i in range(len(texts))) and seen.sum() == len(texts)
 
 
 def test_empty_table(spark):
