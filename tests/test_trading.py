@@ -71,6 +71,26 @@ def test_factor_loadings_equal_least_squares(spark):
     assert got["a"] == pytest.approx(want[1]) and got["b"] == pytest.approx(want[2]) and got["intercept"] == 0
 
 
+def test_drift_in_blocks_equals_drift_in_one_task(spark, monkeypatch):
+    a, b = np.round(rng.normal(0, 1, 3000), 2), np.round(rng.normal(0.2, 1.1, 2000), 2)
+    ref, cur = frame(spark, x=a, y=np.abs(a)), frame(spark, x=b, y=np.abs(b))
+    rows = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
+    whole = rows(drift.drift_report(ref, cur, ["x", "y"]))
+    table = rows(drift.cumulative(drift.steps(ref, cur, ["x", "y"])).select("feature", "x", "r", "c", "cr", "cc", F.coalesce("after", F.lit(-9.0))))
+    monkeypatch.setattr(drift, "ONE_TASK", 50)
+    assert rows(drift.drift_report(ref, cur, ["x", "y"], rows=900)) == whole
+    assert rows(drift.cumulative(drift.steps(ref, cur, ["x", "y"]), 900).select("feature", "x", "r", "c", "cr", "cc", F.coalesce("after", F.lit(-9.0)))) == table
+
+
+def test_total_losses_end_a_portfolio(spark):
+    from tidemark.operators import portfolio
+
+    daily = spark.createDataFrame([(1, 0.5), (2, -1.5), (3, 0.2), (4, -1.0), (5, 0.3)], "ts int, r double")
+    got = [(r.equity, r.log_growth) for r in portfolio.compounded(daily, 100.0).orderBy("ts").collect()]
+    assert [x for x, _ in got] == pytest.approx([150, -75, -90, 0, 0])
+    assert got[2][1] == pytest.approx(np.log(0.9)) and got[4][1] == pytest.approx(np.log(0.9 * 1.3))
+
+
 def test_drift_statistics(spark):
     a, b = rng.normal(0, 1, 800), rng.normal(1, 1, 700)
     ref, cur = frame(spark, x=a, same=a), frame(spark, x=b, same=a[:700])

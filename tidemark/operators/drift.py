@@ -1,4 +1,9 @@
-"""How far the distribution of features has moved from a reference, for any number of features at once."""
+"""How far the distribution of features has moved from a reference, for any number of features at once.
+
+Both sides are read once, into the counts of each distinct value of each feature on either side (`steps`). Quantile edges, bins,
+distribution functions and spread all come from that one table and from its running sums, which Spark computes once and reuses.
+Running sums of few values are one sort a feature; of many, values are split into blocks between approximate quantiles, each summed
+on its own after the totals of the blocks before, so that no task holds all values of a feature."""
 
 from __future__ import annotations
 
@@ -9,6 +14,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.expr import E
 
+#: Most distinct values whose counts are summed by one task.
+ONE_TASK = 1_000_000
+
 
 def long(df: DataFrame, features: list[str]) -> DataFrame:
     """feature, x: the values that are there."""
@@ -16,28 +24,55 @@ def long(df: DataFrame, features: list[str]) -> DataFrame:
     return df.select(F.explode(pairs).alias("__p")).select("__p.*").where("x IS NOT NULL")
 
 
-def psi(reference: DataFrame, current: DataFrame, features: list[str], bins: int = 10) -> DataFrame:
-    """feature, psi over the reference's quantile bins; current values outside them don't count; 0 if there are too few values."""
-    r, c = long(reference, features), long(current, features)
-    edges = r.groupBy("feature").agg(F.count("*").alias("n"), E(f"array_distinct(percentile(x, array({', '.join(f'{i / bins}D' for i in range(bins + 1))})))").alias("e"))
-    both = r.withColumn("ref", F.lit(1)).union(c.withColumn("ref", F.lit(0))).join(F.broadcast(edges), "feature").where("x >= e[0] AND x <= element_at(e, -1) AND size(e) >= 3")
-    both = both.withColumn("bin", E("least(size(filter(e, v -> v <= x)), size(e) - 1)"))
-    counts = both.groupBy("feature", "bin").agg(F.sum("ref").alias("r"), F.sum(E("1 - ref")).alias("c"))
+def steps(reference: DataFrame, current: DataFrame, features: list[str]) -> DataFrame:
+    """feature, x, r, c: how often each value occurs on either side."""
+    both = long(reference, features).withColumn("ref", F.lit(1)).union(long(current, features).withColumn("ref", F.lit(0)))
+    return both.groupBy("feature", "x").agg(F.sum("ref").alias("r"), F.sum(E("1 - ref")).alias("c"))
+
+
+def cumulative(counts: DataFrame, rows: int | None = None) -> DataFrame:
+    """`counts` (feature, x, r, c) with sums up to each value, cr and cc, and the next value, after. rows: how many values there
+    are at most, if it is known; beyond ONE_TASK sums go by blocks."""
+    if rows is None or rows <= ONE_TASK:
+        w = "OVER (PARTITION BY feature ORDER BY x)"
+        return counts.selectExpr("*", f"sum(r) {w} AS cr", f"sum(c) {w} AS cc", f"lead(x, 1) {w} AS after")
+    blocks = max(2, -(-rows // ONE_TASK) * 4)
+    cuts = counts.groupBy("feature").agg(E(f"array_distinct(approx_percentile(x, array({', '.join(f'{i / blocks}D' for i in range(1, blocks))}), 10000))").alias("cuts"))
+    dealt = counts.join(F.broadcast(cuts), "feature").withColumn("b", E("size(filter(cuts, v -> v < x))")).drop("cuts")
+    totals = dealt.groupBy("feature", "b").agg(F.sum("r").alias("tr"), F.sum("c").alias("tc"), F.min("x").alias("first"))
+    before = "OVER (PARTITION BY feature ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    totals = totals.selectExpr("feature", "b", f"coalesce(sum(tr) {before}, 0) AS br", f"coalesce(sum(tc) {before}, 0) AS bc", "lead(first, 1) OVER (PARTITION BY feature ORDER BY b) AS following")
+    w = "OVER (PARTITION BY feature, b ORDER BY x)"
+    got = dealt.join(F.broadcast(totals), ["feature", "b"])
+    return got.selectExpr("feature", "x", "r", "c", f"br + sum(r) {w} AS cr", f"bc + sum(c) {w} AS cc", f"coalesce(lead(x, 1) {w}, following) AS after")
+
+
+def edges_of(cum: DataFrame, bins: int) -> DataFrame:
+    """feature, n, m, e: the exact quantiles of the reference at 0, 1/bins, ..., 1, distinct ones."""
+    totals = cum.groupBy("feature").agg(F.max("cr").alias("n"), F.max("cc").alias("m"))
+    asked = totals.select("feature", "n", "m", F.explode(E(f"transform(sequence(0, {bins}), i -> struct(i AS i, (greatest(n, 1) - 1) * (i / {bins}.0D) AS at))")).alias("q"))
+    asked = asked.selectExpr("feature", "n", "m", "q.i AS i", "q.at - floor(q.at) AS share", "floor(q.at) AS lo", "ceil(q.at) AS hi")
+    near = cum.where("r > 0").join(F.broadcast(asked), "feature").where("cr > lo AND cr - r <= hi")
+    ends = near.groupBy("feature", "n", "m", "i", "share").agg(F.min("x").alias("a"), F.max("x").alias("z"))
+    got = ends.groupBy("feature").agg(F.array_sort(F.collect_set(E("a + (z - a) * share"))).alias("e"))
+    return totals.join(got, "feature", "left").selectExpr("feature", "n", "m", "coalesce(e, array()) AS e")
+
+
+def _psi(counts: DataFrame, edges: DataFrame, bins: int) -> DataFrame:
+    inside = counts.join(F.broadcast(edges), "feature").where("size(e) >= 3 AND x >= e[0] AND x <= element_at(e, -1)")
+    binned = inside.groupBy("feature", E("least(size(filter(e, v -> v <= x)), size(e) - 1)").alias("bin")).agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
     total = "OVER (PARTITION BY feature)"
-    grid = edges.select("feature", F.explode(E("sequence(1, greatest(size(e) - 1, 1))")).alias("bin")).join(counts, ["feature", "bin"], "left")
+    grid = edges.select("feature", F.explode(E("sequence(1, greatest(size(e) - 1, 1))")).alias("bin")).join(binned, ["feature", "bin"], "left")
     share = lambda k: f"greatest(coalesce({k}, 0) / greatest(sum(coalesce({k}, 0)) {total}, 1), 1e-6)"
-    terms = grid.select("feature", E(f"{share('r')}").alias("p"), E(f"{share('c')}").alias("q"))
+    terms = grid.select("feature", E(share("r")).alias("p"), E(share("c")).alias("q"))
     got = terms.groupBy("feature").agg(F.sum(E("(q - p) * ln(q / p)")).alias("psi"))
-    some = c.groupBy("feature").agg(F.count("*").alias("m"))
-    return edges.join(got, "feature", "left").join(some, "feature", "left").select("feature", E(f"CASE WHEN n < {bins} OR coalesce(m, 0) < 1 OR size(e) < 3 THEN 0.0D ELSE psi END").alias("psi"))
+    return edges.join(got, "feature", "left").select("feature", E(f"CASE WHEN n < {bins} OR m < 1 OR size(e) < 3 THEN 0.0D ELSE psi END").alias("psi"))
 
 
-def _cumulative(reference: DataFrame, current: DataFrame, features: list[str]) -> DataFrame:
-    """feature, x, fr, fc: both distribution functions at each distinct value, and the next value."""
-    both = long(reference, features).withColumn("ref", F.lit(1)).union(long(current, features).withColumn("ref", F.lit(0)))
-    steps = both.groupBy("feature", "x").agg(F.sum("ref").alias("r"), F.sum(E("1 - ref")).alias("c"))
-    w, t = "OVER (PARTITION BY feature ORDER BY x)", "OVER (PARTITION BY feature)"
-    return steps.selectExpr("feature", "x", f"sum(r) {t} AS n", f"sum(c) {t} AS m", f"sum(r) {w} / CAST(nullif(sum(r) {t}, 0) AS DOUBLE) AS fr", f"sum(c) {w} / CAST(nullif(sum(c) {t}, 0) AS DOUBLE) AS fc", f"lead(x, 1) {w} AS after")
+def psi(reference: DataFrame, current: DataFrame, features: list[str], bins: int = 10, rows: int | None = None) -> DataFrame:
+    """feature, psi over the reference's quantile bins; current values outside them don't count; 0 if there are too few values."""
+    counts = steps(reference, current, features)
+    return _psi(counts, edges_of(cumulative(counts, rows), bins), bins)
 
 
 def _p_value(d: str) -> str:
@@ -47,17 +82,28 @@ def _p_value(d: str) -> str:
     return f"CASE WHEN {s} < 0.2 THEN 1.0D ELSE greatest(0.0D, least(1.0D, {terms})) END"
 
 
-def ks_wasserstein(reference: DataFrame, current: DataFrame, features: list[str]) -> DataFrame:
-    """feature, ks_statistic, ks_p_value (asymptotic), wasserstein; 0, 1 and 0 where a side is missing."""
-    g = _cumulative(reference, current, features).groupBy("feature").agg(F.max("n").alias("n"), F.max("m").alias("m"), F.max(E("abs(fr - fc)")).alias("d"), F.sum(E("abs(fr - fc) * (after - x)")).alias("w"))
+def _distances(cum: DataFrame, totals: DataFrame) -> DataFrame:
+    g = cum.join(F.broadcast(totals.select("feature", "n", "m")), "feature").withColumn("gap", E("abs(cr / CAST(nullif(n, 0) AS DOUBLE) - cc / CAST(nullif(m, 0) AS DOUBLE))"))
+    g = g.groupBy("feature").agg(F.max("n").alias("n"), F.max("m").alias("m"), F.max("gap").alias("d"), F.sum(E("gap * (after - x)")).alias("w"))
     ok = "n >= 2 AND m >= 2"
     return g.selectExpr("feature", f"CASE WHEN {ok} THEN d ELSE 0.0D END AS ks_statistic", f"CASE WHEN {ok} THEN {_p_value('d')} ELSE 1.0D END AS ks_p_value", "coalesce(w, 0.0D) AS wasserstein")
 
 
-def drift_report(reference: DataFrame, current: DataFrame, features: list[str], psi_limit: float = 0.25, p_limit: float = 0.01, distance_limit: float = 2.0) -> DataFrame:
+def ks_wasserstein(reference: DataFrame, current: DataFrame, features: list[str], rows: int | None = None) -> DataFrame:
+    """feature, ks_statistic, ks_p_value (asymptotic), wasserstein; 0, 1 and 0 where a side is missing."""
+    counts = steps(reference, current, features)
+    totals = counts.groupBy("feature").agg(F.sum("r").alias("n"), F.sum("c").alias("m"))
+    return _distances(cumulative(counts, rows), totals)
+
+
+def drift_report(reference: DataFrame, current: DataFrame, features: list[str], psi_limit: float = 0.25, p_limit: float = 0.01, distance_limit: float = 2.0, rows: int | None = None) -> DataFrame:
     """All statistics, whether a feature is flagged, and why."""
-    spread = long(reference, features).groupBy("feature").agg(F.stddev_samp("x").alias("sd"))
-    got = psi(reference, current, features).join(ks_wasserstein(reference, current, features), "feature").join(spread, "feature", "left")
+    counts = steps(reference, current, features)
+    cum = cumulative(counts, rows)
+    edges = edges_of(cum, 10)
+    means = counts.groupBy("feature").agg(E("sum(r * x) / nullif(sum(r), 0)").alias("mean"), F.sum("r").alias("k"))
+    spread = counts.join(F.broadcast(means), "feature").groupBy("feature").agg(E("sqrt(sum(r * (x - mean) * (x - mean)) / nullif(max(k) - 1, 0))").alias("sd"))
+    got = _psi(counts, edges, 10).join(_distances(cum, edges), "feature").join(spread, "feature", "left")
     reasons = E(f"filter(array(CASE WHEN psi > {psi_limit} THEN 'psi' END, CASE WHEN ks_p_value < {p_limit} THEN 'ks' END, CASE WHEN sd > 0 AND wasserstein > {distance_limit} * sd THEN 'wasserstein' END), x -> x IS NOT NULL)")
     return got.withColumn("reasons", F.array_join(reasons, ",")).drop("sd").withColumn("flagged", F.col("reasons") != "")
 

@@ -121,8 +121,13 @@ def returns_by_date(bars: DataFrame) -> DataFrame:
 
 
 def compounded(daily: DataFrame, cash: float) -> DataFrame:
-    """ts, equity from (ts, r): one row a date, in order."""
-    return daily.selectExpr("ts", f"{cash}D * exp(sum(ln(1 + r)) OVER (ORDER BY ts)) AS equity")
+    """ts, equity, log_growth from (ts, r): one row a date, in order. Equity is the product of 1 + r: a return of -100 % makes it 0 for good,
+    one below that changes its sign. log_growth is the logarithm of its size over the money at the start, which doesn't overflow; a factor of 0
+    is left out of it."""
+    w = "OVER (ORDER BY ts)"
+    signed = f"CASE WHEN max(CASE WHEN 1 + r = 0 THEN 1 ELSE 0 END) {w} = 1 THEN 0.0D WHEN sum(CASE WHEN 1 + r < 0 THEN 1 ELSE 0 END) {w} % 2 = 1 THEN -1.0D ELSE 1.0D END"
+    got = daily.selectExpr("ts", f"coalesce(sum(ln(nullif(abs(1 + r), 0))) {w}, 0.0D) AS log_growth", f"{signed} AS s")
+    return got.selectExpr("ts", f"CASE WHEN s = 0 THEN 0.0D ELSE {cash}D * s * exp(log_growth) END AS equity", "log_growth")
 
 
 def equal_weight(bars: DataFrame, cash: float = 1_000_000.0) -> DataFrame:

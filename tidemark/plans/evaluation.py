@@ -217,9 +217,20 @@ def wasserstein_drift(spark, sf):
     return rounded(D.ks_wasserstein(*_halves(spark, sf), _FEATS).select("feature", "wasserstein"))
 
 
-@R.query()
+_nm = "sqrt(n * m / CAST(n + m AS DOUBLE))"
+_terms = " + ".join(f"{'-' if k % 2 == 0 else ''}2 * exp(-2 * {k * k} * s * s)" for k in range(1, 21))
+REPORT = {
+    "ps": "SELECT feature, sum((q - p) * ln(q / p)) AS psi FROM pq GROUP BY feature",
+    "kw": "SELECT feature, max(abs(fr - fc)) AS d, sum(abs(fr - fc) * (after - x)) AS wasserstein, any_value(n) AS n, any_value(m) AS m FROM (SELECT cu.*, sum(r) OVER (PARTITION BY feature) AS n, sum(c) OVER (PARTITION BY feature) AS m FROM cu JOIN st USING (feature, x)) GROUP BY feature",
+    "kp": f"SELECT *, CASE WHEN s < 0.2 THEN 1.0 ELSE greatest(0.0, least(1.0, {_terms})) END AS p FROM (SELECT *, d * {_nm} AS s FROM kw)",
+    "sp": "SELECT feature, stddev_samp(x) AS sd FROM lg WHERE ref = 1 GROUP BY feature",
+    "rp": "SELECT feature, psi, d AS ks_statistic, p AS ks_p_value, wasserstein, concat_ws(',', CASE WHEN psi > 0.25 THEN 'psi' END, CASE WHEN p < 0.01 THEN 'ks' END, CASE WHEN sd > 0 AND wasserstein > 2.0 * sd THEN 'wasserstein' END) AS reasons FROM ps JOIN kp USING (feature) JOIN sp USING (feature)",
+}
+
+
+@R.query(with_(f"SELECT feature, {r('psi', 'ks_statistic', 'ks_p_value', 'wasserstein')}, reasons, reasons <> '' AS flagged FROM rp", "bars", **DRIFT, **CUM, **REPORT))
 def drift_report(spark, sf):
-    return D.drift_report(*_halves(spark, sf), _FEATS)
+    return rounded(D.drift_report(*_halves(spark, sf), _FEATS))
 
 
 @R.query(with_(f"SELECT p.prediction_id, {r(realised_excess_return_5d='t.excess_return_5d', realised_excess_return_20d='t.excess_return_20d', realised_volatility='rv')}, done AS completed FROM pred p JOIN targets t USING (symbol, ts) JOIN (SELECT symbol, ts, stddev_samp(return_1d) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING) * sqrt(252.0) AS rv, lead(ts, 20) {_W} AS done FROM f1) USING (symbol, ts) WHERE t.excess_return_20d IS NOT NULL AND predicted IS NOT NULL", "bars", "bench", **PRED))
@@ -228,7 +239,11 @@ def outcome_labels(spark, sf):
     return rounded(L.outcomes(p, tables.bars(spark, sf), tables.benchmark(spark, sf)))
 
 
-@R.query(with_("SELECT prediction_id FROM pred p WHERE predicted IS NOT NULL AND ts <= TIMESTAMP '2001-06-30' - INTERVAL 28 DAY AND NOT EXISTS (SELECT 1 FROM pred o WHERE o.prediction_id = p.prediction_id AND o.excess_return_20d IS NOT NULL)", "bars", "bench", **PRED))
+@R.query(with_(
+    ", pm AS MATERIALIZED (SELECT prediction_id, ts, excess_return_20d FROM pred WHERE predicted IS NOT NULL) "
+    "SELECT prediction_id FROM pm ANTI JOIN (SELECT prediction_id FROM pm WHERE excess_return_20d IS NOT NULL) o USING (prediction_id) WHERE ts <= TIMESTAMP '2001-06-30' - INTERVAL 28 DAY",
+    "bars", "bench", **PRED,
+))
 def pending_predictions(spark, sf):
     from tidemark.operators.asof import pending
 

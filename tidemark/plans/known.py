@@ -112,7 +112,7 @@ def event_categories(spark, sf):
 
 def _mapping_events(spark, sf):
     n = F.col("p_partkey") % 6
-    return tables.table(spark, sf, "part").where("p_size <= 5").select(F.col("p_partkey").alias("event_id"), F.element_at(F.array(*[F.lit(c) for c in [*S.RELEVANCE, "other"]]), (n + 1).cast("int")).alias("category"))
+    return tables.table(spark, sf, "part").select(F.col("p_partkey").alias("event_id"), F.element_at(F.array(*[F.lit(c) for c in [*S.RELEVANCE, "other"]]), (n + 1).cast("int")).alias("category"))
 
 
 def _sector(spark, sf):
@@ -120,7 +120,7 @@ def _sector(spark, sf):
 
 
 _MAP = {
-    "ev": "SELECT p_partkey AS event_id, (['monetary_policy', 'economic_outcomes', 'elections_policy', 'geopolitical', 'regulatory', 'other'])[CAST(p_partkey % 6 AS INT) + 1] AS category FROM part WHERE p_size <= 5",
+    "ev": "SELECT p_partkey AS event_id, (['monetary_policy', 'economic_outcomes', 'elections_policy', 'geopolitical', 'regulatory', 'other'])[CAST(p_partkey % 6 AS INT) + 1] AS category FROM part",
     "sec": "SELECT symbol, CASE sector WHEN 'AFRICA' THEN 'ENERGY' WHEN 'AMERICA' THEN 'TECH' WHEN 'ASIA' THEN 'FINANCE' WHEN 'EUROPE' THEN 'HEALTH' ELSE 'OTHER' END AS sector FROM sectors",
     "mapping": "SELECT symbol, event_id, category, CAST(CASE category WHEN 'monetary_policy' THEN 0.4 WHEN 'economic_outcomes' THEN 0.3 WHEN 'elections_policy' THEN 0.2 WHEN 'geopolitical' THEN 0.25 ELSE 0.15 END + CASE WHEN category = 'elections_policy' AND sector IN ('ENERGY', 'FINANCE', 'HEALTH') THEN 0.2 WHEN category = 'geopolitical' AND sector = 'ENERGY' THEN 0.15 WHEN category = 'regulatory' AND sector IN ('FINANCE', 'TECH') THEN 0.3 ELSE 0 END AS DOUBLE) AS relevance, CASE category WHEN 'monetary_policy' THEN 'monetary_policy' WHEN 'economic_outcomes' THEN 'macro_economic_outcomes' WHEN 'elections_policy' THEN 'policy_uncertainty' WHEN 'geopolitical' THEN 'geopolitical_risk' ELSE 'regulatory_exposure' END AS rationale FROM ev CROSS JOIN sec WHERE category <> 'other'",
 }
@@ -132,15 +132,24 @@ def event_relevance(spark, sf):
 
 
 _OBS = "SELECT l_partkey AS event_id, l_shipdate AS observed, max(l_discount) * 10 AS probability FROM lineitem GROUP BY 1, 2"
-_GRID = "SELECT symbol, ts FROM sec CROSS JOIN (SELECT DISTINCT CAST(date_trunc('year', l_shipdate) AS TIMESTAMP) AS ts FROM lineitem)"
+_GRID = "SELECT sector, ts FROM (SELECT DISTINCT sector FROM sec) CROSS JOIN (SELECT DISTINCT CAST(date_trunc('month', l_shipdate) AS TIMESTAMP) AS ts FROM lineitem)"
+_BY_SECTOR = {k: (v.replace("SELECT symbol, event_id", "SELECT sector, event_id").replace("CROSS JOIN sec", "CROSS JOIN (SELECT DISTINCT sector FROM sec)") if k == "mapping" else v) for k, v in _MAP.items()}
 
 
-@R.query(with_("SELECT symbol, category, ts, round(sum(probability * relevance) / greatest(sum(relevance), 1e-9), 6) AS probability FROM (SELECT g.symbol, m.category, g.ts, m.relevance, m.event_id FROM grid g JOIN mapping m USING (symbol)) w ASOF JOIN obs o ON w.event_id = o.event_id AND w.ts >= o.observed GROUP BY symbol, category, ts", "sectors", **_MAP, obs=_OBS, grid=_GRID))
+@R.query(with_(
+    "SELECT symbol, category, ts, round(a / greatest(b, 1e-9), 9) AS probability FROM sec JOIN (SELECT g.sector, m.category, g.ts, sum(probability * relevance) AS a, sum(relevance) AS b "
+    "FROM grid g JOIN mapping m USING (sector) ASOF JOIN obs o ON m.event_id = o.event_id AND g.ts >= o.observed GROUP BY 1, 2, 3) USING (sector)",
+    "sectors", **_BY_SECTOR, obs=_OBS, grid=_GRID,
+))
 def event_prob_asof(spark, sf):
+    """Each month's probability of each category of events for each symbol. An event concerns all symbols of a sector alike, so that
+    events are weighed once a sector, not once a symbol."""
     li = tables.table(spark, sf, "lineitem")
     obs = li.groupBy(F.col("l_partkey").alias("event_id"), F.col("l_shipdate").alias("observed")).agg((F.max("l_discount") * 10).alias("probability"))
-    points = _sector(spark, sf).select("symbol").crossJoin(F.broadcast(li.select(F.date_trunc("year", "l_shipdate").cast("timestamp_ntz").alias("ts")).distinct()))
-    return rounded(A.weighted_probability(S.event_relevance(_mapping_events(spark, sf), _sector(spark, sf)), obs, points))
+    months = F.broadcast(li.select(F.date_trunc("month", "l_shipdate").cast("timestamp_ntz").alias("ts")).distinct())
+    groups = _sector(spark, sf).select(F.col("sector").alias("symbol"), "sector").distinct()
+    found = A.weighted_probability(S.event_relevance(_mapping_events(spark, sf), groups), obs, groups.select("symbol").crossJoin(months))
+    return rounded(_sector(spark, sf).join(found.withColumnRenamed("symbol", "sector"), "sector").select("symbol", "category", "ts", "probability"), 9)
 
 
 def _second_source(spark, sf):

@@ -118,35 +118,27 @@ def buy_and_hold(spark, sf):
     return rounded(P.buy_and_hold(tables.bars(spark, sf)), 3)
 
 
-def _calm(spark, sf):
-    """Bars whose returns stay above -100 % and are small: a tenth of the logarithm of the price."""
-    return tables.bars(spark, sf).selectExpr("symbol", "ts", "exp(ln(close) / 20) AS close")
-
-
-_CALM = {"cb": "SELECT symbol, ts, exp(ln(close) / 20) AS close FROM bars", "rt": _ret.replace("FROM bars", "FROM cb")}
-
-
-@R.query(with_(f"SELECT ts, round(exp(sum(ln(1 + r)) OVER (ORDER BY ts)), 4) AS growth FROM (SELECT ts, coalesce(sum(r), 0) / {_n} AS r FROM rt GROUP BY ts)", "bars", **_CALM))
+@R.query(with_(f"SELECT ts, round(sum(ln(1 + r)) OVER (ORDER BY ts), 6) AS log_growth FROM (SELECT ts, coalesce(sum(r), 0) / {_n} AS r FROM rt GROUP BY ts)", "bars", rt=_ret))
 def equal_weight(spark, sf):
-    return rounded(P.equal_weight(_calm(spark, sf), 1.0), 4).withColumnRenamed("equity", "growth")
+    return rounded(P.equal_weight(tables.bars(spark, sf)).select("ts", "log_growth"))
 
 
 _MOM = {
     "pk": "SELECT ts, list(symbol) AS book FROM (SELECT ts, symbol, row_number() OVER (PARTITION BY ts ORDER BY round(trail, 12) DESC, symbol) AS k, count(*) OVER (PARTITION BY ts) AS n FROM rt WHERE dayofweek(ts) = 5 AND trail IS NOT NULL) WHERE k <= 3 AND n >= 3 GROUP BY ts",
     "bk": "SELECT ts, book, CASE WHEN lag(book, 1) OVER (ORDER BY ts) IS NULL THEN 1.0 ELSE 2 * (3 - len(list_intersect(book, lag(book, 1) OVER (ORDER BY ts)))) / 3.0 END AS turned FROM pk",
-    "dt": "SELECT d.ts, turned, last_value(book IGNORE NULLS) OVER (ORDER BY d.ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS book FROM (SELECT DISTINCT ts FROM cb) d LEFT JOIN bk USING (ts)",
+    "dt": "SELECT d.ts, turned, last_value(book IGNORE NULLS) OVER (ORDER BY d.ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS book FROM (SELECT DISTINCT ts FROM bars) d LEFT JOIN bk USING (ts)",
     "hd": "SELECT x.ts, coalesce(sum(r), 0) / 3 AS g FROM (SELECT ts, unnest(book) AS symbol FROM dt) x JOIN rt USING (ts, symbol) GROUP BY x.ts",
 }
 
 
-@R.query(with_("SELECT ts, round(exp(sum(ln(1 + coalesce(g, 0) - coalesce(turned, 0) * 10 / 10000)) OVER (ORDER BY ts)), 4) AS growth FROM dt LEFT JOIN hd USING (ts)", "bars", **_CALM, **_MOM))
+@R.query(with_("SELECT ts, round(sum(ln(1 + coalesce(g, 0) - coalesce(turned, 0) * 10 / 10000)) OVER (ORDER BY ts), 6) AS log_growth FROM dt LEFT JOIN hd USING (ts)", "bars", rt=_ret, **_MOM))
 def momentum_top3(spark, sf):
-    return rounded(P.momentum_top(_calm(spark, sf), cash=1.0), 4).withColumnRenamed("equity", "growth")
+    return rounded(P.momentum_top(tables.bars(spark, sf)).select("ts", "log_growth"))
 
 
 def _walked(spark, sf):
     """A scenario a region: the bars of its suppliers on dates that most of them trade, with their target weights."""
-    b = _calm(spark, sf).join(tables.bars(spark, sf).select("symbol", "ts", "volume"), ["symbol", "ts"])
+    b = tables.bars(spark, sf).select("symbol", "ts", "close", "volume")
     p = T.add(b, {k: T.RETURN_SET[k] for k in ("return_1d", "return_20d")}, {"realised_vol_20d": T.VOL_SET["realised_vol_20d"]})
     s = p.selectExpr("symbol", "ts", "return_20d / 100 AS predicted_excess_return_5d", "1 / (1 + exp(-return_20d * 10)) AS probability_positive_5d", "realised_vol_20d AS predicted_volatility", "0.5D AS confidence").where("predicted_excess_return_5d IS NOT NULL AND predicted_volatility IS NOT NULL")
     sector = tables.sectors(spark, sf).withColumnRenamed("sector", "run_id").join(tables.table(spark, sf, "supplier").selectExpr("CAST(s_suppkey AS STRING) AS symbol", "CAST(s_nationkey AS STRING) AS sector"), "symbol")
