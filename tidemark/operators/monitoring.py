@@ -41,6 +41,11 @@ def engaged(switch: DataFrame | None) -> bool:
     return bool(rows and rows[0]["engaged"])
 
 
+def engaged_by(log: DataFrame, key: str) -> DataFrame:
+    """key, engaged: the newest entry of each key's log (key, ts, engaged)."""
+    return log.groupBy(key).agg(F.max_by("engaged", "ts").alias("engaged"))
+
+
 def rolling_sharpe(equity: DataFrame, n: int = 63, key: str = "run_id") -> DataFrame:
     """run, ts, sharpe over the last n returns, once there are n."""
     w = f"OVER (PARTITION BY {key} ORDER BY ts)"

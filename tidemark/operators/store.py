@@ -1,13 +1,16 @@
 """Stored tables: upserts, insert-once and append-only writes as new snapshots of a Parquet table, and the feature store.
 
-A table is a folder with a snapshot for each write and a pointer, the snapshot's name in a one-row table; a reader sees a
-whole snapshot or the one before. Nothing is rewritten in place, so a job that dies half way leaves the table as it was.
-"""
+A table is a folder of parts and, for each version, a pointer: a one-row table with the names of the parts that make up the version. A
+reader sees a whole version or the one before. Appending writes one more part and rewrites nothing; replacing rows writes a new first part. A
+pointer is written only if there is none of its version yet: of two writers one finds the other's pointer and starts over from it. (That check
+and the write are two steps of Spark's writer; a store whose writers race within them needs a lock outside.)"""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,24 +23,38 @@ class Table:
     def __init__(self, spark: SparkSession, path: str, keys: list[str]):
         self.spark, self.path, self.keys = spark, path.rstrip("/"), keys
 
-    def _current(self) -> str | None:
+    def _current(self) -> tuple[int, list[str]]:
         try:
-            rows = self.spark.read.parquet(f"{self.path}/pointer").orderBy(F.desc("version")).limit(1).collect()
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return None
-            raise
-        return (rows[0]["version"], rows[0]["snapshot"]) if rows else None
+            rows = self.spark.read.parquet(f"{self.path}/pointer/*").orderBy(F.desc("version")).limit(1).collect()
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            rows = []
+        return (rows[0]["version"], list(rows[0]["parts"])) if rows else (0, [])
+
+    def _rows(self, parts: list[str]) -> DataFrame | None:
+        return self.spark.read.option("mergeSchema", True).parquet(*(f"{self.path}/{x}" for x in parts)) if parts else None
 
     def read(self) -> DataFrame | None:
         """The table's rows; None before the first write."""
-        got = self._current()
-        return self.spark.read.parquet(f"{self.path}/{got[1]}") if got else None
+        return self._rows(self._current()[1])
 
-    def _write(self, df: DataFrame) -> None:
-        version, name = (self._current() or (0, ""))[0] + 1, f"snapshot-{uuid.uuid4().hex}"
+    def _part(self, df: DataFrame) -> str:
+        name = f"part-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.path}/{name}")
-        self.spark.createDataFrame([(version, name)], "version bigint, snapshot string").write.mode("append").parquet(f"{self.path}/pointer")
+        return name
+
+    def _commit(self, change: Callable[[list[str]], list[str]]) -> None:
+        """Make the next version of the parts of the present one; again, if another writer was first."""
+        while True:
+            version, parts = self._current()
+            row = self.spark.createDataFrame([(version + 1, change(parts))], "version bigint, parts array<string>")
+            try:
+                row.coalesce(1).write.mode("errorifexists").parquet(f"{self.path}/pointer/v{version + 1:012d}")
+                return
+            except AnalysisException as e:
+                if "PATH_ALREADY_EXISTS" not in str(e):
+                    raise
 
     def _unique(self, df: DataFrame) -> None:
         if df.groupBy(*self.keys).count().where("count > 1").limit(1).count():
@@ -46,21 +63,30 @@ class Table:
     def upsert(self, df: DataFrame) -> int:
         """Rows replace those of equal keys; a key twice in the batch is an error. Gives the number of rows."""
         self._unique(df)
-        old = self.read()
-        self._write(df if old is None else merged(old, df, self.keys))
+
+        def change(parts: list[str]) -> list[str]:
+            old = self._rows(parts)
+            if old is not None and not old.join(df.select(*self.keys), self.keys, "left_semi").limit(1).count():
+                return [*parts, self._part(df)]  # all keys are new: nothing is rewritten
+            return [self._part(df if old is None else merged(old, df, self.keys))]
+
+        self._commit(change)
         return df.count()
 
     def insert_once(self, df: DataFrame) -> None:
         """Add rows whose keys aren't there; a key that is there is an error."""
         self._unique(df)
-        old = self.read()
-        if old is not None and old.join(df.select(*self.keys), self.keys, "left_semi").limit(1).count():
-            raise DuplicateKey(f"rows with these {self.keys} are stored already")
-        self._write(df if old is None else old.unionByName(df))
+
+        def change(parts: list[str]) -> list[str]:
+            old = self._rows(parts)
+            if old is not None and old.join(df.select(*self.keys), self.keys, "left_semi").limit(1).count():
+                raise DuplicateKey(f"rows with these {self.keys} are stored already")
+            return [*parts, self._part(df)]
+
+        self._commit(change)
 
     def append(self, df: DataFrame) -> None:
-        old = self.read()
-        self._write(df if old is None else old.unionByName(df, allowMissingColumns=True))
+        self._commit(lambda parts: [*parts, self._part(df)])
 
 
 def merged(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,7 +18,12 @@ R = Registry()
 
 
 def _folder(spark) -> str:
-    d = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-")
+    """A folder of its own in the cluster's shared one; a local session without one gets a folder of this machine."""
+    d = spark.conf.get("spark.checkpoint.dir", None)
+    if not d:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        d = "file://" + tempfile.mkdtemp(prefix="tidemark-")
     return f"{d.rstrip('/')}/tidemark/store-{uuid.uuid4().hex}"
 
 
@@ -108,9 +114,14 @@ def parse_chart_payloads(spark, sf):
 
 @R.query("SELECT o_orderpriority AS series, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS period, CAST(date_trunc('month', o_orderdate) + INTERVAL 7 DAY AS TIMESTAMP) AS published, CAST(count(*) AS DOUBLE) AS value FROM orders GROUP BY 1, 2, 3")
 def parse_series_csv(spark, sf):
+    return payloads.series_csv(_csv(spark, sf))
+
+
+def _csv(spark, sf):
+    """Monthly counts of orders as series, with gaps."""
     o = tables.table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("series"), F.date_trunc("month", "o_orderdate").alias("m")).agg(F.count("*").alias("n"))
     lines = o.groupBy("series").agg(F.concat_ws("\n", F.lit("DATE,VALUE"), F.concat_ws("\n", F.collect_list(F.concat_ws(",", F.date_format("m", "yyyy-MM-dd"), F.col("n").cast("string")))), F.lit("1990-01-01,."), F.lit("1990-02-01,")).alias("payload"))
-    return payloads.series_csv(lines)
+    return lines
 
 
 @R.query("SELECT CAST(event_id AS VARCHAR) AS event_id, 'other' AS category, least(1.0, CAST(event_id % 12 AS DOUBLE) / 10) AS probability FROM events WHERE event_id % 3 = 0")
@@ -142,10 +153,16 @@ def valuation_ratios(spark, sf):
     return rounded(got.select("symbol", "published", "pe_ratio", "price_to_book"))
 
 
-@R.query("SELECT * FROM (VALUES ('news2_n_articles_1h', 'news'), ('macro_regime_code', 'macro_regime'), ('momentum_percentile', 'cross_sectional'), ('raw_rsi_14', 'technical'), ('dollar_volume', 'technical'), ('fund_raw_roic', 'fundamental'), ('other_thing', 'other')) AS t(feature, family)")
+_SUFFIX = ["_percentile", "_regime_code", "_20d", ""]
+_NAMES = ["news_count", "eventprob_oil", "macro_raw_cpi", "fund_raw_roic", "breadth_50", "agent_score", "rsi_14", "return", "dollar_volume", "event_uncertainty", "thing"]
+
+
+@R.query(f"SELECT feature, CASE WHEN starts_with(feature, 'eventprob_') THEN 'eventprob' WHEN starts_with(feature, 'macro_raw_') THEN 'macro_raw' WHEN starts_with(feature, 'news_') THEN 'news' WHEN starts_with(feature, 'fund_raw_') THEN 'fundamental' WHEN starts_with(feature, 'breadth_') THEN 'market_breadth' WHEN starts_with(feature, 'agent_') THEN 'agent' WHEN ends_with(feature, '_regime_code') THEN 'macro_regime' WHEN ends_with(feature, '_percentile') THEN 'cross_sectional' WHEN feature = 'event_uncertainty' THEN 'news' WHEN feature IN ('rsi_14', 'return_20d', 'dollar_volume') THEN 'technical' ELSE 'other' END AS family, count(*) AS n FROM (SELECT ({_NAMES})[CAST(p_partkey % {len(_NAMES)} AS INT) + 1] || ({_SUFFIX})[CAST(p_size % {len(_SUFFIX)} AS INT) + 1] AS feature FROM part) GROUP BY 1, 2")
 def feature_families(spark, sf):
-    names = ["news2_n_articles_1h", "macro_regime_code", "momentum_percentile", "raw_rsi_14", "dollar_volume", "fund_raw_roic", "other_thing"]
-    return spark.createDataFrame([(n, models.feature_family(n)) for n in names], "feature string, family string")
+    """Families of names that the parts make, by one column expression."""
+    pick = lambda names, by: F.element_at(F.array(*[F.lit(x) for x in names]), (F.col(by) % len(names) + 1).cast("int"))
+    rows = tables.table(spark, sf, "part").select(F.concat(pick(_NAMES, "p_partkey"), pick(_SUFFIX, "p_size")).alias("feature"))
+    return rows.withColumn("family", models.families(F.col("feature"))).groupBy("feature", "family").agg(F.count("*").alias("n"))
 
 
 _RULES = [("price_positive", "l_extendedprice > 0", "ERROR"), ("discount_small", "l_discount < 0.1", "WARNING"), ("tax_small", "l_tax < 0.08", "WARNING")]
@@ -185,3 +202,22 @@ def ingestion_runs(spark, sf):
 @R.query()
 def synthetic_market(spark, sf):
     return synthetic.synthetic_bars(spark, 10, "2020-01-02", 500)
+
+
+@R.query("SELECT * FROM (VALUES ('bars', 11 * 500, TRUE), ('filings', 10 * 8, TRUE), ('macro', 4 * 23, TRUE), ('news', 10 * 500, TRUE), ('regimes', 500, TRUE)) AS t(relation, n, holds)")
+def synthetic_invariants(spark, sf):
+    """Rows of each synthetic relation (10 symbols and the benchmark, 500 days, which have 8 quarters' and 23 months' ends), and whether all of
+    them hold what they must."""
+    of = (10, "2020-01-02", 500)
+    tests = {
+        "bars": (synthetic.synthetic_bars(spark, *of), "high >= greatest(open, close) AND low <= least(open, close) AND low > 0 AND volume >= 0"),
+        "filings": (synthetic.synthetic_filings(spark, *of), "date_diff(published, period_end) BETWEEN 35 AND 54 AND revenue > 0 AND gross_margin BETWEEN 0.05 AND 0.85 AND operating_margin < gross_margin"),
+        "macro": (synthetic.synthetic_macro(spark, *of[1:]), "date_diff(published, period) BETWEEN 3 AND 11 AND value > 0"),
+        "news": (synthetic.synthetic_news(spark, *of), "abs(news_sentiment) <= 1 AND event_uncertainty BETWEEN 0 AND 1"),
+        "regimes": (synthetic.synthetic_regimes(spark, *of[1:]), f"regime IN ({', '.join(repr(x) for x in synthetic.REGIMES)})"),
+    }
+    out = None
+    for name, (df, test) in tests.items():
+        one = df.agg(F.count("*").cast("int").alias("n"), F.expr(f"every({test})").alias("holds")).select(F.lit(name).alias("relation"), "n", "holds")
+        out = one if out is None else out.union(one)
+    return out

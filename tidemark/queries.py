@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import evaluation, known, market, storage, trading
+from tidemark.plans import evaluation, intake, known, market, storage, trading
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-for _module in (market, known, evaluation, trading, storage):
+for _module in (market, known, evaluation, trading, storage, intake):
     QUERIES |= _module.R.queries
     ORACLE |= _module.R.oracle
