@@ -82,6 +82,21 @@ def test_drift_in_blocks_equals_drift_in_one_task(spark, monkeypatch):
     assert rows(drift.cumulative(drift.steps(ref, cur, ["x", "y"]), 900).select("feature", "x", "r", "c", "cr", "cc", F.coalesce("after", F.lit(-9.0)))) == table
 
 
+def test_the_book_gives_what_summing_all_positions_gives():
+    for k in range(300):
+        r = np.random.default_rng(k)
+        names = [f"s{i}" for i in range(8)]
+        quantity = {s: float(r.normal(0, 100)) for s in names if r.random() < 0.7}
+        prices, vols = {s: float(r.uniform(1, 50)) for s in names if r.random() < 0.9}, {s: float(r.uniform(0.1, 0.6)) for s in names if r.random() < 0.6}
+        sectors = {s: f"x{int(r.integers(3))}" for s in names if r.random() < 0.8}
+        symbol, change = names[int(r.integers(8))], float(r.normal(0, 3000))
+        values = {s: q * prices.get(s, 0.0) for s, q in quantity.items()}
+        values[symbol] = values.get(symbol, 0.0) + change
+        of = lambda s: sectors.get(s, "UNKNOWN")
+        want = (abs(values[symbol]), sum(map(abs, values.values())), sum(values.values()), sum(abs(v) for s, v in values.items() if of(s) == of(symbol)), sum(abs(v) * vols.get(s, 0.2) for s, v in values.items()))
+        assert broker.Book(quantity, prices, sectors, vols, 0.2).after(symbol, change) == pytest.approx(want, abs=1e-6)
+
+
 def test_total_losses_end_a_portfolio(spark):
     from tidemark.operators import portfolio
 

@@ -56,13 +56,27 @@ def lookback_pairs(points: DataFrame, articles: DataFrame, days: int, ts: str =
 
 def news_counts(points: DataFrame, articles: DataFrame, ts: str = "ts") -> DataFrame:
     """Numbers of articles within each window, their weighted number within 7 days and hours since the last one; a point
-    without articles has zeros and NULL."""
-    hours = (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("published").cast("timestamp"))) / 3.6e9
+    without articles has zeros and NULL.
+
+    Points and articles go through one shuffle and one sort by symbol and week, where range windows count; there are no pairs. An
+    article is in the week that it was published in and in the next, as far as the longest window reaches back, so a symbol with
+    much news is as many groups as it has weeks."""
+    week, most = 7 * 86_400_000_000, max(WINDOWS.values())
+    if most * 3_600_000_000 > week:
+        raise ValueError("a window is longer than a week")
     weight = F.coalesce(F.create_map(*[F.lit(x) for kv in TIERS.items() for x in kv])[F.col("tier")], F.lit(UNKNOWN_TIER))
-    got = lookback_pairs(points, articles, 7, ts).withColumns({"__h": hours, "__w": weight})
-    counts = got.groupBy("symbol", ts).agg(*[F.count_if(F.col("__h") <= h).alias(f"n_articles_{k}") for k, h in WINDOWS.items()], F.sum(F.when(F.col("__h") <= 168, F.col("__w"))).alias("source_weighted_count_7d"), F.min("__h").alias("hours_since_last_article"))
-    joined = points.join(counts, ["symbol", ts], "left")
-    return joined.select("symbol", ts, *[F.coalesce(c, F.lit(0)).cast("double").alias(c) for c in counts.columns[2:-1]], "hours_since_last_article")
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    own = F.floor(F.col("__t") / week)
+    a = articles.where("published is not null and not uncertain").select("symbol", micros("published").alias("__t"), weight.alias("__w"), F.lit(1).alias("__n"))
+    a = a.withColumn("__week", F.explode(F.array(own, own + 1)))
+    p = points.select("symbol", F.col(ts), micros(ts).alias("__t"), F.lit(0).alias("__n")).withColumn("__week", own)
+    both = p.unionByName(a, allowMissingColumns=True)
+    over = Window.partitionBy("symbol", "__week").orderBy("__t")
+    back = lambda h: over.rangeBetween(-h * 3_600_000_000, 0)
+    counts = [F.sum("__n").over(back(h)).cast("double").alias(f"n_articles_{k}") for k, h in WINDOWS.items()]
+    last = F.max(F.when(F.col("__n") == 1, F.col("__t"))).over(back(most))
+    got = both.select("symbol", ts, "__n", *counts, F.coalesce(F.sum("__w").over(back(168)), F.lit(0.0)).alias("source_weighted_count_7d"), ((F.col("__t") - last) / 3.6e9).alias("hours_since_last_article"))
+    return got.where("__n = 0").drop("__n")
 
 
 def reconcile(primary: DataFrame, secondary: DataFrame, keys: list[str], minor: float = 0.005, major: float = 0.02) -> DataFrame:

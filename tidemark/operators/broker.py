@@ -52,21 +52,45 @@ class Account:
         return gain
 
 
-def _reason(account: Account, symbol: str, trade: float, price: float, sectors: dict, vols: dict, prices: dict, equity: float, li: Limits, key: tuple) -> str:
+class Book:
+    """The values of an account's positions at given prices, with their totals, so that an order is judged by replacing one position."""
+
+    def __init__(self, quantity: dict, prices: dict, sectors: dict, vols: dict, default: float):
+        self.values = {s: q * prices.get(s, 0.0) for s, q in quantity.items()}
+        self.sectors, self.vols, self.default = sectors, vols, default
+        self.gross, self.net, self.risk, self.by_sector = 0.0, 0.0, 0.0, {}
+        for s, v in self.values.items():
+            self.gross += abs(v)
+            self.net += v
+            self.risk += abs(v) * self.volatility(s)
+            self.by_sector[self.sector(s)] = self.by_sector.get(self.sector(s), 0.0) + abs(v)
+
+    def sector(self, symbol: str) -> str:
+        return self.sectors.get(symbol, "UNKNOWN")
+
+    def volatility(self, symbol: str) -> float:
+        return self.vols.get(symbol, self.default)
+
+    def after(self, symbol: str, change: float) -> tuple[float, float, float, float, float]:
+        """|value|, gross, net, the sector's gross and the weighted volatility, if a symbol's value changed by so much."""
+        was = self.values.get(symbol, 0.0)
+        now = was + change
+        more = abs(now) - abs(was)
+        return abs(now), self.gross + more, self.net + change, self.by_sector.get(self.sector(symbol), 0.0) + more, self.risk + more * self.volatility(symbol)
+
+
+def _reason(account: Account, symbol: str, trade: float, price: float, book: Book, equity: float, li: Limits, key: tuple) -> str:
     if account.killed:
         return "KILL_SWITCH"
     if not price or price <= 0 or price != price:
         return "INVALID_PRICE"
     if key in account.seen:
         return "DUPLICATE_ORDER"
-    values = {s: q * prices.get(s, 0.0) for s, q in account.quantity.items()}
-    values[symbol] = values.get(symbol, 0.0) + trade * price
     eq = equity if equity > 0 else 1e-9
-    sector = sectors.get(symbol, "UNKNOWN")
+    position, gross, net, sector, risk = book.after(symbol, trade * price)
     checks = [
-        (abs(values[symbol]) / eq > li.position, "RISK_POSITION_LIMIT"), (sum(map(abs, values.values())) / eq > li.gross, "RISK_GROSS_EXPOSURE"), (abs(sum(values.values())) / eq > li.net, "RISK_NET_EXPOSURE"),
-        (sum(abs(v) for s, v in values.items() if sectors.get(s, "UNKNOWN") == sector) / eq > li.sector, "RISK_SECTOR_CONCENTRATION"),
-        (sum(abs(v) / eq * vols.get(s, li.default_volatility) for s, v in values.items()) > li.volatility, "RISK_PORTFOLIO_VOLATILITY"),
+        (position / eq > li.position, "RISK_POSITION_LIMIT"), (gross / eq > li.gross, "RISK_GROSS_EXPOSURE"), (abs(net) / eq > li.net, "RISK_NET_EXPOSURE"),
+        (sector / eq > li.sector, "RISK_SECTOR_CONCENTRATION"), (risk / eq > li.volatility, "RISK_PORTFOLIO_VOLATILITY"),
     ]
     for bad, reason in checks:
         if bad:
@@ -102,9 +126,10 @@ def walk(g: pd.DataFrame, cash: float, a: Allocation, li: Limits, c: Fills) -> p
             trade = weights.get(s, 0.0) * equity / price - account.quantity.get(s, 0.0)
             if abs(trade) * price >= a.min_notional:
                 orders.append((s, trade, price))
+        book = Book(account.quantity, prices, sectors, vols, li.default_volatility)
         for s, trade, price in orders:  # all against the snapshot before the batch
             key = (s, trade > 0, t)
-            if _reason(account, s, trade, price, sectors, vols, prices, equity, li, key) == "OK":
+            if _reason(account, s, trade, price, book, equity, li, key) == "OK":
                 account.seen.add(key)
                 approved.append((s, trade))
             else:

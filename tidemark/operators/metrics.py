@@ -55,11 +55,14 @@ ONE_TASK = 1_000_000
 
 def value_ranks(df: DataFrame, x: str, out: str, one_task: int = ONE_TASK, blocks: int = 64) -> DataFrame:
     """(x, out): the mean rank of each distinct value among all rows. Counts of up to `one_task` values are summed in value order by one
-    task; of more, by blocks between quantiles, after the blocks' totals, so that no task sorts all values."""
+    task; of more, by blocks between quantiles, after the blocks' totals, so that no task sorts all values. There are as many blocks as
+    it takes for each to hold half of `one_task` values."""
     counts = df.groupBy(x).agg(F.count("*").alias("__n")).persist()  # read several times; lost parts are computed again
-    if counts.count() <= one_task:
+    distinct = counts.count()
+    blocks = max(blocks, -(-2 * distinct // one_task))
+    if distinct <= one_task:
         return counts.select(x, (F.sum("__n").over(Window.orderBy(x)) - (F.col("__n") - 1) / F.lit(2.0)).alias(out))
-    edges = sorted(set(counts.approxQuantile(x, [i / blocks for i in range(1, blocks)], 0.005)))
+    edges = sorted(set(counts.approxQuantile(x, [i / blocks for i in range(1, blocks)], min(0.005, 0.1 / blocks))))
 
     def block(lo: int, hi: int) -> Column:
         mid = (lo + hi) // 2
@@ -95,12 +98,16 @@ def classification_eval(df: DataFrame, truth: str, prob: str) -> DataFrame:
     return g.selectExpr("n", "(rs - pos * (pos + 1) / 2) / nullif(pos * (n - pos), 0) AS auc", "accuracy", "log_loss", "brier_score")
 
 
-def calibration_curve(df: DataFrame, truth: str, prob: str, bins: int = 10) -> DataFrame:
-    """bin, mean_predicted, mean_realised, count over exact quantile bins, closed to the right, equal edges merged."""
-    rows = df.where(f"{truth} IS NOT NULL AND {prob} IS NOT NULL").selectExpr(f"{truth} AS y", f"{prob} AS p")
-    edges = rows.agg(E(f"percentile(p, array({', '.join(f'{i / bins}D' for i in range(bins + 1))}))").alias("e")).select(F.array_distinct("e").alias("e"))
-    got = rows.crossJoin(F.broadcast(edges)).withColumn("bin", E("greatest(size(filter(e, x -> x < p)), 1)"))
-    return got.groupBy("bin").agg(F.avg("p").alias("mean_predicted"), F.avg("y").alias("mean_realised"), F.count("*").alias("count"))
+def calibration_curve(df: DataFrame, truth: str, prob: str, bins: int = 10, rows: int | None = None) -> DataFrame:
+    """bin, mean_predicted, mean_realised, count over exact quantile bins, closed to the right, equal edges merged. Edges come from the running
+    counts of distinct probabilities, as in drift; bins from sums for each of them. rows: at most how many distinct ones there are, if known."""
+    from tidemark.operators.drift import cumulative, edges_of
+
+    got = df.where(f"{truth} IS NOT NULL AND {prob} IS NOT NULL").groupBy(F.col(prob).cast("double").alias("x")).agg(F.count("*").alias("r"), F.sum(truth).alias("y"))
+    counts = got.select(F.lit("").alias("feature"), "x", "r", F.lit(0).cast("long").alias("c"))
+    edges = edges_of(cumulative(counts, rows), bins).select("e")
+    binned = got.crossJoin(F.broadcast(edges)).withColumn("bin", E("greatest(size(filter(e, v -> v < x)), 1)"))
+    return binned.groupBy("bin").agg((F.sum(E("x * r")) / F.sum("r")).alias("mean_predicted"), (F.sum("y") / F.sum("r")).alias("mean_realised"), F.sum("r").alias("count"))
 
 
 def quantile_portfolio(df: DataFrame, truth: str, pred: str, share: float = 0.2) -> DataFrame:
