@@ -94,3 +94,26 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     assert "[SECRET]" in masked.text and masked.n_chars == len(masked.text)
     assert seen["packing"] == seen["secret_scan"]
     assert P.run(spark, f"file://{tmp_path}").count() == now.count()
+
+
+def test_pipeline_over_an_empty_table_and_clashing_columns(spark, tmp_path):
+    import corpus_pipeline as P
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    extra = ", score int, kept int, spans int, class_id int, n_words int, level int, lost int, c0 int, blob int, ids int, place int, block int"
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"file://{tmp_path}/labels.parquet")
+    good = " ".join(f"word{i}" for i in range(70)) + "."
+    rows = [(1, good, "en", "s", 5), (1, good, "en", "s", 5), (None, good + " x", None, None, None), (2, None, None, None, None), (3, good.replace("word", "term") + " token = abcdefghijklmnop1234", "de", "s", 1), (4, "", "en", "s", 0)]
+    for name, table in (("none", spark.createDataFrame([], schema + extra)), ("some", spark.createDataFrame([(*r, *[7] * 12) for r in rows], schema + extra))):
+        now, sizes = table, []
+        for stage, f in P.STAGES:
+            out = f"file://{tmp_path}/{name}-{stage}"
+            f(spark, now, f"file://{tmp_path}").write.parquet(out)
+            columns, now = now.columns, spark.read.parquet(out)
+            sizes.append(now.count())
+            if stage != "packing":
+                assert now.columns == columns, stage
+        assert sizes == ([0] * 5 if name == "none" else [*sizes[:2], sizes[1] - 1, sizes[1] - 1, sizes[4]])
+        if name == "some":
+            assert sizes[0] >= 4 and sizes[1] == 4 and sizes[4] >= 3  # the repeated row of doc_id 1 goes in the third stage

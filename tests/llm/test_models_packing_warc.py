@@ -50,6 +50,28 @@ def test_classifier_scores_every_row_and_never_learns_from_held_out_rows(spark):
     assert {r.score for r in C.score(docs, labels.limit(0)).collect()} == {1.0}
 
 
+def test_scores_equal_a_plain_version_of_the_whole_query(spark):
+    """Statistics, sample, fit and rules in plain Python, over the small table."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    got = {r.doc_id: r for r in C.score(docs, labels).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    quality = {}
+    for r in labels.collect():
+        if r.doc_id is not None and r.quality is not None:
+            quality[r.doc_id] = min(r.quality, quality.get(r.doc_id, 1))
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    order = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64(F.col("doc_id").cast("long")).alias("h")).collect()}
+    known = sorted((i for i in quality if i in texts and not held(i)), key=lambda i: (order[i], i))[: C.SAMPLE_ROWS]
+    model = C.RuleEnsemble.fit(np.array([C.statistics(texts[i]) for i in known]), np.array([float(quality[i]) for i in known]))
+    assert len(got) == len(texts)
+    for i, t in texts.items():
+        x = C.statistics(t)
+        total = model.intercept + sum(w for rule, w in model.rules if all(x[f] <= cut if op == "<=" else x[f] > cut for f, op, cut in rule))
+        score = 1 / (1 + np.exp(-total))
+        assert abs(got[i].score - score) < 1e-9 and got[i].held_out == held(i) and got[i].predicted == int(got[i].score >= 0.3)
+
+
 def test_held_out_accuracy_on_the_small_tables(spark):
     d = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{d}/labels.parquet")

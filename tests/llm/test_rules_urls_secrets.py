@@ -228,3 +228,28 @@ def test_sql_knows_keys_and_tokens(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id: r.s for r in S.scan(df).select("doc_id", S.joined(F.col("spans")).alias("s")).collect()} == want
     assert "pem" in want[0] and "jwt" in want[1]
+
+
+def test_temporary_tables_and_kept_frames_are_released(spark):
+    common.release(spark)
+    docs = spark.createDataFrame([(1, "token=abcdefghijklmnop"), (2, "b")], "doc_id long, text string")
+    assert S.scan(docs).count() == 2
+    paths = [x for kind, x in common._made if kind == "path"]
+    exists = lambda p: (n := spark._jvm.org.apache.hadoop.fs.Path(p)).getFileSystem(spark._jsc.hadoopConfiguration()).exists(n)
+    assert paths and all(map(exists, paths)) and spark.sparkContext._jsc.getPersistentRDDs().size() > 0
+    common.release(spark)
+    assert not any(map(exists, paths)) and not common._made
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    class Conf(dict):
+        def set(self, k, v):
+            self[k] = v
+
+    class Session:
+        conf, sparkContext = Conf(), type("C", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_dir(Session)
+    Session.sparkContext.master = "local[4]"
+    assert common.shared_dir(Session).startswith("file://")

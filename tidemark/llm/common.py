@@ -32,17 +32,42 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
+#: What this driver has written and persisted on the way to results.
+_made: list[tuple[str, object]] = []
+
+
+def temporary(spark: SparkSession, path: str) -> str:
+    """Note that `path`, which is written by now, is of no use once results are written: release() deletes it, the session's end does too."""
+    name = spark._jvm.org.apache.hadoop.fs.Path(path)
+    name.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(name)
+    _made.append(("path", path))
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all temporary tables and let go of all frames that kept() holds. For when every result that builds on them is written."""
+    while _made:
+        kind, x = _made.pop()
+        if kind == "path":
+            name = spark._jvm.org.apache.hadoop.fs.Path(x)
+            name.getFileSystem(spark._jsc.hadoopConfiguration()).delete(name, True)
+        else:
+            x.unpersist()
+
+
 def staged(df: DataFrame, label: str = "t") -> DataFrame:
     """Write `df` as a table in the shared folder and read it back: lineage ends there, a lost executor costs nothing."""
     path = f"{shared_dir(df.sparkSession)}/tidemark/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(temporary(df.sparkSession, path))
 
 
 def kept(df: DataFrame) -> DataFrame:
     """`df`, computed once and held in the executors' memory, on their disks where that is short. What a lost executor held is computed
-    again from what it was made of. For frames near the input: plans that nest several grow too long. `spark.catalog.clearCache()` lets go of it when results that build on it are done with."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    again from what it was made of. For frames near the input: plans that nest several grow too long. release() lets go of it."""
+    out = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _made.append(("frame", out))
+    return out
 
 
 def held(df: DataFrame) -> int:

@@ -25,7 +25,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import attach, kept, let, running, shared_dir
+from tidemark.llm.common import attach, kept, let, running, shared_dir, temporary
 
 #: A private key from its first line on, in steps that can't be taken back, so that long texts need no deep stack: all up to
 #: its end, or, where the next line of dashes is not that end, its headers and what follows them of base64 (runs of 16 or
@@ -90,6 +90,7 @@ def scan(docs: DataFrame, ledger: str | None = None) -> DataFrame:
         except AnalysisException as e:  # the first scan of a ledger
             if "PATH_NOT_FOUND" not in str(e):
                 raise
+    own = not ledger
     ledger = ledger or f"{shared_dir(spark)}/tidemark/ledger-{uuid.uuid4().hex}"
     paths = kept(docs.select("doc_id", F.unhex(blob()).alias("blob")))
     present = paths.groupBy("blob").agg(F.min("doc_id").alias("holder"), F.count("*").alias("n"))
@@ -103,6 +104,8 @@ def scan(docs: DataFrame, ledger: str | None = None) -> DataFrame:
     one = attach(texts, kept(marks.withColumn("marked", F.lit(True))), "blob").where("marked is null or not seen and doc_id <=> holder")
     scanned = one.select("blob", spans(F.col("text")).alias("spans")).dropDuplicates(["blob"])  # rows with equal ids too
     scanned.select(F.lower(F.hex("blob")).alias("blob"), F.lit(RULE_VERSION).alias("rule_version"), "spans").write.mode("append").parquet(ledger)
+    if own:
+        temporary(spark, ledger)
     findings = spark.read.parquet(ledger).where((F.col("rule_version") == RULE_VERSION) & (F.size("spans") > 0)).select(F.unhex("blob").alias("blob"), "spans")
     if known is not None:
         findings = findings.join(present.select("blob"), "blob", "left_semi")

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import attach, shared_dir, staged
+from tidemark.llm.common import attach, shared_dir, staged, temporary
 
 REVISIT_BYTES, FILE_BYTES, LEVEL = 1000, 64_000_000, 4
 #: A gzip member of no bytes, as the text writer's line separator in ISO 8859-1.
@@ -59,8 +59,8 @@ def record(page_id: int | None, url: str | None, payload: bytes | None, size: in
 
 
 def write_warc(pages: DataFrame, path: str | None = None) -> str:
-    """Write a record for each row of `pages` (page_id, url, html); give the archive's folder."""
-    spark = pages.sparkSession
+    """Write a record for each row of `pages` (page_id, url, html); give the archive's folder, a temporary one if none is given."""
+    spark, own = pages.sparkSession, not path
     path = path or f"{shared_dir(spark)}/tidemark/warc-{uuid.uuid4().hex}"
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long"), "url", payload.alias("payload")).withColumns({"size": F.octet_length("payload").cast("long"), "digest": F.sha1("payload")})
@@ -79,7 +79,7 @@ def write_warc(pages: DataFrame, path: str | None = None) -> str:
     per_file = max(1, FILE_BYTES // max(1, int(rows.agg(F.avg("size")).first()[0] or 1)))
     out = made_of.select(F.col("value").cast("string")).write.option("lineSep", EMPTY.decode("latin-1")).option("encoding", "ISO-8859-1")
     out.option("maxRecordsPerFile", per_file).text(path)
-    return path
+    return temporary(spark, path) if own else path
 
 
 _HEAD = re.compile(rb"WARC/1\.[01]\r\n((?:[^\r\n]+\r\n)+)\r\n")
