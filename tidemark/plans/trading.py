@@ -67,17 +67,18 @@ def _gate(spark, sf):
     """SELECT order_id, reason, CASE WHEN reason = 'OK' THEN 'APPROVED' ELSE 'REJECTED' END AS status FROM (
     SELECT order_id, CASE WHEN account % 40 = 0 THEN 'KILL_SWITCH' WHEN ts > TIMESTAMP '2000-01-01' + INTERVAL 3 DAY THEN 'STALE_DATA' WHEN price IS NULL OR price <= 0 THEN 'INVALID_PRICE'
       WHEN row_number() OVER (PARTITION BY account, symbol, side, ts ORDER BY order_id) > 1 THEN 'DUPLICATE_ORDER' WHEN abs(after) / eq > 0.1 THEN 'RISK_POSITION_LIMIT' WHEN (tg - abs(value) + abs(after)) / eq > 1.0 THEN 'RISK_GROSS_EXPOSURE'
-      WHEN abs(tn - value + after) / eq > 0.6 THEN 'RISK_NET_EXPOSURE' WHEN (tsec - abs(value) + abs(after)) / eq > 0.35 THEN 'RISK_SECTOR_CONCENTRATION' WHEN (tv - abs(value) * 0.2 + abs(after) * 0.2) / eq > 0.3 THEN 'RISK_PORTFOLIO_VOLATILITY'
-      WHEN account % 7 = 0 THEN 'RISK_DAILY_LOSS_LIMIT' ELSE 'OK' END AS reason
-    FROM (SELECT o.order_id, o.account, o.symbol, o.side, o.ts, p.price, p.value, p.tg, p.tn, p.tv, p.tsec, 4000000.0 AS eq, p.value + CASE WHEN side = 'BUY' THEN o.quantity ELSE -o.quantity END * p.price AS after FROM (SELECT * FROM x WHERE ts >= TIMESTAMP '1998-01-01') o LEFT JOIN pos p USING (account, symbol)))""", "sectors",
+      WHEN abs(tn - value + after) / eq > 0.6 THEN 'RISK_NET_EXPOSURE' WHEN (tsec - abs(value) + abs(after)) / eq > 0.35 THEN 'RISK_SECTOR_CONCENTRATION' WHEN (tv - abs(value) * vol + abs(after) * vol) / eq > 0.3 THEN 'RISK_PORTFOLIO_VOLATILITY'
+      WHEN account % 7 = 0 THEN 'RISK_DAILY_LOSS_LIMIT' WHEN account % 11 = 0 THEN 'RISK_DRAWDOWN' ELSE 'OK' END AS reason
+    FROM (SELECT o.order_id, o.account, o.symbol, o.side, o.ts, p.price, p.value, p.vol, p.tg, p.tn, p.tv, p.tsec, 4000000.0 AS eq, p.value + CASE WHEN side = 'BUY' THEN o.quantity ELSE -o.quantity END * p.price AS after FROM (SELECT * FROM x WHERE ts >= TIMESTAMP '1998-01-01') o LEFT JOIN pos p USING (account, symbol)))""", "sectors",
     x="SELECT o_orderkey AS order_id, o_custkey AS account, CAST(s AS VARCHAR) AS symbol, CASE WHEN o_orderkey % 3 = 0 THEN 'SELL' ELSE 'BUY' END AS side, q AS quantity, o_orderdate AS ts, p AS price FROM orders JOIN (SELECT l_orderkey, min(l_suppkey) AS s, round(avg(l_extendedprice), 4) AS p, sum(l_quantity) AS q FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey",
     hd="SELECT account, symbol, sum(CASE WHEN ts >= TIMESTAMP '1998-01-01' THEN 0 WHEN side = 'BUY' THEN quantity ELSE -quantity END) / 10 AS quantity, CASE WHEN symbol = '3' THEN NULL ELSE max(price) END AS price FROM x GROUP BY 1, 2",
-    hs="SELECT hd.*, coalesce(sector, 'UNKNOWN') AS sector, quantity * coalesce(price, 0) AS value FROM hd LEFT JOIN sectors USING (symbol)",
-    pos="SELECT *, sum(abs(value)) OVER (PARTITION BY account) AS tg, sum(value) OVER (PARTITION BY account) AS tn, sum(abs(value) * 0.2) OVER (PARTITION BY account) AS tv, sum(abs(value)) OVER (PARTITION BY account, sector) AS tsec FROM hs"))
+    hs="SELECT hd.*, coalesce(sector, 'UNKNOWN') AS sector, quantity * coalesce(price, 0) AS value, CASE WHEN CAST(symbol AS INT) % 4 = 0 THEN 0.9 ELSE 0.2 END AS vol FROM hd LEFT JOIN sectors USING (symbol)",
+    pos="SELECT *, sum(abs(value)) OVER (PARTITION BY account) AS tg, sum(value) OVER (PARTITION BY account) AS tn, sum(abs(value) * vol) OVER (PARTITION BY account) AS tv, sum(abs(value)) OVER (PARTITION BY account, sector) AS tsec FROM hs"))
 def risk_gate(spark, sf):
+    """Every reason occurs but that of a repeated order: every fourth symbol is volatile, every seventh account has lost a fifth today, every eleventh a third since its peak."""
     orders, held = _gate(spark, sf)
-    positions = held.join(tables.sectors(spark, sf), "symbol", "left").withColumn("volatility", F.lit(None).cast("double"))
-    account = tables.table(spark, sf, "customer").selectExpr("c_custkey AS account", "4000000.0D AS equity", "4000000.0D AS peak_equity", "CASE WHEN c_custkey % 7 = 0 THEN 5000000.0D ELSE 4000000.0D END AS start_equity", "TIMESTAMP_NTZ '2000-01-01' AS market_ts", "c_custkey % 40 = 0 AS engaged")
+    positions = held.join(tables.sectors(spark, sf), "symbol", "left").withColumn("volatility", F.expr("CASE WHEN CAST(symbol AS INT) % 4 = 0 THEN 0.9D END"))
+    account = tables.table(spark, sf, "customer").selectExpr("c_custkey AS account", "4000000.0D AS equity", "CASE WHEN c_custkey % 11 = 0 THEN 6000000.0D ELSE 4000000.0D END AS peak_equity", "CASE WHEN c_custkey % 7 = 0 THEN 5000000.0D ELSE 4000000.0D END AS start_equity", "TIMESTAMP_NTZ '2000-01-01' AS market_ts", "c_custkey % 40 = 0 AS engaged")
     return P.risk_gate(orders, positions, account).select("order_id", "reason", "status")
 
 
