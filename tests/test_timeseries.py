@@ -172,6 +172,16 @@ def test_targets_are_forward_and_relative(spark):
     assert got.positive_5d[3] == float(got.excess_return_5d[3] > 0) and pd.isna(got.positive_20d[59])
 
 
+def test_analogues_in_blocks_equal_those_in_one(spark):
+    r = np.random.default_rng(5)
+    n = 150
+    panel = spark.createDataFrame([(f"s{k}", (pd.Timestamp("2020-01-01") + pd.Timedelta(days=i)).to_pydatetime(), float(50 + r.normal()), float(round(r.normal(), 1)), float(r.normal()) if i % 9 else None) for k in range(2) for i in range(n)], "symbol string, ts timestamp_ntz, close double, f double, g double")
+    rows = lambda df: sorted(tuple(None if v is None else round(v, 9) if isinstance(v, float) else v for v in x) for x in df.collect())
+    whole = rows(N.all_analogues(panel, ["f", "g"], k=7))
+    assert len(whole) > 100 and rows(N.all_analogues(panel, ["f", "g"], k=7, block=16)) == whole
+    assert rows(N.all_analogues(panel, ["f", "g"], k=7, strict=False, block=16)) == rows(N.all_analogues(panel, ["f", "g"], k=7, strict=False))
+
+
 def test_analogues_know_only_what_was_known(spark):
     c = walk(200, 9)
     panel = bars(spark, c).select("symbol", "ts", "close").withColumn("f", F.expr("close / lag(close, 3) OVER (PARTITION BY symbol ORDER BY ts)"))

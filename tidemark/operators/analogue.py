@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,17 +41,44 @@ def latest_analogues(panel: DataFrame, cols: list[str] = VECTOR, k: int = 50, mi
     return _answers(c.join(q, "symbol").withColumn("distance", E(d)).where("distance IS NOT NULL"), k)
 
 
-def all_analogues(panel: DataFrame, cols: list[str] = VECTOR, k: int = 50, min_history: int = 60, strict: bool = True) -> DataFrame:
+def all_analogues(panel: DataFrame, cols: list[str] = VECTOR, k: int = 50, min_history: int = 60, strict: bool = True, block: int = 1024) -> DataFrame:
     """The same for every row from the `min_history`-th on, with z-scores as of that row. strict: a candidate's 20-day return must be
-    known at the row (20 rows earlier at least); else any earlier row counts. A symbol's history meets only itself."""
+    known at the row (20 rows earlier at least); else any earlier row counts. A symbol's history meets only itself.
+
+    A symbol's rows are cut into blocks in time; each block of queries meets each block of candidates before it in a task of its own, which
+    holds no more than these two and keeps the k nearest of each query. So what is shuffled after that grows with k for each block, not with
+    the rows of a symbol, and a symbol of any length is many tasks."""
     rows = numbered(panel, cols)
     w = "OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    q = rows.select("symbol", "ts", F.col("rn").alias("qn"), *[E(f"avg({c}) {w}").alias(f"m_{c}") for c in cols], *[E(f"coalesce(nullif(stddev_pop({c}) {w}, 0), 1)").alias(f"s_{c}") for c in cols], *[F.col(c).alias(f"q_{c}") for c in cols]).where(F.col("qn") >= min_history).dropna()
-    c = rows.where("r20 IS NOT NULL").select("symbol", F.col("ts").alias("cts"), "rn", "r5", "r20", *cols).dropna(subset=cols)
-    gap = 20 if strict else 1
-    d = "sqrt(" + " + ".join(f"pow(({x} - q_{x}) / s_{x}, 2)" for x in cols) + ")"
-    both = q.join(c, "symbol").where(F.col("rn") <= F.col("qn") - gap).select("symbol", "ts", "cts", "r5", "r20", E(d).alias("distance"))
-    return _answers(both, k)
+    q = rows.select("symbol", "ts", F.col("rn").alias("qn"), *[E(f"coalesce(nullif(stddev_pop({c}) {w}, 0), 1)").alias(f"s_{c}") for c in cols], *[F.col(c).alias(f"q_{c}") for c in cols]).where(F.col("qn") >= min_history).dropna()
+    c = rows.where("r20 IS NOT NULL").select("symbol", F.col("ts").alias("cts"), "rn", "n_rows", "r5", "r20", *cols).dropna(subset=cols)
+    gap, own = (20 if strict else 1), lambda n: E(f"CAST(floor(({n} - 1) / {block}) AS INT)")
+    q = q.withColumn("qb", own("qn")).withColumn("cb", F.explode(E("sequence(0, qb)")))
+    c = c.withColumn("cb", own("rn")).withColumn("qb", F.explode(F.sequence("cb", own("n_rows")))).drop("n_rows")
+
+    def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.concat([left[["symbol", "ts"]][:0].reset_index(drop=True), right[["cts", "r5", "r20"]][:0].reset_index(drop=True)], axis=1).assign(distance=np.zeros(0))
+        right = right.sort_values("cts", kind="stable")
+        x, rn, out = right[cols].to_numpy(), right["rn"].to_numpy(), []
+        for at in range(0, len(left), 256):
+            part = left.iloc[at : at + 256]
+            y, scale = part[[f"q_{n}" for n in cols]].to_numpy(), part[[f"s_{n}" for n in cols]].to_numpy()
+            d = np.zeros((len(part), len(x)))
+            for i in range(len(cols)):
+                d += ((x[None, :, i] - y[:, i, None]) / scale[:, i, None]) ** 2
+            d = np.where(rn[None, :] <= part["qn"].to_numpy()[:, None] - gap, np.sqrt(d), np.inf)
+            best = np.argsort(d, axis=1, kind="stable")[:, :k]
+            i, j = np.repeat(np.arange(len(part)), best.shape[1]), best.ravel()
+            ok = np.isfinite(d[i, j])
+            i, j = i[ok], j[ok]
+            out.append(pd.DataFrame({"symbol": part["symbol"].to_numpy()[i], "ts": part["ts"].to_numpy()[i], "cts": right["cts"].to_numpy()[j], "r5": right["r5"].to_numpy()[j], "r20": right["r20"].to_numpy()[j], "distance": d[i, j]}))
+        return pd.concat(out)
+
+    kind = panel.schema["ts"].dataType.simpleString()
+    group = ["symbol", "qb", "cb"]
+    found = q.groupBy(*group).cogroup(c.groupBy(*group)).applyInPandas(nearest, f"symbol string, ts {kind}, cts {kind}, r5 double, r20 double, distance double")
+    return _answers(found.withColumn("r5", F.nanvl("r5", F.lit(None).cast("double"))), k)
 
 
 def embedding_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
