@@ -181,7 +181,8 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of `docs` with a predicted label of 1. Statistics ride along with each row, so the texts aren't shuffled."""
+    """The rows of `docs` with a predicted label of 1. Statistics ride along with each row, so the texts aren't shuffled. The sample is drawn
+    from the labels before they meet the documents; labels whose document isn't there take a place in it and teach nothing."""
     known = labels.where("quality is not null").select("doc_id").distinct()
     sample = known.where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
     stats = kept(text_statistics(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id", "left_semi")))

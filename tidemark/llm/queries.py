@@ -63,9 +63,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest of the contract, and `private`: whether any span was found."""
     got = pii.detect(table(spark, sf_dir, "documents"))
     counts = [F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]  # noqa: B023  used at once
-    return got.select("doc_id", *counts, F.sha2(secret_scan.joined(F.col("base")), 256).alias("base_sha256"), secret_scan.joined(F.col("spans")).alias("spans"))
+    return got.select("doc_id", *counts, F.sha2(secret_scan.joined(F.col("base")), 256).alias("base_sha256"), secret_scan.joined(F.col("spans")).alias("spans"), (F.size("spans") > 0).alias("private"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_warc, op3_quality_rules, op4_minhash_near_dedup, op5_url_filters, op6_secret_scans, op7_embedding_near_dedup, op8_sentencepiece, op9_packing, op10_pii)}
