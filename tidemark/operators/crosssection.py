@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.expr import E
 
-#: Metric: (its column, whether more is better).
+#: Each metric's name, its column, whether more is better.
 METRICS = {"momentum_percentile": ("return_60d", True), "value_percentile": ("valuation_zscore", True), "quality_percentile": ("profitability_zscore", True), "growth_percentile": ("growth_zscore", True), "volatility_percentile": ("realised_vol_20d", False), "liquidity_percentile": ("dollar_volume", True), "earnings_quality_percentile": ("fundamental_earnings_quality_score", True)}
 
 
