@@ -231,18 +231,19 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id): the smallest doc_id of its class, for each doc_id that is linked with another or has a copy."""
     made = kept(sketches(docs))
-    firsts = staged(made.groupBy("copy").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), "copies")
-    copies = made.join(firsts.where("n > 1"), "copy").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a <> b")
-    one = made.join(firsts.select("copy", F.col("id").alias("doc_id")), ["copy", "doc_id"], "left_semi")
-    members = one.select(F.col("doc_id").alias("id"), F.explode("bands").alias("band")).distinct()
-    shared = members.groupBy("band").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1").select("band", "head")
-    members = staged(members.join(shared, "band"), "buckets")
+    # One row for each text, that of its smallest doc_id; copies are combined before the shuffle, however many a text has.
+    firsts = made.groupBy("copy").agg(F.min(F.struct("doc_id", "bands")).alias("x"), F.count("*").alias("n"))
+    firsts = staged(firsts.select("copy", F.col("x.doc_id").alias("id"), "x.bands", "n"), "copies")
+    copies = attach(made.select("doc_id", "copy"), firsts.where("n > 1").select("copy", "id"), "copy").where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
+    members = firsts.select("id", F.explode("bands").alias("band"))
+    shared = kept(members.groupBy("band").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1").select("band", "head"))
+    members = staged(attach(members, shared, "band").where("head is not null").distinct(), "buckets")
     pairs = staged(members.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     links = staged(verified(pairs, docs), "links")
     comp = small(components(links))
     rest = members.where("id <> head").join(comp, "id", "left").select("band", "id", F.coalesce("comp", "id").alias("comp"))
-    open_ = rest.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
-    rest = staged(rest.join(open_, "band"), "buckets")
+    open_ = kept(rest.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band", F.lit(True).alias("open")))
+    rest = staged(attach(rest, open_, "band").where("open").drop("open"), "buckets")
     more = staged(verified(staged(unsettled(rest, docs), "pairs"), docs), "links")
     edges = copies.union(links).union(more)
     return components(edges).select(F.col("id").alias("doc_id"), F.col("comp").alias("class_id"))
