@@ -59,7 +59,7 @@ def value_ranks(df: DataFrame, x: str, out: str, one_task: int = ONE_TASK, block
     it takes for each to hold half of `one_task` values."""
     counts = df.groupBy(x).agg(F.count("*").alias("__n")).persist()  # read several times; lost parts are computed again
     distinct = counts.count()
-    blocks = max(blocks, -(-2 * distinct // one_task))
+    blocks = max(blocks, -(-2 * distinct // max(1, one_task)))
     if distinct <= one_task:
         return counts.select(x, (F.sum("__n").over(Window.orderBy(x)) - (F.col("__n") - 1) / F.lit(2.0)).alias(out))
     edges = sorted(set(counts.approxQuantile(x, [i / blocks for i in range(1, blocks)], min(0.005, 0.1 / blocks))))
