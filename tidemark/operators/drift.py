@@ -1,7 +1,8 @@
 """How far the distribution of features has moved from a reference, for any number of features at once.
 
-Both sides are read once, into the counts of each distinct value of each feature on either side (`steps`). Quantile edges, bins,
-distribution functions and spread all come from that one table and from its running sums, which Spark computes once and reuses.
+Both sides are read once, into the counts of each distinct value of each feature on either side (`steps`), which are held in the
+executors' memory or on their disks; what is lost is computed again. Quantile edges, bins, distribution functions and spread all come from
+that one table and from its running sums. The edges, a row a feature, are computed before the plan goes on.
 Running sums of few values are one sort a feature; of many, values are split into blocks between approximate quantiles, each summed
 on its own after the totals of the blocks before, so that no task holds all values of a feature."""
 
@@ -27,7 +28,7 @@ def long(df: DataFrame, features: list[str]) -> DataFrame:
 def steps(reference: DataFrame, current: DataFrame, features: list[str]) -> DataFrame:
     """feature, x, r, c: how often each value occurs on either side."""
     both = long(reference, features).withColumn("ref", F.lit(1)).union(long(current, features).withColumn("ref", F.lit(0)))
-    return both.groupBy("feature", "x").agg(F.sum("ref").alias("r"), F.sum(E("1 - ref")).alias("c"))
+    return both.groupBy("feature", "x").agg(F.sum("ref").alias("r"), F.sum(E("1 - ref")).alias("c")).persist()
 
 
 def cumulative(counts: DataFrame, rows: int | None = None) -> DataFrame:
@@ -47,15 +48,22 @@ def cumulative(counts: DataFrame, rows: int | None = None) -> DataFrame:
     return got.selectExpr("feature", "x", "r", "c", f"br + sum(r) {w} AS cr", f"bc + sum(c) {w} AS cc", f"coalesce(lead(x, 1) {w}, following) AS after")
 
 
-def edges_of(cum: DataFrame, bins: int) -> DataFrame:
-    """feature, n, m, e: the exact quantiles of the reference at 0, 1/bins, ..., 1, distinct ones."""
+def edges_of(counts: DataFrame, bins: int, rows: int | None = None) -> DataFrame:
+    """feature, n, m, e: the exact quantiles of the reference at 0, 1/bins, ..., 1, distinct ones. rows: as in cumulative(); of few values
+    the quantiles are an aggregation, of many they are looked up in the running sums."""
+    if rows is None or rows <= ONE_TASK:
+        at = ", ".join(f"{i / bins}D" for i in range(bins + 1))
+        few = counts.groupBy("feature").agg(F.sum("r").alias("n"), F.sum("c").alias("m"), E(f"coalesce(array_distinct(percentile(x, array({at}), r)), CAST(array() AS ARRAY<DOUBLE>))").alias("e"))
+        return few.sparkSession.createDataFrame(few.collect(), few.schema)  # a row a feature
+    cum = cumulative(counts, rows)
     totals = cum.groupBy("feature").agg(F.max("cr").alias("n"), F.max("cc").alias("m"))
     asked = totals.select("feature", "n", "m", F.explode(E(f"transform(sequence(0, {bins}), i -> struct(i AS i, (greatest(n, 1) - 1) * (i / {bins}.0D) AS at))")).alias("q"))
     asked = asked.selectExpr("feature", "n", "m", "q.i AS i", "q.at - floor(q.at) AS share", "floor(q.at) AS lo", "ceil(q.at) AS hi")
     near = cum.where("r > 0").join(F.broadcast(asked), "feature").where("cr > lo AND cr - r <= hi")
     ends = near.groupBy("feature", "n", "m", "i", "share").agg(F.min("x").alias("a"), F.max("x").alias("z"))
     got = ends.groupBy("feature").agg(F.array_sort(F.collect_set(E("a + (z - a) * share"))).alias("e"))
-    return totals.join(got, "feature", "left").selectExpr("feature", "n", "m", "coalesce(e, array()) AS e")
+    few = totals.join(got, "feature", "left").selectExpr("feature", "n", "m", "CAST(coalesce(e, array()) AS ARRAY<DOUBLE>) AS e")
+    return few.sparkSession.createDataFrame(few.collect(), few.schema)  # a row a feature
 
 
 def _psi(counts: DataFrame, edges: DataFrame, bins: int) -> DataFrame:
@@ -72,7 +80,7 @@ def _psi(counts: DataFrame, edges: DataFrame, bins: int) -> DataFrame:
 def psi(reference: DataFrame, current: DataFrame, features: list[str], bins: int = 10, rows: int | None = None) -> DataFrame:
     """feature, psi over the reference's quantile bins; current values outside them don't count; 0 if there are too few values."""
     counts = steps(reference, current, features)
-    return _psi(counts, edges_of(cumulative(counts, rows), bins), bins)
+    return _psi(counts, edges_of(counts, bins, rows), bins)
 
 
 def _p_value(d: str) -> str:
@@ -100,7 +108,7 @@ def drift_report(reference: DataFrame, current: DataFrame, features: list[str],
     """All statistics, whether a feature is flagged, and why."""
     counts = steps(reference, current, features)
     cum = cumulative(counts, rows)
-    edges = edges_of(cum, 10)
+    edges = edges_of(counts, 10, rows)
     means = counts.groupBy("feature").agg(E("sum(r * x) / nullif(sum(r), 0)").alias("mean"), F.sum("r").alias("k"))
     spread = counts.join(F.broadcast(means), "feature").groupBy("feature").agg(E("sqrt(sum(r * (x - mean) * (x - mean)) / nullif(max(k) - 1, 0))").alias("sd"))
     got = _psi(counts, edges, 10).join(_distances(cum, edges), "feature").join(spread, "feature", "left")

@@ -101,11 +101,11 @@ def classification_eval(df: DataFrame, truth: str, prob: str) -> DataFrame:
 def calibration_curve(df: DataFrame, truth: str, prob: str, bins: int = 10, rows: int | None = None) -> DataFrame:
     """bin, mean_predicted, mean_realised, count over exact quantile bins, closed to the right, equal edges merged. Edges come from the running
     counts of distinct probabilities, as in drift; bins from sums for each of them. rows: at most how many distinct ones there are, if known."""
-    from tidemark.operators.drift import cumulative, edges_of
+    from tidemark.operators.drift import edges_of
 
     got = df.where(f"{truth} IS NOT NULL AND {prob} IS NOT NULL").groupBy(F.col(prob).cast("double").alias("x")).agg(F.count("*").alias("r"), F.sum(truth).alias("y"))
     counts = got.select(F.lit("").alias("feature"), "x", "r", F.lit(0).cast("long").alias("c"))
-    edges = edges_of(cumulative(counts, rows), bins).select("e")
+    edges = edges_of(counts, bins, rows).select("e")
     binned = got.crossJoin(F.broadcast(edges)).withColumn("bin", E("greatest(size(filter(e, v -> v < x)), 1)"))
     return binned.groupBy("bin").agg((F.sum(E("x * r")) / F.sum("r")).alias("mean_predicted"), (F.sum("y") / F.sum("r")).alias("mean_realised"), F.sum("r").alias("count"))
 
