@@ -112,6 +112,40 @@ def test_fast_emissions_and_viterbi_equal_plain_ones(tagger):
     assert small.shape == (4, 5, 9)
 
 
+class Counting(pii.Tagger):
+    """A tagger that counts the characters that its directions run over."""
+
+    run = 0
+
+    def _direction(self, d, at, counts, u, ended):
+        self.run += int(counts.sum()) if len(at) > 1 else 0
+        return super()._direction(d, at, counts, u, ended)
+
+
+def test_network_runs_over_texts_and_not_over_what_pads_them(tagger):
+    counting = Counting()
+    counting.p = tagger.p
+    texts = [("ab 12 " * 100)[:k] for k in range(1, 500, 3)]
+    pii.tag_texts(counting, texts)
+    assert 2 * sum(map(len, texts)) <= counting.run <= 2.2 * sum(map(len, texts))
+
+
+def test_emissions_to_the_ends_equal_those_of_padded_windows(tagger):
+    rng = random.Random(7)
+    texts = sorted(("".join(rng.choices("ab é1.2@-+() \nat[]", k=rng.randrange(1, 200))) for _ in range(40)), key=len, reverse=True)
+    chars = np.stack([np.pad(pii.codes(t), (0, 200 - len(t))) for t in texts])
+    u, cut = tagger.emissions(chars), tagger.fast_emissions(chars, np.array([len(t) for t in texts]))
+    for i, t in enumerate(texts):
+        assert np.allclose(u[: len(t), i], cut[: len(t), :, i], atol=1e-3)
+
+
+def test_tags_do_not_depend_on_the_texts_beside(tagger):
+    rng = random.Random(8)
+    texts = ["", *(" ".join(planted(rng, rng.choice(pii.KINDS)) if rng.random() < 0.2 else rng.choice(PLAIN) for _ in range(rng.randrange(1, 30))) for _ in range(40))]
+    for text, tags in zip(texts, pii.tag_texts(tagger, texts * 3), strict=False):
+        assert (tags == pii.tag_texts(tagger, [text])[0]).all()
+
+
 def test_reconciled_tags_come_from_the_nearest_middle(tagger):
     text = " ".join(f"{planted(random.Random(i), 'phone')} word{i}" for i in range(60))
     tags, c = pii.tag_texts(tagger, [text], every=True)[0], pii.codes(text)

@@ -7,6 +7,10 @@ in which it lies nearest the middle, so the tags of a whole text are one sequenc
 it may be what its tag says (plausible(): an address has a sign and a dot, four numbers have three dots, a card passes Luhn, numbers have their digits), stands
 apart from what is beside it, and overlaps no span of the patterns.
 
+Gates, candidates and the cell's output are straight lines cut at both ends (the "hard" sigmoid and tanh), in training as in use,
+since a true tanh takes longer than all products where numpy has no AVX-512. A text's end is its last window's end: beyond it the
+network isn't run, as the backward direction's state there is known; a test holds this equal to running it over a padded window.
+
 Viterbi's recursion runs over every window; the way back is noted only where its best score is above that of no span at all
 (Tagger.outside()); a test holds this equal to noting it everywhere.
 
@@ -37,7 +41,10 @@ from pyspark.sql import functions as F
 KINDS = ["email", "ip", "card", "phone"]
 WINDOW, MARGIN = 512, 32
 STRIDE = WINDOW - 2 * MARGIN
+BATCH = 1024  # windows that go through the network side by side
 _CHARS, _EMBED, _HIDDEN, _TAGS = 130, 12, 16, 1 + 2 * len(KINDS)
+#: Gates and candidates (the last) are straight lines of these slopes and shifts, cut at these least values and at 1.
+_SLOPE, _SHIFT, _LEAST = (np.repeat(np.array(x, np.float32), _HIDDEN) for x in ((1 / 6, 1 / 6, 1 / 6, 2 / 3), (0.5, 0.5, 0.5, 0), (0, 0, 0, -1)))
 _trained: list[Tagger] = []
 Span = tuple[int, int, int]  # start, rank of the kind, end
 
@@ -163,17 +170,13 @@ def codes(text: str) -> np.ndarray:
     return np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64), 128) + 1
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (np.tanh(0.5 * x) + 1)
-
-
 def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     m = x.max(axis=axis, keepdims=True)
     return np.squeeze(m, axis) + np.log(np.exp(x - m).sum(axis=axis))
 
 
 class Tagger:
-    """Bidirectional LSTM over characters, a linear layer, and CRF transitions between tags."""
+    """Bidirectional LSTM over characters with piecewise linear gates, a linear layer, and CRF transitions between tags."""
 
     def __init__(self, seed: int = 5):
         rng = np.random.default_rng(seed)
@@ -182,6 +185,7 @@ class Tagger:
         for d in "fb":
             self.p |= {f"x{d}": init(_EMBED, 4 * _HIDDEN), f"h{d}": init(_HIDDEN, 4 * _HIDDEN), f"c{d}": np.zeros(4 * _HIDDEN, np.float32)}
             self.p[f"c{d}"][_HIDDEN : 2 * _HIDDEN] = 1  # forget gates start open
+        self._ended = np.zeros((2, 1, _HIDDEN), np.float32)
 
     def _run(self, e: np.ndarray, d: str, keep: list | None = None) -> np.ndarray:
         """Hidden states of one direction over e (time, batch, embedding); what backpropagation needs goes to `keep`."""
@@ -189,17 +193,15 @@ class Tagger:
         h = c = np.zeros((e.shape[1], _HIDDEN), np.float32)
         out = np.empty((len(e), e.shape[1], _HIDDEN), np.float32)
         for t in range(len(e)):
-            z = z0[t] + h @ self.p[f"h{d}"]
-            s = _sigmoid(z[:, : 3 * _HIDDEN])
-            g = np.tanh(z[:, 3 * _HIDDEN :])
-            i, f, o = s[:, :_HIDDEN], s[:, _HIDDEN : 2 * _HIDDEN], s[:, 2 * _HIDDEN :]
+            s = np.clip((z0[t] + h @ self.p[f"h{d}"]) * _SLOPE + _SHIFT, _LEAST, 1)
+            i, f, o, g = (s[:, k * _HIDDEN : (k + 1) * _HIDDEN] for k in range(4))
             before, was = c, h
             c = f * c + i * g
-            tc = np.tanh(c)
+            tc = np.clip(c / 1.5, -1, 1)
             h = o * tc
             out[t] = h
             if keep is not None:
-                keep.append((i, f, o, g, before, tc, was))
+                keep.append((i, f, o, g, before, tc, was, ((s > _LEAST) & (s < 1)) * _SLOPE))
         return out
 
     def emissions(self, chars: np.ndarray) -> np.ndarray:
@@ -211,10 +213,10 @@ class Tagger:
         dz = np.empty((len(e), e.shape[1], 4 * _HIDDEN), np.float32)
         dh = dc = np.zeros((e.shape[1], _HIDDEN), np.float32)
         for t in range(len(e) - 1, -1, -1):
-            i, f, o, g, before, tc, was = keep[t]
+            i, f, o, g, before, tc, was, slope = keep[t]
             dh = dh + dout[t]
-            dc = dc + dh * o * (1 - tc * tc)
-            dz[t] = np.concatenate([dc * g * i * (1 - i), dc * before * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - g * g)], axis=1)
+            dc = dc + dh * o * (np.abs(tc) < 1) / 1.5
+            dz[t] = np.concatenate([dc * g, dc * before, dh * tc, dc * i], axis=1) * slope
             grad[f"h{d}"] += was.T @ dz[t]
             dh, dc = dz[t] @ self.p[f"h{d}"].T, dc * f
         grad[f"x{d}"] += np.tensordot(e, dz, ([0, 1], [0, 1]))
@@ -249,73 +251,117 @@ class Tagger:
         np.add.at(grad["emb"], chars.T, de)
         return float(loss), grad
 
-    def fast_emissions(self, chars: np.ndarray) -> np.ndarray:
-        """What emissions() gives, as (time, tag, batch). Both directions run side by side, each step is one product,
-        and sigmoids are had from the one tanh over all gates."""
-        b, n = chars.shape
-        scale = np.array([0.5] * 3 * _HIDDEN + [1.0] * _HIDDEN, np.float32)
-        weights = np.stack([(np.concatenate([self.p[f"h{d}"], self.p[f"x{d}"], self.p[f"c{d}"][None]]) * scale).T for d in "fb"]).astype(np.float32)
-        emb, out = np.ascontiguousarray(self.p["emb"].T, np.float32), 0.5 * np.stack([self.p["out"][:_HIDDEN].T, self.p["out"][_HIDDEN:].T]).astype(np.float32)
-        at = np.ascontiguousarray(chars.T)
-        x = np.zeros((2, _HIDDEN + _EMBED + 1, b), np.float32)  # what the state, the character and a constant bring
-        x[:, -1] = 1
-        c, twice = (np.zeros((2, _HIDDEN, b), np.float32) for _ in range(2))
-        h, z, said = x[:, :_HIDDEN], np.empty((2, 4 * _HIDDEN, b), np.float32), np.empty((2, _TAGS, b), np.float32)
-        gates, g = z[:, : 3 * _HIDDEN], z[:, 3 * _HIDDEN :]
-        i, f, o = (gates[:, k * _HIDDEN : (k + 1) * _HIDDEN] for k in range(3))
-        u = np.empty((n, _TAGS, b), np.float32)
-        u[:] = self.p["bias"].astype(np.float32)[:, None]
-        for t in range(n):
-            x[0, _HIDDEN:-1], x[1, _HIDDEN:-1] = emb[:, at[t]], emb[:, at[n - 1 - t]]
+    def _direction(self, d: str, at: np.ndarray, counts: np.ndarray, u: np.ndarray, ended: np.ndarray) -> np.ndarray:
+        """One direction over at (time, batch), added to u (time, tag, batch). counts[t]: how many of the windows, which are
+        longest first, are run at time t; in the backward direction the others come in with the state that `ended` has for
+        the characters before. Returns the last states,
+        which are 1.5 times the plain ones, and cells."""
+        weights = np.concatenate([self.p[f"h{d}"] / 1.5, self.p[f"x{d}"], self.p[f"c{d}"][None]]) * _SLOPE
+        weights[-1] += _SHIFT
+        out = (self.p["out"][:_HIDDEN] if d == "f" else self.p["out"][_HIDDEN:]) / 1.5
+        weights, out, emb = (np.ascontiguousarray(w.T, np.float32) for w in (weights, out, self.p["emb"]))
+        x, c, m = np.zeros((_HIDDEN + _EMBED + 1, 0), np.float32), np.zeros((_HIDDEN, 0), np.float32), 0
+        for t in range(len(at)) if d == "f" else range(len(at) - 1, -1, -1):
+            if not counts[t]:
+                continue
+            if counts[t] != m:  # arrays without gaps, as these are the fastest
+                before, m = (x, c), int(counts[t])
+                x, c, keep = np.zeros((len(x), m), np.float32), np.zeros((_HIDDEN, m), np.float32), min(m, c.shape[1])
+                x[-1], h, e = 1, x[:_HIDDEN], x[_HIDDEN:-1]  # what a constant, the state and the character bring
+                if d == "b":
+                    h[:], c[:] = ended[:, len(at) - 1 - t, :, None]
+                h[:, :keep], c[:, :keep] = before[0][:_HIDDEN, :keep], before[1][:, :keep]
+                z, s, said = (np.empty((k, m), np.float32) for k in (4 * _HIDDEN, _HIDDEN, _TAGS))
+                gates, (i, f, o, g) = z[: 3 * _HIDDEN], (z[k * _HIDDEN : (k + 1) * _HIDDEN] for k in range(4))
+            e[:] = emb.take(at[t, :m], axis=1)
             np.matmul(weights, x, out=z)
-            np.tanh(z, out=z)
-            gates += 1  # twice the sigmoids
-            np.multiply(i, g, out=twice)
+            gates.clip(0, 1, out=gates)
+            g.clip(-1, 1, out=g)
+            np.multiply(i, g, out=s)
             c *= f
-            c += twice
-            c *= 0.5
-            np.tanh(c, out=twice)
-            twice *= o
-            np.multiply(twice, 0.5, out=h)
-            np.matmul(out, twice, out=said)
-            u[t] += said[0]
-            u[n - 1 - t] += said[1]
+            c += s
+            c.clip(-1.5, 1.5, out=s)
+            np.multiply(s, o, out=h)
+            u[t, :, :m] += np.matmul(out, h, out=said)
+        return np.stack([x[:_HIDDEN], c])
+
+    def _after_end(self, n: int) -> np.ndarray:
+        """States and cells (2, step, hidden) of the backward direction after 0 to n characters outside the text, or more."""
+        while self._ended.shape[1] <= n:
+            last = self._ended[:, -1:]
+            step = self._direction("b", np.zeros((1, 1), dtype=np.int64), np.ones(1, dtype=np.int64), np.zeros((1, _TAGS, 1), np.float32), last)
+            self._ended = np.concatenate([self._ended, step.transpose(0, 2, 1)], axis=1)
+        return self._ended
+
+    def fast_emissions(self, chars: np.ndarray, ends: np.ndarray | None = None) -> np.ndarray:
+        """What emissions() gives, as (time, tag, batch). `ends`: where the text ends in each window, longest first; little
+        beyond is run, as the backward direction's state at an end is known, and the result holds as far as the ends."""
+        b, n = chars.shape
+        at, u = np.ascontiguousarray(chars.T).astype(np.int64), np.empty((n, _TAGS, b), np.float32)
+        u[:] = self.p["bias"].astype(np.float32)[:, None]
+        counts = np.full(n, b) if ends is None else np.minimum(-(-_reached(ends, n) // 16) * 16, b)
+        for d in "fb":
+            self._direction(d, at, counts, u, self._after_end(n))
         return u
 
-    def outside(self, u: np.ndarray) -> np.ndarray:
+    def outside(self, u: np.ndarray, ends: np.ndarray | None = None) -> np.ndarray:
         """The windows of u (time, tag, batch) whose best path is all 'outside': no path scores more than that one does."""
-        a = np.ascontiguousarray(self.p["trans"].astype(np.float32)[:, :, None])
-        best, plain, s = u[0], u[0, 0], np.empty((_TAGS, _TAGS, u.shape[2]), np.float32)
+        a, m = np.ascontiguousarray(self.p["trans"].astype(np.float32)[:, :, None]), u.shape[2]
+        best, plain, s, out = u[0].copy(), u[0, 0].copy(), np.empty((_TAGS, _TAGS, m), np.float32), np.ones(m, dtype=bool)
+        counts = np.full(len(u), m) if ends is None else _reached(ends, len(u))
         for t in range(1, len(u)):
+            if counts[t] != m:
+                out[counts[t] : m] = (best.max(axis=0) <= plain)[counts[t] :]
+                m = int(counts[t])
+                best, plain, s = np.ascontiguousarray(best[:, :m]), plain[:m], np.empty((_TAGS, _TAGS, m), np.float32)
+                if not m:
+                    break
             np.add(best[:, None, :], a, out=s)  # from, to, window
             best = s.max(axis=0)
-            best += u[t]
-            plain = plain + a[0, 0] + u[t, 0]
-        return best.max(axis=0) <= plain
+            best += u[t, :, :m]
+            plain = plain + a[0, 0] + u[t, 0, :m]
+        out[:m] = best.max(axis=0) <= plain
+        return out
 
-    def viterbi(self, chars: np.ndarray, every: bool = False) -> np.ndarray:
-        """The best tags (batch, time) of chars (batch, time). `every`: search all windows, those that are outside() too."""
-        u, a = self.fast_emissions(chars), self.p["trans"].astype(np.float32)
-        out = np.zeros((len(chars), len(u)), dtype=np.int8)
-        some = np.arange(len(chars)) if every else np.flatnonzero(~self.outside(u))
-        if not len(some):
-            return out
-        u = np.ascontiguousarray(u[:, :, some])
-        best, back = u[0], np.empty(u.shape, dtype=np.int8)
-        for t in range(1, len(u)):
-            s = best[:, None, :] + a[:, :, None]  # from, to, window
-            back[t] = s.argmax(axis=0)
-            best = u[t] + s.max(axis=0)
-        tags, rows = np.empty((len(u), len(some)), dtype=np.int8), np.arange(len(some))
+    def searched(self, chars: np.ndarray, ends: np.ndarray, every: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of chars (batch, time) that are not outside() as far as their ends, longest first, and their emissions
+        (time, tag, row). `every`: all rows."""
+        u = self.fast_emissions(chars, ends)
+        some = np.arange(len(chars)) if every else np.flatnonzero(~self.outside(u, ends))
+        return some, np.ascontiguousarray(u[:, :, some])
+
+    def best(self, ends: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """The best tags (row, time) for emissions u (time, tag, row), which hold as far as the ends, longest first."""
+        n, a = len(u), self.p["trans"].astype(np.float32)
+        best, back, counts = u[0].copy(), np.empty(u.shape, dtype=np.int8), _reached(ends, n)
+        back[:] = np.arange(_TAGS, dtype=np.int8)[:, None]  # beyond an end nothing changes
+        for t in range(1, n):
+            m = counts[t]
+            s = best[:, None, :m] + a[:, :, None]  # from, to, row
+            back[t, :, :m] = s.argmax(axis=0)
+            best[:, :m] = u[t, :, :m] + s.max(axis=0)
+        tags, rows = np.empty((n, len(ends)), dtype=np.int8), np.arange(len(ends))
         tags[-1] = best.argmax(axis=0)
-        for t in range(len(u) - 1, 0, -1):
+        for t in range(n - 1, 0, -1):
             tags[t - 1] = back[t][tags[t], rows]
-        out[some] = tags.T
+        tags[np.arange(n)[:, None] >= ends] = 0
+        return tags.T
+
+    def viterbi(self, chars: np.ndarray, every: bool = False) -> np.ndarray:
+        """The best tags (batch, time) of chars (batch, time). `every`: search all windows, those that are outside() too."""
+        out, ends = np.zeros(chars.shape, dtype=np.int8), np.full(len(chars), chars.shape[1])
+        some, u = self.searched(chars, ends, every)
+        out[some] = self.best(ends[some], u)
         return out
 
 
+def _reached(ends: np.ndarray, n: int) -> np.ndarray:
+    """How many windows go beyond each time below n, for ends that fall."""
+    return np.searchsorted(-ends, -np.arange(n), side="left")
+
+
 @functools.lru_cache(maxsize=4)
-def train(seed: int = 6, steps: int = 1500, batch: int = 64, size: int = 96) -> Tagger:
+def train(seed: int = 6, steps: int = 2500, batch: int = 64, size: int = 96) -> Tagger:
     """A tagger trained with Adam on `steps` batches of labelled windows; its weights are means over the last fifth."""
     tagger = Tagger(seed)
     chars, tags = sentences(seed, 200 * batch, size)
@@ -359,13 +405,22 @@ def tag_texts(tagger: Tagger, texts: list[str], every: bool = False) -> list[np.
             windows.append(np.lib.stride_tricks.sliding_window_view(c, WINDOW)[:: STRIDE][:n])
             places += [(k, s * STRIDE) for s in range(n)]
     whole = np.concatenate(windows) if windows else np.zeros((0, WINDOW), dtype=np.uint8)
-    for at in range(0, len(whole), 512):
-        tags = tagger.viterbi(whole[at : at + 512], every)
-        for i in range(len(tags)) if every else np.flatnonzero(tags.any(axis=1)):
-            k, s = places[at + i]
+    length = np.array([min(len(out[k]) - s, WINDOW) for k, s in places], dtype=np.int64)
+    order = np.argsort(-length, kind="stable")  # windows of like length go together
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for at in range(0, len(whole), BATCH):
+        part = order[at : at + BATCH]
+        some, u = tagger.searched(whole[part], length[part], every)
+        found.append((part[some], u))
+        if sum(len(rows) for rows, _ in found) < BATCH and at + BATCH < len(whole):
+            continue  # few windows of a batch are searched; those of several go together
+        rows, u = (np.concatenate(x, axis=-1) for x in zip(*found, strict=True))
+        found.clear()
+        for row, tags in zip(rows, tagger.best(length[rows], u), strict=True):
+            k, s = places[row]
             lo = 0 if s == 0 else MARGIN  # the middle of the window; a text's start has no other window
-            part = out[k][s + lo : s + WINDOW - MARGIN]
-            part[:] = tags[i, lo : lo + len(part)]
+            middle = out[k][s + lo : s + WINDOW - MARGIN]
+            middle[:] = tags[lo : lo + len(middle)]
     return out
 
 
@@ -425,8 +480,8 @@ def detect(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
 
     def detected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
                 got = find([t.as_py() or "" for t in part.column(1)], tagger)
                 lists = [[[{"start": s, "kind": KINDS[r], "end": e} for s, r, e in x[i]] for x in got] for i in (0, 1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, kind) for x in lists)], names=["doc_id", "base", "spans"])
