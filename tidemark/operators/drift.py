@@ -1,10 +1,9 @@
 """How far the distribution of features has moved from a reference, for any number of features at once.
 
-Both sides are read once, into the counts of each distinct value of each feature on either side (`steps`), which are held in the
-executors' memory or on their disks; what is lost is computed again. Quantile edges, bins, distribution functions and spread all come from
-that one table and from its running sums. The edges, a row a feature, are computed before the plan goes on.
-Running sums of few values are one sort a feature; of many, values are split into blocks between approximate quantiles, each summed
-on its own after the totals of the blocks before, so that no task holds all values of a feature."""
+Both sides are read once and held in the executors' memory or on their disks; what is lost is computed again. Of up to ONE_TASK rows, the counts
+of each distinct value of each feature (`steps`) and their running sums give quantile edges, bins, distribution functions and spread. Of more, rows
+go by blocks of values (`functions.blocks`), so that no task holds all values of a feature: edges sort only the blocks that they lie in, bins are one
+aggregation, and distribution functions one shuffle."""
 
 from __future__ import annotations
 
@@ -13,9 +12,10 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import blocks
 from tidemark.functions.expr import E
 
-#: Most distinct values whose counts are summed by one task.
+#: Most rows whose counts are summed by one task a feature.
 ONE_TASK = 1_000_000
 
 
@@ -77,10 +77,37 @@ def _psi(counts: DataFrame, edges: DataFrame, bins: int) -> DataFrame:
     return edges.join(got, "feature", "left").select("feature", E(f"CASE WHEN n < {bins} OR m < 1 OR size(e) < 3 THEN 0.0D ELSE psi END").alias("psi"))
 
 
+def _held(reference: DataFrame, current: DataFrame, features: list[str], rows: int | None) -> tuple[DataFrame, bool]:
+    """(the features of both sides with ref, whether they are more than one task may hold)."""
+    side = lambda df, ref: df.select(*[F.col(c).cast("double").alias(c) for c in features], F.lit(ref).alias("ref"))
+    both = side(reference, 1).union(side(current, 0)).persist()
+    return both, (both.count() if rows is None else rows) > ONE_TASK
+
+
+def _steps(both: DataFrame, features: list[str]) -> DataFrame:
+    return steps(both.where("ref = 1"), both.where("ref = 0"), features)
+
+
+def _edges(both: DataFrame, features: list[str], bins: int, cut: dict[str, blocks.Cut]) -> DataFrame:
+    """As edges_of(), of rows by blocks."""
+    n = both.groupBy().agg(*[F.count(F.when(F.col("ref") == ref, F.col(c))).alias(f"{k}{i}") for i, c in enumerate(features) for ref, k in ((1, "n"), (0, "m"))]).first()
+    got = blocks.quantiles(both.where("ref = 1"), features, [i / bins for i in range(bins + 1)], cut)
+    return both.sparkSession.createDataFrame([(c, n[f"n{i}"], n[f"m{i}"], sorted(set(got[c]))) for i, c in enumerate(features) if n[f"n{i}"] or n[f"m{i}"]], "feature string, n bigint, m bigint, e array<double>")
+
+
+def _each(both: DataFrame, features: list[str]) -> DataFrame:
+    """feature, x, r, c, a row a value."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("x")) for c in features])
+    return both.select(F.explode(pairs).alias("p"), "ref").where("p.x IS NOT NULL").selectExpr("p.feature AS feature", "p.x AS x", "CAST(ref AS BIGINT) AS r", "CAST(1 - ref AS BIGINT) AS c")
+
+
 def psi(reference: DataFrame, current: DataFrame, features: list[str], bins: int = 10, rows: int | None = None) -> DataFrame:
     """feature, psi over the reference's quantile bins; current values outside them don't count; 0 if there are too few values."""
-    counts = steps(reference, current, features)
-    return _psi(counts, edges_of(counts, bins, rows), bins)
+    both, many = _held(reference, current, features, rows)
+    if many:
+        return _psi(_each(both, features), _edges(both, features, bins, blocks.cuts(both, features)), bins)
+    counts = _steps(both, features)
+    return _psi(counts, edges_of(counts, bins), bins)
 
 
 def _p_value(d: str) -> str:
@@ -99,16 +126,21 @@ def _distances(cum: DataFrame, totals: DataFrame) -> DataFrame:
 
 def ks_wasserstein(reference: DataFrame, current: DataFrame, features: list[str], rows: int | None = None) -> DataFrame:
     """feature, ks_statistic, ks_p_value (asymptotic), wasserstein; 0, 1 and 0 where a side is missing."""
-    counts = steps(reference, current, features)
+    both, many = _held(reference, current, features, rows)
+    counts = _each(both, features) if many else _steps(both, features)
     totals = counts.groupBy("feature").agg(F.sum("r").alias("n"), F.sum("c").alias("m"))
-    return _distances(cumulative(counts, rows), totals)
+    return _distances(blocks.running(both, features, "ref", blocks.cuts(both, features)) if many else cumulative(counts), totals)
 
 
 def drift_report(reference: DataFrame, current: DataFrame, features: list[str], psi_limit: float = 0.25, p_limit: float = 0.01, distance_limit: float = 2.0, rows: int | None = None) -> DataFrame:
     """All statistics, whether a feature is flagged, and why."""
-    counts = steps(reference, current, features)
-    cum = cumulative(counts, rows)
-    edges = edges_of(counts, 10, rows)
+    both, many = _held(reference, current, features, rows)
+    if many:
+        cut = blocks.cuts(both, features)
+        counts, cum, edges = _each(both, features), blocks.running(both, features, "ref", cut), _edges(both, features, 10, cut)
+    else:
+        counts = _steps(both, features)
+        cum, edges = cumulative(counts), edges_of(counts, 10)
     means = counts.groupBy("feature").agg(E("sum(r * x) / nullif(sum(r), 0)").alias("mean"), F.sum("r").alias("k"))
     spread = counts.join(F.broadcast(means), "feature").groupBy("feature").agg(E("sqrt(sum(r * (x - mean) * (x - mean)) / nullif(max(k) - 1, 0))").alias("sd"))
     got = _psi(counts, edges, 10).join(_distances(cum, edges), "feature").join(spread, "feature", "left")
