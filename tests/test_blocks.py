@@ -74,7 +74,7 @@ def test_analogues_of_long_histories_equal_those_of_whole_ones(spark, monkeypatc
     panel = spark.createDataFrame([(f"s{k}", at(i), None if i % 31 == 5 else float(50 + r.normal()), float(round(r.normal(), 1)), float(r.normal()) if i % 9 else None) for k, n in ((0, 150), (1, 90), (2, 30)) for i in range(n)], "symbol string, ts timestamp_ntz, close double, f double, g double")
     rows = lambda df: sorted(tuple(None if v is None else round(v, 9) if isinstance(v, float) else v for v in x) for x in df.collect())
     got = N.all_analogues(panel, ["f", "g"], k=7)
-    whole, plan = rows(got), got._jdf.queryExecution().executedPlan().toString()
+    plan, whole = got._jdf.queryExecution().executedPlan().toString(), rows(got)
     assert len(whole) > 100 and "FlatMapCoGroups" not in plan and plan.count("Exchange hashpartitioning") == 1  # only answers leave a task
     for most in (100, 0):
         monkeypatch.setattr(N, "WHOLE", most)
