@@ -104,10 +104,20 @@ def new_articles(articles: DataFrame, known: DataFrame, key: str) -> DataFrame:
     return fresh.groupBy(key).agg(F.min(F.struct("published", "article_id")).alias("__x")).select(key, F.col("__x.article_id").alias("article_id"), F.col("__x.published").alias("published"))
 
 
-def weighted_probability(mapping: DataFrame, observations: DataFrame, points: DataFrame) -> DataFrame:
-    """symbol, category, ts, probability (relevance-weighted over events, each as last observed), from mapping (symbol, category,
-    event_id, relevance), observations (event_id, observed, probability) and points (symbol, ts)."""
-    wide = points.join(mapping, "symbol")
-    seen = asof_join(wide, observations, ["event_id"], "ts", "observed", {"probability": "probability"}).where("probability IS NOT NULL")
-    got = seen.groupBy("symbol", "category", "ts").agg(F.sum(F.col("probability") * F.col("relevance")).alias("a"), F.sum("relevance").alias("b"))
-    return got.select("symbol", "category", "ts", (F.col("a") / F.greatest(F.col("b"), F.lit(1e-9))).alias("probability"))
+def observed_sums(events: DataFrame, observations: DataFrame, times: DataFrame) -> DataFrame:
+    """category, ts, total, n: the sum of the probabilities of a category's events, each as last observed at ts, and how many there are, from
+    events (event_id, category), observations (event_id, observed, probability; of one time the greatest) and times (ts), which are few.
+
+    An observation goes to the first time at or after it, and the last of an event there stands until the event's next: events are shuffled as
+    often as they are observed, not once a time, and times meet them after that, within one task and summed there."""
+    grid = sorted(x[0] for x in times.select("ts").distinct().where("ts IS NOT NULL").collect())
+    days = observations.select("observed").distinct()
+    at = F.array(*[F.lit(t.isoformat(sep=" ")) for t in grid]).cast("array<timestamp_ntz>")
+    place = days.select("observed", F.size(F.filter(at, lambda t: t < F.col("observed"))).alias("__i")).where(F.col("__i") < len(grid))
+    known = observations.join(F.broadcast(place) if place.count() <= 1_000_000 else place, "observed").repartition("event_id")
+    last = known.groupBy("event_id", "__i", "observed").agg(F.max("probability").alias("p")).groupBy("event_id", "__i").agg(F.max_by("p", "observed").alias("p"))
+    held = last.selectExpr("event_id", "__i", "p", f"lead(__i, 1, {len(grid)}) OVER (PARTITION BY event_id ORDER BY __i) - 1 AS __z").where("p IS NOT NULL")
+    sums = held.join(events.select("event_id", "category"), "event_id").select("category", "p", F.explode(F.sequence("__i", "__z")).alias("__i")).groupBy("category", "__i").agg(F.sum("p").alias("total"), F.count("*").alias("n"))
+    return sums.select("category", F.element_at(at, F.col("__i") + 1).alias("ts"), "total", "n")
+
+

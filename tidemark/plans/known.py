@@ -142,14 +142,14 @@ _BY_SECTOR = {k: (v.replace("SELECT symbol, event_id", "SELECT sector, event_id"
     "sectors", **_BY_SECTOR, obs=_OBS, grid=_GRID,
 ))
 def event_prob_asof(spark, sf):
-    """Each month's probability of each category of events for each symbol. An event concerns all symbols of a sector alike, so that
-    events are weighed once a sector, not once a symbol."""
+    """Each month's probability of each category of events for each symbol. An event concerns all symbols of a sector alike, and its relevance
+    is its category's, so that events are summed once a category, and weighed once a sector."""
     li = tables.table(spark, sf, "lineitem")
-    obs = li.groupBy(F.col("l_partkey").alias("event_id"), F.col("l_shipdate").alias("observed")).agg((F.max("l_discount") * 10).alias("probability"))
-    months = F.broadcast(li.select(F.date_trunc("month", "l_shipdate").cast("timestamp_ntz").alias("ts")).distinct())
-    groups = _sector(spark, sf).select(F.col("sector").alias("symbol"), "sector").distinct()
-    found = A.weighted_probability(S.event_relevance(_mapping_events(spark, sf), groups), obs, groups.select("symbol").crossJoin(months))
-    return rounded(_sector(spark, sf).join(found.withColumnRenamed("symbol", "sector"), "sector").select("symbol", "category", "ts", "probability"), 9)
+    obs = li.select(F.col("l_partkey").alias("event_id"), F.col("l_shipdate").alias("observed"), (F.col("l_discount") * 10).alias("probability"))
+    months = li.select(F.date_trunc("month", "l_shipdate").cast("timestamp_ntz").alias("ts")).distinct()
+    sums = A.observed_sums(_mapping_events(spark, sf), obs, months)
+    weighed = sums.join(F.broadcast(S.sector_relevance(spark, _sector(spark, sf))), "category").select("sector", "category", "ts", (F.col("total") * F.col("relevance") / F.greatest(F.col("n") * F.col("relevance"), F.lit(1e-9))).alias("probability"))
+    return rounded(_sector(spark, sf).join(F.broadcast(weighed), "sector").select("symbol", "category", "ts", "probability"), 9)
 
 
 def _second_source(spark, sf):
