@@ -15,8 +15,9 @@ def percentile_ranks(panel: DataFrame, metrics: dict[str, tuple[str, bool]] = ME
     """symbol, ts and each metric's rank among the date's symbols that have one, over their number; ties share their mean rank.
     Metrics whose column is absent are absent."""
     def rank(x: str, up: bool) -> str:
-        order = f"{x} {'ASC' if up else 'DESC'} NULLS LAST"
-        return f"CASE WHEN {x} IS NOT NULL THEN (rank() OVER (PARTITION BY {ts} ORDER BY {order}) + (count(*) OVER (PARTITION BY {ts}, {x}) - 1) / 2.0D) / count({x}) OVER (PARTITION BY {ts}) END"
+        # Rank, ties and number share a window specification, so that a date's symbols are sorted once a metric.
+        w = f"PARTITION BY {ts} ORDER BY {x} {'ASC' if up else 'DESC'} NULLS LAST"
+        return f"CASE WHEN {x} IS NOT NULL THEN (rank() OVER ({w}) + (count(*) OVER ({w} RANGE BETWEEN CURRENT ROW AND CURRENT ROW) - 1) / 2.0D) / count({x}) OVER ({w} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) END"
 
     return panel.select("symbol", ts, *[E(rank(x, up)).alias(k) for k, (x, up) in metrics.items() if x in panel.columns])
 
